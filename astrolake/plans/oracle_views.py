@@ -14,8 +14,8 @@ VIEWS: dict[str, str] = {
         JOIN px c ON c.session = b.session AND c.frame = b.frame AND c.y = p.y AND c.x = p.x""",
     "rgb": """
         SELECT p.session, rk // 3 AS img, y, x,
-               max(CASE WHEN rk % 3 = 0 THEN v END) AS r, max(CASE WHEN rk % 3 = 1 THEN v END) AS g,
-               max(CASE WHEN rk % 3 = 2 THEN v END) AS b
+               max(CASE WHEN rk % 3 = 0 THEN v END) + 0.5 AS r, max(CASE WHEN rk % 3 = 1 THEN v END) + 0.5 AS g,
+               max(CASE WHEN rk % 3 = 2 THEN v END) + 0.5 AS b
         FROM px p JOIN frank f ON p.session = f.session AND p.frame = f.frame
         GROUP BY 1, 2, 3, 4 HAVING count(*) = 3""",
     "rgb_long": """

@@ -53,7 +53,8 @@ def px2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rgb(spark: SparkSession, d: str) -> DataFrame:
-    """Colour pixels: frames 3k, 3k+1, 3k+2 of a session are the R, G, B planes of image ``img``.
+    """Colour pixels: frames 3k, 3k+1, 3k+2 of a session are the R, G, B planes of image ``img``,
+    lifted by one half into the display range.
 
     The planes meet as three arrays in one row, so no pixel is shuffled.
     """
@@ -62,7 +63,7 @@ def rgb(spark: SparkSession, d: str) -> DataFrame:
         *[F.first(F.when(F.col("ch") == i, F.col("tile")), True).alias(c) for i, c in enumerate("rgb")]
     ).where(F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull())
     z = planes.select("session", "img", F.posexplode(F.arrays_zip("r", "g", "b")).alias("pos", "z"))
-    return z.select("session", "img", *_yx(), *[F.col(f"z.{c}").cast("double").alias(c) for c in "rgb"])
+    return z.select("session", "img", *_yx(), *[(F.col(f"z.{c}").cast("double") + 0.5).alias(c) for c in "rgb"])
 
 
 def rgb_long(spark: SparkSession, d: str) -> DataFrame:
