@@ -287,14 +287,24 @@ def match_positions(a: DataFrame, b: DataFrame, keys: list[str], tol: float = 1e
     ).withColumn("same", F.col("off") == 0)
 
 
-def polygon_weights(grid: DataFrame, edges: DataFrame, feather: float) -> DataFrame:
-    """Weight of every pixel centre against polygons given as edges.
+def polygon_edges(polygons: list[tuple[str, str, list[tuple[float, float]]]]) -> list[tuple]:
+    """(polygon, mode, edge index, ax, ay, bx, by) rows of a constant polygon list."""
+    return [
+        (name, mode, i, *map(float, pts[i]), *map(float, pts[(i + 1) % len(pts)]))
+        for name, mode, pts in polygons for i in range(len(pts))
+    ]
+
+
+def polygon_weights(grid: DataFrame, edges: list[tuple], feather: float) -> DataFrame:
+    """Weight of every pixel centre against a constant list of polygon edges.
 
     Crossing parity decides inside, smoothstep(edge distance / feather) softens the rim; include
-    polygons combine by max, exclude polygons by min of the complement.  ``edges`` is a constant table.
+    polygons combine by max, exclude polygons by min.  The edges travel as a literal array.
     """
+    names = ("poly", "mode", "i", "ax", "ay", "bx", "by")
+    lits = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, e)]) for e in edges])
+    j = grid.select("y", "x", F.explode(lits).alias("e")).select("y", "x", "e.*")
     cx, cy = F.col("x") + 0.5, F.col("y") + 0.5
-    j = grid.join(F.broadcast(edges))
     cross = ((F.col("ay") > cy) != (F.col("by") > cy)) & (
         cx < F.col("ax") + (cy - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
@@ -302,21 +312,26 @@ def polygon_weights(grid: DataFrame, edges: DataFrame, feather: float) -> DataFr
     dist = F.hypot(cx - F.col("ax") - t * dx, cy - F.col("ay") - t * dy)
     g = j.groupBy("y", "x", "poly", "mode").agg((F.count_if(cross) % 2).alias("odd"), F.min(dist).alias("dist"))
     u = F.least(F.col("dist") / feather, F.lit(1.0))
-    w = F.when(F.col("odd") == 1, u * u * (3 - 2 * u)).otherwise(0.0)
-    g = g.withColumn("w", w)
+    g = g.withColumn("w", F.when(F.col("odd") == 1, u * u * (3 - 2 * u)).otherwise(0.0))
     return g.groupBy("y", "x").agg(
-        (F.coalesce(F.max(F.when(F.col("mode") == "include", F.col("w"))), F.lit(0.0))
-         * F.coalesce(F.min(F.when(F.col("mode") == "exclude", 1 - F.col("w"))), F.lit(1.0))).alias("weight"))
-
-
-def self_crossing(edges: DataFrame) -> DataFrame:
-    """Polygons (bounded vertex lists) with two non-adjacent edges that properly cross."""
-    o = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
-    a, b = edges.alias("a"), edges.alias("b")
-    c = lambda n: F.col(n)
-    A = (c("a.ax"), c("a.ay"), c("a.bx"), c("a.by"))
-    B = (c("b.ax"), c("b.ay"), c("b.bx"), c("b.by"))
-    d1, d2 = o(A[0], A[1], A[2], A[3], B[0], B[1]), o(A[0], A[1], A[2], A[3], B[2], B[3])
-    d3, d4 = o(B[0], B[1], B[2], B[3], A[0], A[1]), o(B[0], B[1], B[2], B[3], A[2], A[3])
-    j = a.join(b, (c("a.poly") == c("b.poly")) & (c("a.i") < c("b.i"))).where((d1 * d2 < 0) & (d3 * d4 < 0))
-    return j.select(c("a.poly").alias("poly")).distinct()
+        F.least(
+            F.coalesce(F.max(F.when(F.col("mode") == "include", F.col("w"))), F.lit(0.0)),
+            F.coalesce(F.min(F.when(F.col("mode") == "exclude", 1 - F.col("w"))), F.lit(1.0))).alias("weight"))
+
+
+def masked_mean(px: DataFrame, edges: list[tuple], feather: float) -> DataFrame:
+    """Polygon-weighted mean per frame: weights are worked out once per position, then joined."""
+    w = polygon_weights(px.select("y", "x").distinct(), edges, feather)
+    return px.join(w, ["y", "x"]).groupBy("frame").agg(
+        F.sum("weight").alias("area"), (F.sum(F.col("weight") * F.col("v")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("mean"))
+
+
+def is_self_crossing(points: list[tuple[float, float]]) -> bool:
+    """Does a (short, constant) polygon have two edges that properly cross?"""
+    def turn(p, q, r):
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    segs = [(points[i], points[(i + 1) % len(points)]) for i in range(len(points))]
+    return any(
+        turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
+        for i, (a, b) in enumerate(segs) for c, d in segs[i + 1:])

@@ -183,11 +183,11 @@ def _(s, d):
     return R.with_optics(V.frames(s, d).withColumn("pixel_um", 2.4 + k % 5 * 0.35).withColumn("focal_mm", 250.0 + k % 9 * 100).withColumn("aperture_mm", 50.0 + k % 4 * 20))
 
 
-@query("b21_framing", "i:frame s:framing d:framing_ratio", """WITH z AS (SELECT frame, background / 7 AS size, 60.0::DOUBLE + frame % 5 * 100 AS w, 40.0::DOUBLE + frame % 7 * 100 AS h FROM frames)
+@query("b21_framing", "i:frame s:framing d:framing_ratio", """WITH z AS (SELECT frame, background * 0.7310585786 AS size, 60.0::DOUBLE + frame % 5 * 100 AS w, 40.0::DOUBLE + frame % 7 * 100 AS h FROM frames)
 SELECT frame, size / least(w, h) AS framing_ratio, CASE WHEN framing_ratio > 0.85 THEN 'fills_frame' WHEN framing_ratio >= 0.35 THEN 'balanced' WHEN framing_ratio >= 0.10 THEN 'wide_field' ELSE 'tiny' END AS framing FROM z""")
 def _(s, d):
     k = F.col("frame")
-    return R.with_framing(V.frames(s, d).withColumn("size", F.col("background") / 7).withColumn("fov_w", 60.0 + k % 5 * 100).withColumn("fov_h", 40.0 + k % 7 * 100))
+    return R.with_framing(V.frames(s, d).withColumn("size", F.col("background") * 0.7310585786).withColumn("fov_w", 60.0 + k % 5 * 100).withColumn("fov_h", 40.0 + k % 7 * 100))
 
 
 @query("b22_star_strength", "i:id d:strength", f"""WITH {TARGET_SQL}, q AS (SELECT id, target_type, (p_size % 11) * 0.05::DOUBLE AS r, (p_size % 3) * 0.008::DOUBLE AS b, CASE WHEN id % 2 = 0 THEN 'Ha' ELSE 'clear' END AS f FROM tt)
