@@ -141,7 +141,7 @@ def plane_geometry(pts: DataFrame, keys: list[str], width: float, height: float)
     return g.select(*keys, rank.alias("rank"), F.when(F.col("e2") > tol, F.sqrt(F.col("e0") / F.col("e2"))).alias("condition"))
 
 
-def detection_confidence(meas: DataFrame, keys: list[str], expect: float = 8.0) -> DataFrame:
+def detection_confidence(meas: DataFrame, keys: list[str], expect: float = 7.7) -> DataFrame:
     """Mean of keep-rate, roundness, size and density scores."""
     good = (F.col("fwhmx") > 0.5) & (F.col("fwhmx") < 4.5)
     g = meas.groupBy(*keys).agg(
@@ -256,22 +256,21 @@ def thin(stars: DataFrame, r: float, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("thinning did not settle")
 
 
-def farthest(pts: DataFrame, n: int, seed: tuple[float, float]) -> DataFrame:
-    """Farthest-point selection: each step is one aggregate over the points.
+def farthest(pts: DataFrame, n: int) -> DataFrame:
+    """Farthest-point selection from the first point in (y, x, id) order; each step is one aggregate.
 
     Only the chosen points (n <= 256) ever reach the driver; ties go to the smallest y, x, id.
     """
     if not 1 <= n <= 256:
         raise ValueError("n must be 1..256")
     chosen: list[tuple] = []
-    ref = [seed]
-    for _ in range(n):
-        d = F.least(*[F.hypot(F.col("x") - a, F.col("y") - b) for a, b in ref], F.lit(1e300)) if len(ref) else F.lit(0.0)
+    while len(chosen) < n:
+        dists = [F.hypot(F.col("x") - c[2], F.col("y") - c[3]) for c in chosen]
+        d = F.least(*dists) if len(dists) > 1 else (dists[0] if dists else F.lit(1.0))
         best = pts.agg(F.min(F.struct((-F.round(d, 9)).alias("d"), F.col("y"), F.col("x"), F.col("id"))).alias("m")).first()["m"]
-        if chosen and best["d"] >= 0:
+        if best is None or best["d"] >= 0:
             break
         chosen.append((len(chosen) + 1, best["id"], float(best["x"]), float(best["y"])))
-        ref = [(c[2], c[3]) for c in chosen]
     return pts.sparkSession.createDataFrame(chosen, "step int, id long, x double, y double")
 
 
