@@ -146,7 +146,7 @@ def detection_confidence(meas: DataFrame, keys: list[str], expect: float = 7.7)
     good = (F.col("fwhmx") > 0.5) & (F.col("fwhmx") < 4.5)
     g = meas.groupBy(*keys).agg(
         share(good).alias("keep"), F.avg(F.col("fwhmy") / F.col("fwhmx")).alias("round"), F.avg("fwhmx").alias("size"), F.count(F.lit(1)).alias("n"))
-    size = clamp(1 - F.abs(F.col("size") - 2.5) / 2.5)
+    size = clamp(1 - F.abs(F.col("size") - 2.5) / 2.7)
     dens = clamp(F.col("n") / expect)
     return g.select(*keys, "n", ((F.col("keep") + clamp(F.col("round")) + size + dens) / 4).alias("confidence"))
 

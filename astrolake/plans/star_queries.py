@@ -87,7 +87,7 @@ def _(s, d):
 
 
 @query("d34_detection_confidence", "i:frame,n d:confidence", """WITH g AS (SELECT frame, avg((fwhmx > 0.5 AND fwhmx < 4.5)::INT) AS k, avg(fwhmy / fwhmx) AS r, avg(fwhmx) AS z, count(*) AS n FROM meas GROUP BY frame)
-SELECT frame, n, (k + least(greatest(r, 0), 1) + least(greatest(1 - abs(z - 2.5) / 2.5, 0), 1) + least(n / 7.7::DOUBLE, 1)) / 4 AS confidence FROM g""")
+SELECT frame, n, (k + least(greatest(r, 0), 1) + least(greatest(1 - abs(z - 2.5) / 2.7, 0), 1) + least(n / 7.7::DOUBLE, 1)) / 4 AS confidence FROM g""")
 def _(s, d):
     return S.detection_confidence(V.meas(s, d), ["frame"])
 
