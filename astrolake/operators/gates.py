@@ -191,7 +191,7 @@ def jitter_strata(df: DataFrame, key: str) -> DataFrame:
 
 
 # fixed values: perturbation ladder (kind, parameter)
-LADDER = (("brightness", 0.9), ("brightness", 0.8), ("overshoot", 0.047), ("gamma", 1.2), ("fill", 0.5))
+LADDER = (("brightness", 0.9), ("brightness", 0.8), ("overshoot", 0.0471234567), ("gamma", 1.2), ("fill", 0.5))
 
 
 def ladder(pair: DataFrame, keys: list[str], steps=LADDER) -> DataFrame:

@@ -1 +1,315 @@
+"""Corpus search queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from astrolake import views as V
+from astrolake.functions import text as X
+from astrolake.operators import corpus as C
+from astrolake.operators import sets as T
+from astrolake.plans.registry import query
+
+STOPS = ", ".join(f"'{w}'" for w in X.STOP)
+
+
+def _tok(expr: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({expr}), '[a-z0-9]+'), lambda w: w NOT IN ({STOPS}))"
+
+
+def _norm(expr: str) -> str:
+    return f"trim(regexp_replace(lower({expr}), '\\s+', ' ', 'g'))"
+
+
+@query("a10_front_matter", "i:doc_id,n_tags,body_chars s:title,tags,updated,missing", """
+WITH z AS (SELECT doc_id, split_part(text, E'\\n', 1) AS t, lang, source, 1 + doc_id % 28 AS day, text, doc_id % 5 AS m FROM documents)
+SELECT doc_id, CASE WHEN m <> 4 THEN CASE WHEN m = 1 THEN NULL ELSE concat('T', doc_id) END END AS title, CASE WHEN m <> 4 THEN concat(lang, '|', source) END AS tags, CASE WHEN m <> 4 THEN 2 END AS n_tags,
+ CASE WHEN m NOT IN (2, 4) THEN concat('2024-03-', lpad(CAST(day AS VARCHAR), 2, '0')) END AS updated, length(text) AS body_chars,
+ CASE m WHEN 4 THEN 'title,tags,updated' WHEN 1 THEN 'title' WHEN 2 THEN 'updated' ELSE '' END AS missing FROM z""")
+def _(s, d):
+    m = F.col("doc_id") % 5
+    day = F.lpad((1 + F.col("doc_id") % 28).cast("string"), 2, "0")
+    head = F.concat(F.lit("---\n"), F.when(m != 1, F.concat(F.lit("title: T"), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(""),
+                    F.concat(F.lit("tags: "), F.col("lang"), F.lit(" , "), F.col("source"), F.lit("\n")), F.when(m != 2, F.concat(F.lit("updated: 2024-03-"), day, F.lit("\n"))).otherwise(""), F.lit("---\n"))
+    src = V.docs(s, d).withColumn("raw", F.when(m == 4, F.col("text")).otherwise(F.concat(head, "text")))
+    p = C.with_front_matter(src, "raw")
+    return p.select("doc_id", "title", F.array_join("tags", "|").alias("tags"), F.when(F.col("tags").isNotNull(), F.size("tags")).alias("n_tags"), F.col("updated").cast("string").alias("updated"), F.length("body").alias("body_chars"), "missing")
+
+
+def headed(s, d):
+    """Documents with a rule drawn under every fourth line: headed text derived from the corpus."""
+    lines = F.split("text", "\n")
+    with_rules = F.transform(lines, lambda l, i: F.when(i % 4 == 0, F.concat(l, F.lit("\n"), F.rpad(F.lit("="), F.greatest(F.length(l), F.lit(1)), F.lit("=")))).otherwise(l))
+    return V.docs(s, d).select("doc_id", F.array_join(with_rules, "\n").alias("text"))
+
+
+SECT = r"""ls AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS l, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS i FROM documents),
+hs AS (SELECT doc_id, i, l, trim(l) <> '' AND NOT regexp_full_match(l, '=+|-+|\*+|~+') AS ok, i % 4 = 0 AS m FROM ls),
+sg AS (SELECT *, count(*) FILTER (WHERE m AND ok) OVER (PARTITION BY doc_id ORDER BY i) AS g, i + (i // 4) + 1 - CASE WHEN m THEN 0 ELSE 0 END AS pos FROM hs),
+sc AS (SELECT doc_id, g - 1 AS section, max(CASE WHEN m AND ok THEN l END) AS heading, sum(CASE WHEN m AND ok THEN 0 ELSE length(l) + 1 END) AS chars, count(*) FILTER (WHERE NOT (m AND ok)) AS n_lines FROM sg WHERE g > 0 GROUP BY doc_id, g),
+sx AS (SELECT *, trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM sc),
+sections AS (SELECT doc_id, section, heading, n_lines, CASE WHEN rn = 1 THEN slug ELSE concat(slug, '-', rn) END AS section_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY section) AS rn FROM sx))"""
+
+
+@query("a11_sections", "i:doc_id,section s:heading,section_id", f"WITH {SECT} SELECT * FROM sections")
+def _(s, d):
+    return C.explode_sections(headed(s, d), "doc_id", "text")
+
+
+@query("f21_slug_ordinals", "i:doc_id,repeated s:slug", f"WITH {SECT} SELECT doc_id, slug, count(*) AS repeated FROM sx GROUP BY ALL HAVING count(*) > 1")
+def _(s, d):
+    sec = C.explode_sections(headed(s, d), "doc_id", "text")
+    return sec.groupBy("doc_id", "slug").agg(F.count(F.lit(1)).alias("repeated")).where("repeated > 1")
+
+
+CMD = """cm AS (SELECT page_id, i - 1 AS i, trim(u) AS usage, trim(ds) AS description FROM (SELECT page_id, unnest(regexp_extract_all(html, '<p>([^<.]+)\\.([^<]*)</p>', 1)) AS u, unnest(regexp_extract_all(html, '<p>([^<.]+)\\.([^<]*)</p>', 2)) AS ds,
+ generate_subscripts(regexp_extract_all(html, '<p>([^<.]+)\\.([^<]*)</p>', 1), 1) AS i FROM pages))"""
+
+
+@query("a12_commands", "i:page_id,i s:usage,description", f"WITH {CMD} SELECT * FROM cm")
+def _(s, d):
+    return C.explode_commands(V.pages(s, d), "page_id", "html")
+
+
+LINK = """pp AS (SELECT concat('/', split_part(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ', 1)) AS path, min(page_id) AS target FROM pages GROUP BY 1),
+lk AS (SELECT page_id, path, i - 1 AS i FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS path, generate_subscripts(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), 1) AS i FROM pages)),
+rl AS (SELECT page_id, i, lk.path, target FROM lk LEFT JOIN pp USING (path))"""
+
+
+@query("c20_resolve_links", "i:page_id,i,target s:path", f"WITH {LINK} SELECT * FROM rl")
+def _(s, d):
+    return C.resolve_links(V.pages(s, d))
+
+
+@query("c20_missing_targets", "s:path i:referrers,first_referrer", f"WITH {LINK} SELECT path, count(DISTINCT page_id) AS referrers, min(page_id) AS first_referrer FROM rl WHERE target IS NULL GROUP BY path")
+def _(s, d):
+    return C.missing_targets(C.resolve_links(V.pages(s, d)))
+
+
+@query("j13_link_graph", "i:page_id,out_degree,dangling,in_degree", f"""WITH {LINK}, e AS (SELECT DISTINCT page_id, path, target FROM rl), o AS (SELECT page_id, count(target) AS out_degree, count(*) FILTER (WHERE target IS NULL) AS dangling FROM e GROUP BY page_id),
+n AS (SELECT target AS page_id, count(*) AS in_degree FROM e WHERE target IS NOT NULL GROUP BY target)
+SELECT page_id, coalesce(out_degree, 0) AS out_degree, coalesce(dangling, 0) AS dangling, coalesce(in_degree, 0) AS in_degree FROM o FULL JOIN n USING (page_id)""")
+def _(s, d):
+    return C.link_graph(C.resolve_links(V.pages(s, d)))
+
+
+# includes: a page includes the page its first resolved link names
+@query("j12_resolve_includes", "i:a,b", f"""WITH RECURSIVE {LINK}, e AS (SELECT page_id AS a, arg_min(target, i) AS b FROM rl WHERE target IS NOT NULL GROUP BY page_id),
+cl(a, b) AS (SELECT a, b FROM e UNION SELECT cl.a, e.b FROM cl JOIN e ON cl.b = e.a) SELECT a, b FROM cl""")
+def _(s, d):
+    r = C.resolve_links(V.pages(s, d)).where(F.col("target").isNotNull())
+    return C.closure(r.groupBy(F.col("page_id").alias("a")).agg(F.min_by("target", "i").alias("b")))
+
+
+@query("j11_build_catalog", "s:id,kind,label,aliases i:page_id", f"""WITH {CMD}, {LINK}, al AS (SELECT target, string_agg(DISTINCT path, ',' ORDER BY path) AS al FROM rl WHERE target IS NOT NULL GROUP BY target)
+SELECT concat('page:', page_id) AS id, page_id, 'page' AS kind, regexp_extract(html, '<title>([^<]*)</title>', 1) AS label, coalesce(al, '') AS aliases FROM pages LEFT JOIN al ON target = page_id
+UNION ALL SELECT concat('cmd:', page_id, ':', i), page_id, 'command', usage, '' FROM cm""")
+def _(s, d):
+    return C.build_catalog(V.pages(s, d))
+
+
+@query("h01_union_candidates", "s:key,kind", f"""WITH {CMD}, ti AS (SELECT DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1) AS key FROM pages), us AS (SELECT DISTINCT usage AS key FROM cm), h1 AS (SELECT DISTINCT regexp_extract(html, '<b>([^<.]*)', 1) AS key FROM pages)
+SELECT key, 'page' AS kind FROM ti UNION ALL SELECT key, 'command' FROM us UNION ALL SELECT key, 'section' FROM h1 WHERE key NOT IN (SELECT key FROM ti) AND key NOT IN (SELECT key FROM us)""")
+def _(s, d):
+    p = V.pages(s, d)
+    one = lambda df, c, k: df.select(c.alias("key")).distinct().withColumn("kind", F.lit(k))
+    a = one(p, F.regexp_extract("html", "<title>([^<]*)</title>", 1), "page")
+    b = one(C.explode_commands(p, "page_id", "html"), F.col("usage"), "command")
+    return T.union_candidates(a, b, one(p, F.regexp_extract("html", "<b>([^<.]*)", 1), "section"), "key")
+
+
+@query("i01_normalise", "i:item_id s:t", f"SELECT item_id, {_norm('text')} AS t FROM benchmark")
+def _(s, d):
+    return V.table(s, d, "benchmark").select("item_id", X.normalise(F.col("text")).alias("t"))
+
+
+@query("i02_tokens", "i:doc_id,n,n_distinct s:longest", f"""WITH t AS (SELECT doc_id, {_tok('text')} AS t FROM documents) SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct,
+ list_sort(list_filter(t, lambda w: length(w) = list_max(list_transform(t, lambda v: length(v)))))[1] AS longest FROM t""")
+def _(s, d):
+    t = V.docs(s, d).select("doc_id", X.ascii_tokens(F.col("text")).alias("t"))
+    # reversed order by length via struct comparison: longest first, then alphabetical
+    return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"),
+                    F.get(F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(0))["w"].alias("longest"))
+
+
+@query("i02_ngrams", "i:part s:grams", """WITH p AS (SELECT p_partkey AS part, replace(p_name, ' ', '') AS w FROM part)
+SELECT part, list_aggregate(list_distinct(list_concat(list_concat(list_transform(range(1, length(w)), lambda i: w[i:i+1]), list_transform(range(1, length(w) - 1), lambda i: w[i:i+2])), list_transform(range(1, length(w) - 2), lambda i: w[i:i+3])))
+ .list_sort(), 'string_agg', ' ') AS grams FROM p""")
+def _(s, d):
+    w = F.replace("p_name", F.lit(" "), F.lit(""))
+    return V.table(s, d, "part").select(F.col("p_partkey").alias("part"), F.array_join(F.array_sort(F.array_distinct(X.ngrams(w, 2, 4))), " ").alias("grams"))
+
+
+@query("i03_identifiers", "i:id s:found", r"""SELECT p_partkey AS id, coalesce(list_aggregate(list_distinct(regexp_extract_all(concat(p_name, ' ', replace(p_brand, '#', ''), ' ', p_type), '\b(?:[A-Za-z]+[0-9]+[A-Za-z0-9]*|[A-Z]{2,})\b')).list_sort(), 'string_agg', ','), '') AS found FROM part""")
+def _(s, d):
+    t = F.concat_ws(" ", "p_name", F.replace("p_brand", F.lit("#"), F.lit("")), "p_type")
+    return V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(X.identifiers(t)), ",").alias("found"))
+
+
+@query("i04_snippet", "i:doc_id s:snip", """WITH z AS (SELECT doc_id, text, list_min(list_filter([instr(lower(text), 'tion'), instr(lower(text), 'ment'), instr(lower(text), 'keit')], lambda p: p > 0)) AS f FROM documents), y AS (SELECT *, greatest(coalesce(f, 1) - 60, 1) AS st FROM z)
+SELECT doc_id, concat(CASE WHEN st > 1 THEN '…' ELSE '' END, substring(text, st, 240), CASE WHEN st + 239 < length(text) THEN '…' ELSE '' END) AS snip FROM y""")
+def _(s, d):
+    return V.docs(s, d).select("doc_id", X.snippet(F.col("text"), F.array(*[F.lit(t) for t in ("tion", "ment", "keit")])).alias("snip"))
+
+
+@query("i05_slug", "i:page_id s:slug,label", """SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN l = '' THEN 'unnamed' ELSE l END AS label FROM (SELECT page_id, url, trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_.') AS l FROM pages)""")
+def _(s, d):
+    return V.pages(s, d).select("page_id", X.slug(F.col("url")).alias("slug"), X.safe_label(F.col("url")).alias("label"))
+
+
+@query("i06_regex_predicates", "i:id b:is_device,is_color,has_num", r"""SELECT p_partkey AS id, regexp_matches(p_brand, '(?i)^brand#1\d$') AS is_device, regexp_matches(p_name, '\b(?:red|blue|green)\b') AS is_color, regexp_matches(p_brand, '[02468]$') AS has_num FROM part""")
+def _(s, d):
+    return V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").rlike(r"(?i)^brand#1\d$").alias("is_device"), F.col("p_name").rlike(r"\b(?:red|blue|green)\b").alias("is_color"), F.col("p_brand").rlike("[02468]$").alias("has_num"))
+
+
+@query("i07_dates", "i:id s:day b:stale", """WITH z AS (SELECT id, CASE WHEN id % 17 = 0 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%d') END AS t FROM ev) SELECT id, CAST(TRY_CAST(t AS DATE) AS VARCHAR) AS day, coalesce(TRY_CAST(t AS DATE) < DATE '2024-01-15', false) AS stale FROM z""")
+def _(s, d):
+    t = F.when(F.col("id") % 17 == 0, "not a date").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    e = V.ev(s, d).select("id", X.parse_date(t).alias("day"))
+    return e.select("id", F.col("day").cast("string").alias("day"), X.is_stale(F.col("day"), F.lit("2024-01-15").cast("date")).alias("stale"))
+
+
+FIELDS = f"""fd AS (SELECT doc_id AS doc, split_part(text, E'\\n', 1) AS title, concat(lang, ' ', source) AS tags, split_part(text, E'\\n', 2) AS description, lang AS category, array_to_string(list_filter(string_split(text, E'\\n'), lambda s: len(string_split(s, ' ')) <= 5), ' ') AS headings, source AS applies_to, text AS body FROM documents),
+lg AS (SELECT doc, field, content FROM (UNPIVOT fd ON title, tags, description, category, headings, applies_to, body INTO NAME field VALUE content)),
+po AS (SELECT term, doc, field, count(*) AS tf FROM (SELECT doc, field, unnest({_tok('content')}) AS term FROM lg) GROUP BY ALL),
+nn AS (SELECT count(*) AS n FROM documents), dfq AS (SELECT term, count(DISTINCT doc) AS df FROM po GROUP BY term), idf AS (SELECT term, df, ln((n + 1.0::DOUBLE) / (df + 1)) + 1 AS idf FROM dfq, nn)"""
+QS = f"""qt AS (SELECT DISTINCT item_id AS query, unnest({_tok('text')}) AS term FROM benchmark), qw AS (SELECT query, term, CASE WHEN regexp_matches(term, '[a-z]') AND regexp_matches(term, '[0-9]') THEN 0.8 ELSE 1.0 END::DOUBLE AS weight FROM qt),
+al AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{i}', [{', '.join(chr(39) + x + chr(39) for x in t)}])" for a, i, t in C.ALIASES)}) t(alias, intent, terms)),
+xa AS (SELECT DISTINCT b.item_id AS query, alias, intent, unnest(terms) AS term FROM benchmark b JOIN al ON list_contains(regexp_extract_all(lower(b.text), '[a-z0-9]+'), alias) OR (NOT regexp_matches(alias, '^[a-z]+$') AND contains(b.text, alias))),
+pq AS (SELECT query, term, max(weight) AS weight FROM (SELECT * FROM qw UNION ALL SELECT DISTINCT query, term, 0.62 FROM xa) GROUP BY ALL)"""
+SCORE = f"""{FIELDS}, {QS}, fw AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in C.WEIGHTS.items())}) t(field, w)),
+pd AS (SELECT term, doc, sum(w * (1 + ln(least(tf, 8)))) AS s, bool_or(field <> 'body') AS strong FROM po JOIN fw USING (field) GROUP BY ALL),
+sr AS (SELECT query, doc, sum(s * idf * weight * (1 + 0.18 * least(greatest(length(term) - 2, 0), 4))) AS score, bool_or(strong) AS strong, count(*) AS matched FROM pq JOIN pd USING (term) JOIN idf USING (term) GROUP BY ALL)"""
+BON = f"""{SCORE}, bo AS (SELECT sr.query, sr.doc, strong, score + CASE WHEN length({_norm('title')}) > 0 AND contains({_norm('b.text')}, {_norm('title')}) THEN 45 ELSE 0 END + CASE WHEN list_contains(string_split({_norm('b.text')}, ' '), category) THEN 5 ELSE 0 END AS score
+ FROM sr JOIN fd ON sr.doc = fd.doc JOIN benchmark b ON b.item_id = sr.query)"""
+RANK = f"{BON}, rkd AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM bo WHERE score > 0 AND strong QUALIFY rank <= 10)"
+
+
+def batch(s, d):
+    q = V.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    f = C.document_fields(V.docs(s, d))
+    post = C.cut(C.postings(f, "doc", list(C.WEIGHTS)))
+    ids = C.idf(post, "doc", V.docs(s, d).agg(F.count(F.lit(1)).alias("n")))
+    return q, f, post, ids
+
+
+def scored(s, d):
+    q, f, post, ids = batch(s, d)
+    sc = C.score_fielded(C.profile_queries(q, C.alias_table(s)), post, "doc", ids)
+    return q, f, post, sc
+
+
+def best(s, d, k=10):
+    q, f, post, sc = scored(s, d)
+    return q, post, C.cut(C.rank(C.strong_only(C.with_bonus(sc, q, f, "doc")), "doc", k))
+
+
+@query("j01_idf", "s:term i:df d:idf", f"WITH {FIELDS} SELECT * FROM idf")
+def _(s, d):
+    return batch(s, d)[3]
+
+
+@query("c18_match_terms", "i:doc_id s:term", """WITH t AS (SELECT unnest(['tion', 'eaux', 'keit', 'src1', 'ando']) AS term) SELECT doc_id, term FROM documents, t WHERE contains(lower(text), term) OR contains(lower(source), term)""")
+def _(s, d):
+    return C.match_terms(V.docs(s, d), "doc_id", ["text", "source"], ["tion", "eaux", "keit", "src1", "ando"])
+
+
+@query("c19_expand_aliases", "i:query s:alias,intent,term", f"WITH {QS} SELECT * FROM xa")
+def _(s, d):
+    q = V.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return C.expand_aliases(q, C.alias_table(s))
+
+
+@query("j02_score_fielded", "i:query,doc,matched d:score b:strong", f"WITH {SCORE} SELECT * FROM sr")
+def _(s, d):
+    return scored(s, d)[3]
+
+
+@query("j03_title_bonus", "i:query,doc d:score", f"WITH {BON} SELECT * FROM bo")
+def _(s, d):
+    q, f, _, sc = scored(s, d)
+    return C.with_bonus(sc, q, f, "doc")
+
+
+@query("j04_strong_only", "i:query,doc d:score", f"WITH {BON} SELECT * FROM bo WHERE score > 0 AND strong")
+def _(s, d):
+    q, f, _, sc = scored(s, d)
+    return C.strong_only(C.with_bonus(sc, q, f, "doc"))
+
+
+@query("j06_batch_search", "i:query,doc,rank d:score", f"WITH {RANK} SELECT * FROM rkd")
+def _(s, d):
+    return best(s, d)[2]
+
+
+@query("g01_rank", "i:query,doc,rank d:score", f"WITH {RANK} SELECT * FROM rkd WHERE rank <= 3")
+def _(s, d):
+    return best(s, d, 3)[2]
+
+
+@query("g02_required_first", "i:query,doc,rank b:lead d:score", f"""WITH {SCORE}, ht AS (SELECT query, term, doc, score FROM pq JOIN (SELECT term, doc FROM pd WHERE strong) USING (term) JOIN sr USING (query, doc)), bt AS (SELECT DISTINCT query, arg_min(doc, (-round(score, 6), doc)) AS doc FROM ht GROUP BY query, term),
+dd AS (SELECT query, doc, max(score) AS score FROM ht GROUP BY ALL), z AS (SELECT dd.*, bt.doc IS NOT NULL AS lead FROM dd LEFT JOIN bt ON dd.query = bt.query AND dd.doc = bt.doc)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY lead DESC, round(score, 6) DESC, doc) AS rank FROM z QUALIFY rank <= 10""")
+def _(s, d):
+    q, f, post, sc = scored(s, d)
+    strong = post.where(F.col("field") != "body").select("term", "doc").distinct()
+    hits = C.profile_queries(q, C.alias_table(s)).join(strong, "term").join(sc.select("query", "doc", "score"), ["query", "doc"])
+    return C.rank_required_first(hits, "doc", 10)
+
+
+@query("j07_coverage", "i:query,matched,unmatched,scored,kept s:status", f"""WITH {RANK}, fo AS (SELECT DISTINCT query, term FROM rkd JOIN po USING (doc)), g AS (SELECT qw.query, count(fo.term) AS matched, count(*) - count(fo.term) AS unmatched FROM qw LEFT JOIN fo ON qw.query = fo.query AND qw.term = fo.term GROUP BY qw.query),
+n AS (SELECT query, count(*) AS c FROM rkd GROUP BY query)
+SELECT g.query, matched, unmatched, coalesce(c, 0) AS scored, CASE WHEN coalesce(c, 0) > 0 AND unmatched = 0 THEN 'sufficient' ELSE 'insufficient' END AS status, CASE WHEN coalesce(c, 0) > 0 AND unmatched = 0 THEN c ELSE 0 END AS kept FROM g LEFT JOIN n ON g.query = n.query""")
+def _(s, d):
+    q, post, r = best(s, d)
+    return C.coverage(C.query_terms(q), r, post, "doc")
+
+
+@query("j14_unmatched_terms", "i:query s:term", f"WITH {FIELDS}, {QS} SELECT query, term FROM qt WHERE term NOT IN (SELECT term FROM po) AND term NOT IN (SELECT alias FROM al)")
+def _(s, d):
+    q, _, post, _ = batch(s, d)
+    known = post.select("term").distinct().unionByName(C.alias_table(s).select(F.col("alias").alias("term")))
+    return C.query_terms(q).select("query", "term").join(known, "term", "left_anti")
+
+
+@query("j08_scope", "i:query s:scope,intent", f"""WITH {RANK}, i AS (SELECT query, min(intent) AS intent FROM xa GROUP BY query), b AS (SELECT query, max(score) AS best FROM rkd GROUP BY query)
+SELECT item_id AS query, CASE WHEN regexp_matches(lower(text), '\\b(?:unrelated|off topic)\\b') THEN 'exit' WHEN intent IS NOT NULL THEN 'intent' WHEN coalesce(best >= 1500, false) THEN 'match' ELSE 'out' END AS scope, intent
+FROM benchmark LEFT JOIN i ON i.query = item_id LEFT JOIN b ON b.query = item_id""")
+def _(s, d):
+    q, _, r = best(s, d)
+    return C.scope(q, C.expand_aliases(q, C.alias_table(s)), r, 1500.0)
+
+
+@query("j09_verification", "i:doc_id s:reasons", """WITH z AS (SELECT doc_id, regexp_replace(lower(text), '\\bnot? [^.,]*', ' ', 'g') AS q, doc_id % 9 = 0 AS st, doc_id NOT IN (SELECT doc_id FROM labels) AS eo, n_chars < 100 AS nr FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(q, '\\b(?:latest|current|price|there|here)\\b') THEN 'hint' END, CASE WHEN regexp_matches(q, '\\b(?:tonight|today|when|hour)\\b') THEN 'observing_time' END, CASE WHEN st THEN 'stale_evidence' END, CASE WHEN eo THEN 'evidence_only' END, CASE WHEN nr THEN 'no_coverage' END) AS reasons FROM z""")
+def _(s, d):
+    lab = V.table(s, d, "labels").select("doc_id", F.lit(True).alias("has")).distinct()
+    t = V.docs(s, d).join(lab, "doc_id", "left").select(
+        "doc_id", F.col("text").alias("question"), (F.col("doc_id") % 9 == 0).alias("stale"), F.col("has").isNull().alias("evidence_only"), F.when(F.col("n_chars") < 100, 0).otherwise(1).alias("n_results"))
+    return C.verification_reasons(t)
+
+
+@query("j10_corpus_facts", "s:lang,source i:pages,verified,needs_review,evidence_only", """SELECT lang, source, count(*) AS pages, count(*) FILTER (WHERE quality = 1) AS verified, count(*) FILTER (WHERE quality = 0) AS needs_review, count(*) FILTER (WHERE quality IS NULL) AS evidence_only FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
+def _(s, d):
+    return C.corpus_facts(V.docs(s, d), V.table(s, d, "labels"), ["lang", "source"])
+
+
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+MAN = f"""cn AS (SELECT page_id AS doc, concat('m', page_id) AS cid, split_part({TITLE}, ' ', 1) AS alias, {TITLE} AS title, regexp_extract(html, '<b>([^<.]*)', 1) AS heading, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages),
+mp AS (SELECT term, doc, field, count(*) AS tf FROM (SELECT doc, field, unnest({_tok('content')}) AS term FROM (UNPIVOT (SELECT doc, alias, title, heading, body FROM cn) ON alias, title, heading, body INTO NAME field VALUE content)) GROUP BY ALL),
+mi AS (SELECT term, ln(((SELECT count(*) FROM pages) + 1.0::DOUBLE) / (count(DISTINCT doc) + 1)) + 1 AS idf FROM mp GROUP BY term),
+ms AS (SELECT term, doc, 80 * least(coalesce(max(tf) FILTER (WHERE field = 'alias'), 0), 4) + 28 * least(coalesce(max(tf) FILTER (WHERE field = 'title'), 0), 4) + 16 * least(coalesce(max(tf) FILTER (WHERE field = 'heading'), 0), 4) + 2 * least(coalesce(max(tf) FILTER (WHERE field = 'body'), 0), 12) AS s FROM mp GROUP BY ALL),
+mt AS (SELECT query, doc, sum(s * idf) AS tok FROM (SELECT DISTINCT item_id AS query, unnest({_tok('text')}) AS term FROM benchmark) JOIN ms USING (term) JOIN mi USING (term) GROUP BY ALL),
+mj AS (SELECT mt.*, {_norm('b.text')} AS q, lower(cid) AS cid, {_norm('alias')} AS alias, {_norm('title')} AS title, {_norm('heading')} AS heading FROM mt JOIN cn USING (doc) JOIN benchmark b ON b.item_id = query)"""
+
+
+@query("j05_score_manual", "i:query,doc d:score", f"""WITH {MAN} SELECT query, doc, tok + CASE WHEN q = cid THEN 1200 ELSE 0 END + CASE WHEN length(alias) > 0 AND contains(q, alias) THEN 900 ELSE 0 END + CASE WHEN q = title THEN 700 WHEN length(title) > 0 AND contains(q, title) THEN 260 ELSE 0 END
+ + CASE WHEN length(heading) > 0 AND contains(q, heading) THEN 180 ELSE 0 END AS score FROM mj""")
+def _(s, d):
+    q = V.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    c = V.pages(s, d).select(F.col("page_id").alias("doc"), F.concat(F.lit("m"), F.col("page_id").cast("string")).alias("cid"), F.split(title, " ")[0].alias("alias"), title.alias("title"),
+                             F.regexp_extract("html", "<b>([^<.]*)", 1).alias("heading"), X.strip_tags(F.col("html")).alias("body"))
+    post = C.cut(C.postings(c, "doc", ["alias", "title", "heading", "body"]))
+    ids = C.idf(post, "doc", V.pages(s, d).agg(F.count(F.lit(1)).alias("n")))
+    return C.score_manual(C.query_terms(q), post, "doc", ids, c, q)
