@@ -249,3 +249,14 @@ def lag_by(
         [*keys, "_chunk"],
     )
     return out.select(*df.columns, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_here")).alias(name))
+
+
+def carry_max(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
+    """Largest ``value`` strictly before each row along an integer order, chunk by chunk."""
+    src = df.withColumn("_chunk", F.floor(F.col(order) / width))
+    inner = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    tops = src.groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = tops.select(*keys, "_chunk", F.max("_top").over(before).alias("_carry"))
+    out = join_on(src.withColumn("_here", F.max(value).over(inner)), carry, [*keys, "_chunk"])
+    return out.select(*df.columns, F.greatest("_here", "_carry").alias(name))

@@ -1 +1,69 @@
+"""Streaming queries and their batch twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from astrolake import views as V
+from astrolake.plans.registry import query
+from astrolake.streaming import intake as S
+
+
+def ev(s, d):
+    return S.with_event_time(V.table(s, d, "events"))
+
+
+def stream(s, d):
+    return S.event_stream(s, d, "events.parquet", V.table(s, d, "events").schema)
+
+
+@query("s01_incremental_intake", "i:event_id s:event_type d:score", "SELECT event_id, event_type, value * CAST(json_extract_string(props, '$.k') AS INTEGER) AS score FROM events")
+def _(s, d):
+    return S.intake(s, d, "events.parquet", S.work_folder(s, "intake"))
+
+
+@query("s02_idempotent_intake", "s:digest", "SELECT DISTINCT sha256(concat(event_type, '|', CAST(round(value, 1) AS VARCHAR), '|', user_id)) AS digest FROM events")
+def _(s, d):
+    out = S.work_folder(s, "dedup")
+    S.run_once(S.deduplicate(stream(s, d), "60 days"), out)
+    return s.read.parquet(f"{out}/data")
+
+
+def _win(step: str, size: str) -> str:
+    return f"""SELECT strftime(st, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, median(value) AS median
+FROM (SELECT *, unnest(range(time_bucket(INTERVAL '{step}', ts) - INTERVAL '{size}' + INTERVAL '{step}', time_bucket(INTERVAL '{step}', ts) + INTERVAL '1 second', INTERVAL '{step}')) AS st FROM events) GROUP BY ALL"""
+
+
+def _show(df):
+    return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query("s03_tumbling_quality", "s:start,event_type i:n d:mean,sd,median", _win("1 day", "1 day"))
+def _(s, d):
+    return _show(S.rolling_quality(ev(s, d), "1 day"))
+
+
+@query("s03_sliding_quality", "s:start,event_type i:n d:mean,sd,median", _win("6 hours", "1 day"))
+def _(s, d):
+    return _show(S.rolling_quality(ev(s, d), "1 day", "6 hours"))
+
+
+@query("s03_session_quality", "i:user_id,n s:start d:mean", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS brk FROM events), k AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, avg(value) AS mean FROM k GROUP BY user_id, k""")
+def _(s, d):
+    return _show(S.session_quality(ev(s, d), "6 hours"))
+
+
+@query("s03_late_rows", "i:event_id s:event_type d:late_by", """WITH z AS (SELECT event_id, event_type, CASE WHEN event_id % 50 = 0 THEN ts - INTERVAL 3 HOURS ELSE ts END AS ts FROM events), m AS (SELECT *, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM z)
+SELECT event_id, event_type, (epoch_us(seen) - epoch_us(ts)) / 1e6 AS late_by FROM m WHERE epoch_us(ts) < epoch_us(seen) - 3600000000""")
+def _(s, d):
+    e = ev(s, d).withColumn("ts", F.when(F.col("event_id") % 50 == 0, F.col("ts") - F.expr("INTERVAL 3 HOURS")).otherwise(F.col("ts")))
+    return S.late_rows(e, 3600)
+
+
+@query("s03_streaming_windows", "s:start,event_type i:n d:mean,sd,median")
+def _(s, d):
+    out = S.work_folder(s, "windows")
+    q = S.rolling_quality(S.with_event_time(stream(s, d)).withWatermark("ts", "1 hour"), "1 day")
+    S.run_once(q, out)
+    return _show(s.read.parquet(f"{out}/data"))
