@@ -22,6 +22,10 @@ SMALL_GROUP = 4096
 BAND = 0.001
 #: accuracy of the sketch that places the band (its rank error is one fifth of the band)
 SKETCH_ACCURACY = 5000
+#: a per-group table up to this many rows (each under a kilobyte) is broadcast
+BROADCAST_ROWS = 50_000
+#: tasks a group is spread over when the per-group table is too large to broadcast
+SALTS = 16
 #: number of value cuts used to spread a ranked group over tasks
 RANK_CUTS = 31
 
@@ -40,6 +44,20 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return joined.select("l.*", *[F.col(f"r.{c}") for c in extra])
 
 
+def attach(big: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach one kept row per group to all rows of the group without gathering any group.
+
+    The row count of ``per_group`` is checked: a small one is broadcast and ``big`` does not move.
+    Beyond the limit both sides are salted, the small one repeated per salt, so that a group with a
+    third of all rows is spread over ``SALTS`` tasks and later aggregations still combine first.
+    """
+    if per_group.count() <= BROADCAST_ROWS:
+        return join_on(big, F.broadcast(per_group), keys)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(SALTS)).cast("int"))
+    copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_on(salted, copies, [*keys, "_salt"]).drop("_salt")
+
+
 def target_rank(n: Column, p: float, dialect: str) -> tuple[Column, Column, Column]:
     """(low rank, high rank, weight of high) for a quantile dialect.
 
@@ -81,7 +99,7 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [float(b) for b in bounds], SKETCH_ACCURACY).alias("_c"),
     )
-    j = join_on(base, cuts, keys)
+    j = attach(base, cut(cuts), keys)
     v = F.col("_v")
     inside = F.col("_n") <= SMALL_GROUP
     for p in probs:
@@ -121,7 +139,7 @@ def exact_median(df: DataFrame, keys: list[str], value: Column | str, name: str)
 def median_mad(df: DataFrame, keys: list[str], value: str, med: str = "med", mad: str = "mad") -> DataFrame:
     """Median and median absolute deviation of groups of any size."""
     m = cut(exact_median(df, keys, value, med))
-    dev = join_on(df.select(*keys, value), m, keys).withColumn("_d", F.abs(F.col(value) - F.col(med)))
+    dev = attach(df.select(*keys, value), m, keys).withColumn("_d", F.abs(F.col(value) - F.col(med)))
     return join_on(m, exact_median(dev, keys, "_d", mad), keys)
 
 
@@ -149,7 +167,8 @@ def ranked(
         F.percentile_approx("_v", probs, 1000).alias("_cv"),
         F.percentile_approx(F.col(tie).cast("double"), probs, 1000).alias("_ct"),
     )
-    j = join_on(src, cuts, keys)
+    cuts = cut(cuts)  # one row per group; kept so that the input is not sketched again by every reader
+    j = attach(src, cuts, keys)
     ge = reduce(lambda a, b: a + b, [(F.col("_v") >= F.col("_cv")[i]).cast("int") for i in range(RANK_CUTS)])
     gt = reduce(lambda a, b: a + b, [(F.col("_v") > F.col("_cv")[i]).cast("int") for i in range(RANK_CUTS)])
     tt = reduce(lambda a, b: a + b, [(F.col(tie) >= F.col("_ct")[i]).cast("int") for i in range(RANK_CUTS)])
@@ -173,6 +192,7 @@ def ranked(
         F.sum("_k").over(whole).alias("_all"),
         *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0.0)).alias(f"_o{i}") for i in range(len(running))],
     )
+    offs = cut(offs)  # at most a few thousand rows per group
     bucket = W.partitionBy(*keys, "_b", "_t").orderBy("_v", tie)
     upto = bucket.rowsBetween(W.unboundedPreceding, 0)
     out = join_on(j, offs, [*keys, "_b", "_t"])

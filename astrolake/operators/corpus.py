@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from astrolake.functions.text import ascii_tokens, normalise, slug
-from astrolake.session import cut
+from astrolake.functions.text import STOP, ascii_tokens, normalise, slug
+from astrolake.session import cut, hold
 
 # fixed values: field weights of the fielded score
 WEIGHTS = {"title": 12.0, "tags": 8.0, "description": 6.0, "category": 5.0, "headings": 4.0, "applies_to": 3.0, "body": 1.0}
@@ -37,8 +37,7 @@ def explode_sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A heading is a non-blank line followed by a rule of one repeated mark at least two short of it.
     """
-    lines = F.split(F.col(text), "\n")
-    d = df.select(key, lines.alias("ln"))
+    d = hold(df.select(key, text), "ln", F.split(F.col(text), "\n")).select(key, "ln")
     rule = r"^(?:=+|-+|\*+|~+)$"
 
     def is_head(i: Column) -> Column:
@@ -46,7 +45,7 @@ def explode_sections(df: DataFrame, key: str, text: str) -> DataFrame:
         return (F.trim(here) != "") & ~here.rlike(rule) & below.rlike(rule) & (F.length(below) >= F.length(here) - 2)
 
     n = F.size("ln")
-    d = d.withColumn("heads", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(is_head(i), F.lit(False))))
+    d = hold(d, "heads", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(is_head(i), F.lit(False))))
     d = d.withColumn("n", n).select(key, "ln", "n", "heads", F.posexplode("heads").alias("k", "h"))
     end = F.coalesce(F.get("heads", F.col("k") + 1), F.col("n"))
     d = d.select(
@@ -118,7 +117,8 @@ def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
 
 def document_fields(docs: DataFrame) -> DataFrame:
     """Fielded view of a plain document: first line, second line, short lines, language, source, whole text."""
-    lines = F.split("text", "\n")
+    docs = hold(docs.select("doc_id", "lang", "source", "text"), "lines", F.split("text", "\n"))
+    lines = F.col("lines")
     short = F.filter(lines, lambda s: F.size(F.split(s, " ")) <= 5)
     return docs.select(
         F.col("doc_id").alias("doc"), F.get(lines, F.lit(0)).alias("title"), F.concat_ws(" ", "lang", "source").alias("tags"),
@@ -129,14 +129,36 @@ def document_fields(docs: DataFrame) -> DataFrame:
 def postings(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
     """(term, document, field, tf), combined before the shuffle."""
     long = fields.unpivot([key], names, "field", "content")
-    return long.select(key, "field", F.explode(ascii_tokens(F.col("content"))).alias("term")).groupBy("term", key, "field").agg(F.count(F.lit(1)).alias("tf"))
+    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
+    terms = long.select(key, "field", F.explode(words).alias("term")).where(~F.col("term").isin(*STOP))
+    return terms.groupBy("term", key, "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def idf(post: DataFrame, key: str, n_docs: DataFrame) -> DataFrame:
-    """Document frequency and ln((N+1)/(df+1))+1 per term; N is one row attached by a constant key."""
+TERM_ROWS = 200_000  # an asked-term table up to this many rows is broadcast
+
+
+def small_or_plain(df: DataFrame) -> DataFrame:
+    """Broadcast a kept table whose row count has been checked; leave a larger one to a shuffle join."""
+    return F.broadcast(df) if df.count() <= TERM_ROWS else df
+
+
+def postings_of(post: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """Only the postings of terms somebody asked for; document frequencies of those terms stay whole.
+
+    With few terms the postings do not move.  With many they are shuffled by term for the semi join
+    and then spread by (term, document), so a term found in every document is not one task.
+    """
+    asked = cut(terms.select("term").distinct())
+    few = asked.count() <= TERM_ROWS
+    out = post.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    return out if few else out.repartition("term", key)
+
+
+def idf(post: DataFrame, key: str, docs: DataFrame) -> DataFrame:
+    """Document frequency and ln((N+1)/(df+1))+1 per term; N is a scalar sub-query over the corpus."""
     df = post.select("term", key).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = n_docs.select(F.lit(0).alias("_g"), "n")
-    return df.withColumn("_g", F.lit(0)).join(F.broadcast(n), "_g").select("term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.select("term", "df", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -191,20 +213,21 @@ def score_fielded(terms: DataFrame, post: DataFrame, key: str, idfs: DataFrame)
     fw = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     per = post.groupBy("term", key).agg(
         F.sum(fw[F.col("field")] * (1 + F.ln(F.least("tf", F.lit(8))))).alias("s"), F.max(F.col("field").isin(*STRONG)).alias("strong"))
-    per = per.join(idfs.select("term", "idf"), "term")
+    per = per.join(small_or_plain(idfs.select("term", "idf")), "term")
     part = F.col("s") * F.col("idf") * F.col("weight") * length_weight(F.col("term"))
-    return terms.join(per, "term").groupBy("query", key).agg(
+    return per.join(small_or_plain(terms), "term").groupBy("query", key).agg(
         F.sum(part).alias("score"), F.max("strong").alias("strong"), F.count(F.lit(1)).alias("matched"))
 
 
 def with_bonus(scored: DataFrame, queries: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """+45 when the title occurs in the query, +5 per category hint."""
     q = queries.select("query", normalise(F.col("text")).alias("_q"))
+    q = hold(q, "_w", F.split("_q", " "))
     t = docs.select(key, normalise(F.col("title")).alias("_t"), "category")
     j = scored.join(q, "query").join(t, key)
     title = F.when((F.length("_t") > 0) & F.contains("_q", "_t"), 45.0).otherwise(0.0)
-    hint = F.when(F.array_contains(F.split("_q", " "), F.col("category")), 5.0).otherwise(0.0)
-    return j.withColumn("score", F.col("score") + title + hint).drop("_q", "_t", "category")
+    hint = F.when(F.array_contains("_w", F.col("category")), 5.0).otherwise(0.0)
+    return j.withColumn("score", F.col("score") + title + hint).drop("_q", "_w", "_t", "category")
 
 
 def strong_only(scored: DataFrame) -> DataFrame:

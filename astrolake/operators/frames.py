@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolake.functions.scan import exact_quantiles, join_on
+from astrolake.functions.scan import attach, exact_quantiles, join_on
+from astrolake.session import cut
 
 # fixed values: accepted colour filter array patterns
 BAYER = ("RGGB", "BGGR", "GRBG", "GBRG")
@@ -251,7 +252,8 @@ def frame_quality(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFra
     long = df.unpivot([*keys, "frame"], metrics, "metric", "value").where(F.col("value").isNotNull())
     g = [*keys, "metric"]
     q = exact_quantiles(long, g, "value", {f"p{int(p * 100)}": (p, "pF") for p in (0.1, 0.5, 0.9, 0.99)}, count_as="n")
-    s = join_on(long, q.select(*g, "p50"), g).groupBy(*g).agg(
+    q = cut(q)
+    s = attach(long, q.select(*g, "p50"), g).groupBy(*g).agg(
         F.min("value").alias("mn"), F.max("value").alias("mx"), F.stddev_samp("value").alias("_sd"),
         F.count_if(F.col("value") > 1.5 * F.col("p50")).alias("n_outlier"))
     j = join_on(q, s, g)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from astrolake.functions.scan import exact_quantiles
+from astrolake.functions.scan import attach, exact_quantiles
+from astrolake.session import cut
 from astrolake.functions.tiles import MAD_TO_SIGMA, median_of
 
 # fixed values: Rec. 709 luminance weights
@@ -128,8 +129,8 @@ def neighbourhood(px: DataFrame, keys: list[str], value: str, h: int, name: str)
 def noise(px: DataFrame, keys: list[str], dark: float = 0.35, b: int = 4) -> DataFrame:
     """Robust sigma of the 3x3 high-pass residual over the darkest share, and its spread over blocks."""
     hp = neighbourhood(px, keys, "v", 1, "_nb").withColumn("res", F.col("v") - median_of(F.col("_nb"))).drop("_nb")
-    cut = hp.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
-    dk = hp.join(cut, keys).where(F.col("v") <= F.col("_cut"))
+    dim = hp.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
+    dk = hp.join(dim, keys).where(F.col("v") <= F.col("_cut"))
     whole = robust_sigma(dk, keys, "res", "sigma")
     blk = hp.withColumn("by", F.floor(F.col("y") / b)).withColumn("bx", F.floor(F.col("x") / b))
     bs = robust_sigma(blk, [*keys, "by", "bx"], "res", "bs").groupBy(*keys).agg(
@@ -177,8 +178,8 @@ def plane_sums(df: DataFrame, keys: list[str], z: str, x: Column, y: Column, w:
 
 def fit_plane(px: DataFrame, keys: list[str], side: int, dark: float = 0.45) -> DataFrame:
     """Background plane on the darkest share, coordinates scaled to -1..1."""
-    cut = px.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
-    dk = px.join(cut, keys).where(F.col("v") <= F.col("_cut"))
+    dim = px.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
+    dk = px.join(dim, keys).where(F.col("v") <= F.col("_cut"))
     half = (side - 1) / 2
     p = plane_sums(dk, keys, "v", (F.col("x") - half) / half, (F.col("y") - half) / half)
     return p.withColumn("magnitude", F.hypot("b", "c")).withColumn("angle", F.degrees(F.atan2("c", "b")))
@@ -230,9 +231,9 @@ def corner_uniformity(px: DataFrame, keys: list[str], side: int, corner: int = 2
 
 def color_stats(rgb: DataFrame, keys: list[str], dark: float = 0.30) -> DataFrame:
     l = with_luminance(rgb)
-    cut = l.groupBy(*keys).agg(pct("l", dark).alias("_cut"))
+    dim = l.groupBy(*keys).agg(pct("l", dark).alias("_cut"))
     in_dark = F.col("l") <= F.col("_cut")
-    g = l.join(cut, keys).groupBy(*keys).agg(
+    g = l.join(dim, keys).groupBy(*keys).agg(
         *[F.median(F.when(in_dark, F.col(c))).alias(f"bg_{c}") for c in "rgb"],
         *[pct(c, 0.99).alias(f"p99_{c}") for c in "rgb"],
         F.corr("r", "g").alias("corr_rg"), F.corr("r", "b").alias("corr_rb"), F.corr("g", "b").alias("corr_gb"))
@@ -445,7 +446,7 @@ def black_corners(tiles: DataFrame, steps: int = 8, worst: float = 0.10, floor:
     """
     last = tiles.groupBy("session").agg((F.max("rk") + 1).alias("n"))
     step = F.greatest(F.floor(F.col("n") / steps), F.lit(1))
-    pick = tiles.join(last, "session").where((F.col("rk") % step == 0) | (F.col("rk") == F.col("n") - 1))
+    pick = attach(tiles, cut(last), ["session"]).where((F.col("rk") % step == 0) | (F.col("rk") == F.col("n") - 1))
     dark = F.size(F.filter("tile", lambda v: v <= floor)) / F.size("tile")
     return pick.select("session", dark.alias("s")).groupBy("session").agg(
         F.count(F.lit(1)).alias("checked"), F.max("s").alias("worst")).withColumn("failed", F.col("worst") > worst)
@@ -486,8 +487,8 @@ def tone_match(px2: DataFrame, keys: list[str], blend: float = 0.7) -> DataFrame
 def match_gains(rgb2: DataFrame, keys: list[str], dark: float = 0.60, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
     """Channel gains to the reference from dark medians, geometric mean one, bounded; and the p99 ratio."""
     l = rgb2.withColumn("l", lum()).withColumn("cl", lum("cr", "cg", "cb"))
-    cut = l.groupBy(*keys).agg(pct("l", dark).alias("k"), pct("cl", dark).alias("ck"))
-    j = l.join(cut, keys)
+    dim = l.groupBy(*keys).agg(pct("l", dark).alias("k"), pct("cl", dark).alias("ck"))
+    j = l.join(dim, keys)
     g = j.groupBy(*keys).agg(
         *[F.median(F.when(F.col("l") <= F.col("k"), F.col(c))).alias(f"s_{c}") for c in "rgb"],
         *[F.median(F.when(F.col("cl") <= F.col("ck"), F.col(f"c{c}"))).alias(f"t_{c}") for c in "rgb"],
@@ -533,8 +534,8 @@ def range_health(px2: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def starless_stats(px: DataFrame, keys: list[str], side: int, dark: float = 0.35, corner: int = 2) -> DataFrame:
-    cut = px.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
-    nz = robust_sigma(px.join(cut, keys).where(F.col("v") <= F.col("_cut")), keys, "v", "noise")
+    dim = px.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
+    nz = robust_sigma(px.join(dim, keys).where(F.col("v") <= F.col("_cut")), keys, "v", "noise")
     reg = px.withColumn("reg", corner_region(side, corner, 0)).where(F.col("reg").isNotNull())
     c = reg.groupBy(*keys, "reg").agg(F.avg("v").alias("m")).groupBy(*keys).agg((F.max("m") / F.nullif(F.min("m"), F.lit(0.0))).alias("corner_ratio"))
     return nz.join(c, keys)

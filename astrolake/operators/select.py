@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from astrolake.functions.scan import exact_quantiles, lag_by, ranked
+from astrolake.functions.scan import attach, exact_quantiles, lag_by, ranked
 from astrolake.session import cut
 
 BINS = 256
@@ -37,15 +37,15 @@ def select_percent(df: DataFrame, keys: list[str], percent: float | None = None)
 def select_relative(df: DataFrame, keys: list[str], threshold: float = 0.75) -> DataFrame:
     """Within a share of the sharpest, never fewer than max(3, 10 %)."""
     best = df.groupBy(*keys).agg(F.max("sharpness").alias("best"))
-    r = by_sharpness(df, keys).join(best, keys)
+    r = attach(by_sharpness(df, keys), cut(best), keys)
     return r.where((F.col("sharpness") >= threshold * F.col("best")) | (F.col("rk") <= floor_count(F.col("total")))).drop("best")
 
 
 def otsu_threshold(df: DataFrame, keys: list[str]) -> DataFrame:
     """256-bin histogram split of the largest between-class variance; threshold is the bin centre."""
-    rng = df.groupBy(*keys).agg(F.min("sharpness").alias("lo"), F.max("sharpness").alias("hi"), F.count(F.lit(1)).alias("n"))
+    rng = cut(df.groupBy(*keys).agg(F.min("sharpness").alias("lo"), F.max("sharpness").alias("hi"), F.count(F.lit(1)).alias("n")))
     b = F.least(F.floor((F.col("sharpness") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
-    h = df.join(rng.where(F.col("hi") > F.col("lo")), keys).groupBy(*keys, b.alias("bin")).agg(
+    h = attach(df, rng, keys).where(F.col("hi") > F.col("lo")).groupBy(*keys, b.alias("bin")).agg(
         F.count(F.lit(1)).alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / BINS
     h = h.withColumn("centre", centre)
@@ -63,7 +63,7 @@ def otsu_threshold(df: DataFrame, keys: list[str]) -> DataFrame:
 def select_otsu(df: DataFrame, keys: list[str]) -> DataFrame:
     """Otsu split with its small, uniform and calm-window exceptions."""
     t = cut(otsu_threshold(df, keys))
-    r = by_sharpness(df, keys).join(t, keys)
+    r = attach(by_sharpness(df, keys), t, keys)
     n = F.col("total")
     spread = (F.col("hi") - F.col("lo")) / F.greatest("hi", F.lit(1e-6))
     reason = F.when(n < 4, "few").when(F.col("hi") - F.col("lo") < 1e-4, "uniform").when((n >= 5) & (spread < 0.06), "calm").otherwise("otsu")
@@ -78,13 +78,13 @@ def select_utility(df: DataFrame, keys: list[str], alpha: float = 2.0, beta: flo
     """Keep the k with the largest mean(q[:k])^alpha * sqrt(k/n)^beta, k within 10..95 percent."""
     rng = df.groupBy(*keys).agg(F.min("sharpness").alias("lo"), F.max("sharpness").alias("hi"))
     q = (F.col("sharpness") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6)
-    r = by_sharpness(df.join(rng, keys), keys, running={"qs": q})
+    r = by_sharpness(attach(df, cut(rng), keys), keys, running={"qs": q})
     n, k = F.col("total"), F.col("rk")
     u = F.pow(F.col("qs") / k, F.lit(alpha)) * F.pow(F.sqrt(k / n), F.lit(beta))
     lo_k = floor_count(n)
     hi_k = F.least(n, F.greatest(lo_k, F.bround(n * 0.95)))
     best = r.where((k >= lo_k) & (k <= hi_k)).groupBy(*keys).agg(F.max_by("rk", F.struct(F.round(u, 9), -F.col("rk"))).alias("best_k"))
-    r = r.join(cut(best), keys)
+    r = attach(r, cut(best), keys)
     small = (n < 4) | (F.col("hi") - F.col("lo") < 1e-4)
     return r.where(small | (k <= F.col("best_k"))).drop("lo", "hi", "qs")
 
@@ -92,7 +92,7 @@ def select_utility(df: DataFrame, keys: list[str], alpha: float = 2.0, beta: flo
 def filter_frames(df: DataFrame, keys: list[str], best_percent: float = 80.0, min_roundness: float = 0.94) -> DataFrame:
     """Best share by weighted FWHM, and an absolute roundness floor."""
     r = ranked(df, keys, "wfwhm", "frame", total="total")
-    return r.where((F.col("rk") <= F.floor(F.col("total") * best_percent / 100)) & (F.col("roundness") >= min_roundness))
+    return r.where((F.col("rk") <= F.floor(F.col("total") * best_percent / 100)) & (F.round("roundness", 9) >= min_roundness))
 
 
 def flag_frames(df: DataFrame, keys: list[str], min_ratio: float = 0.2) -> DataFrame:
@@ -101,7 +101,7 @@ def flag_frames(df: DataFrame, keys: list[str], min_ratio: float = 0.2) -> DataF
     ratio = F.col("signal") / F.nullif(F.col("p90"), F.lit(0.0))
     flags = F.array_compact(F.array(
         F.when(ratio < min_ratio, "low_signal"), F.when(ratio < min_ratio / 4, "target_lost"), F.when(F.col("saturation") > 0.07, "clipping")))
-    return df.join(q, keys).withColumn("ratio", ratio).withColumn("flags", F.array_join(flags, ",")).withColumn(
+    return attach(df, cut(q), keys).withColumn("ratio", ratio).withColumn("flags", F.array_join(flags, ",")).withColumn(
         "sharpness", F.when(ratio < min_ratio, 0.0).otherwise(F.col("sharpness"))).drop("p90")
 
 
@@ -120,7 +120,7 @@ def select_spread(df: DataFrame, keys: list[str], t: str, limit: int, bins: int
     """
     rng = df.groupBy(*keys).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
     b = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col(t) - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0)
-    j = df.join(rng, keys).withColumn("bin", b.cast("int")).drop("_a", "_b")
+    j = attach(df, cut(rng), keys).withColumn("bin", b.cast("int")).drop("_a", "_b")
     inner = W.partitionBy(*keys, "bin").orderBy(F.desc("sharpness"), "frame")
     j = j.withColumn("turn", F.row_number().over(inner)).where(F.col("turn") <= limit)
     outer = W.partitionBy(*keys).orderBy("turn", "bin")

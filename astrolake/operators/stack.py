@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from astrolake.functions.scan import exact_median, exact_quantiles, median_mad
+from astrolake.functions.scan import attach, exact_median, exact_quantiles, median_mad
 from astrolake.session import cut
 from astrolake.functions.tiles import MAD_TO_SIGMA, doubles, median_of, quantile_of, sigma_of
 
@@ -38,13 +38,13 @@ def align_sky(tiles: DataFrame) -> DataFrame:
     levels = own.select("session", "frame", "sky")
     mid = exact_median(levels, ["session"], "sky", "mid")
     anchor = (
-        levels.join(mid, "session")
+        attach(levels, cut(mid), ["session"])
         .groupBy("session")
         .agg(F.min_by("sky", F.struct(F.round(F.abs(F.col("sky") - F.col("mid")), 9), F.col("frame"))).alias("b0"))
     )
     anchor = cut(anchor)
     shift = F.col("sky") - F.col("b0")
-    return own.join(anchor, "session").withColumn("tile", F.transform(doubles(F.col("tile")), lambda v: v - shift))
+    return attach(own, anchor, ["session"]).withColumn("tile", F.transform(doubles(F.col("tile")), lambda v: v - shift))
 
 
 def frame_weights(aligned: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def frame_weights(aligned: DataFrame) -> DataFrame:
     sg = exact_median(own, ["session"], "sigma", "sigma_mid")
     mids = cut(fw.join(sg, "session"))
     return (
-        own.join(mids, "session")
+        attach(own, mids, ["session"])
         .withColumn("clarity", F.col("fwhm_mid") / F.col("fwhm"))
         .withColumn("snr", F.col("sigma_mid") / F.col("sigma"))
         .drop("fwhm_mid", "sigma_mid")
@@ -88,7 +88,7 @@ def detail_field(ref: DataFrame, h: int = 2, eps: float = 8.0, eta: float = 1.0)
     """R = clip(d / (local max d + eps*sigma), 0, 1)^eta with d the signal above the reference sky."""
     ref = cut(ref)
     stats = median_mad(ref, ["session"], "ref", "mu", "mad")
-    d = ref.join(cut(stats), "session").withColumn("d", F.greatest(F.col("ref") - F.col("mu"), F.lit(0.0)))
+    d = attach(ref, cut(stats), ["session"]).withColumn("d", F.greatest(F.col("ref") - F.col("mu"), F.lit(0.0)))
     m = window_max(with_yx(d), ["session"], "d", h, "m")
     r = F.col("d") / (F.col("m") + eps * MAD_TO_SIGMA * F.col("mad"))
     return m.withColumn("detail", F.pow(F.least(F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(eta)))
@@ -114,7 +114,7 @@ def reject(
     planes = median_mad(long, ["session", "pos"], "v", "a", "dev")
     planes = planes.join(detail.select("session", "pos", "detail"), ["session", "pos"])
     arrays = cut(to_planes(planes, ["a", "dev", "detail"]))
-    f = weighted.join(arrays, "session")
+    f = attach(weighted, arrays, ["session"])
     b0 = F.col("b0")
     parts = F.arrays_zip("tile", "a", "detail")
     ratios = F.transform(
@@ -122,8 +122,9 @@ def reject(
         lambda z: F.abs(z["tile"] - z["a"]) / (z["a"] - b0),
     )
     f = f.withColumn("p99", quantile_of(ratios, 0.99))
-    m = cut(exact_median(f, ["session"], "p99", "m"))
-    f = f.join(m, "session", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    m = exact_median(f, ["session"], "p99", "m")
+    sessions = arrays.select("session").join(m, "session", "left")
+    f = attach(f, cut(sessions.withColumn("m", F.coalesce("m", F.lit(0.0)))), ["session"])
     mm = F.col("m")
     flags = F.transform(
         F.arrays_zip("tile", "a", "dev", "detail"),
@@ -138,7 +139,7 @@ def reject(
         .agg(F.sum(F.col("f").cast("int")).alias("c"), F.count(F.lit(1)).alias("n"))
     )
     allow = counts.withColumn("act", F.col("c") - F.col("n") * expected <= gate * F.col("n"))
-    f = f.join(cut(to_planes(allow, ["act"])), "session")
+    f = attach(f, cut(to_planes(allow, ["act"])), ["session"])
     return f.withColumn("flag", F.zip_with("flag", "act", lambda a, b: a & b)).drop("act")
 
 
@@ -171,7 +172,7 @@ def noise_step(stacked: DataFrame) -> DataFrame:
     s = stacked.withColumn("step", F.sqrt(F.col("n") / F.col("neff")))
     s = cut(s)
     mid = exact_median(s, ["session"], "step", "mid")
-    return s.join(mid, "session").withColumn("nu", F.col("step") / F.col("mid"))
+    return attach(s, cut(mid), ["session"]).withColumn("nu", F.col("step") / F.col("mid"))
 
 
 def weighted_stack(tiles: DataFrame, k: int = 8) -> DataFrame:
@@ -196,7 +197,7 @@ def scale_frames(aligned: DataFrame) -> DataFrame:
     t = doubles(F.col("tile"))
     own = aligned.withColumn("loc", median_of(t)).withColumn("scl", F.nullif(sigma_of(t), F.lit(0.0)))
     ref = cut(exact_median(own, ["session"], "loc", "loc0").join(exact_median(own, ["session"], "scl", "scl0"), "session"))
-    j = own.join(ref, "session")
+    j = attach(own, ref, ["session"])
     k, a, b = F.coalesce(F.col("scl0") / F.col("scl"), F.lit(1.0)), F.col("loc"), F.col("loc0")
     return j.withColumn("tile", F.transform(t, lambda v: (v - a) * k + b)).drop("loc", "scl", "loc0", "scl0")
 

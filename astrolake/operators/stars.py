@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from astrolake.functions.scan import exact_quantiles, join_on
+from astrolake.functions.scan import attach, exact_quantiles, join_on
 from astrolake.functions.tiles import MAD_TO_SIGMA
 from astrolake.operators.components import components
 from astrolake.operators.images import clamp, pct, share
@@ -201,11 +201,11 @@ def shape_field(stars: DataFrame, key: str, value: str, width: float, height: fl
         s = cur.groupBy("g").agg(F.array(*sums).alias("a"), F.array(*rhs).alias("b"))
         coef = cut(s.mapInPandas(_solve_rows, "g string, coef array<double>"))
         fit = sum((F.col("coef")[j] * c for j, c in enumerate(_term_cols())), F.lit(0.0))
-        res = cur.join(coef, "g").withColumn("res", F.col("z") - fit)
+        res = attach(cur, coef, ["g"]).withColumn("res", F.col("z") - fit)
         if i + 1 < rounds:
             med = cut(exact_quantiles(res, ["g"], "res", {"m": (0.5, "pL")}))
-            dev = cut(exact_quantiles(res.join(med, "g").withColumn("d", F.abs(F.col("res") - F.col("m"))), ["g"], "d", {"mad": (0.5, "pL")}))
-            kept = res.join(med, "g").join(dev, "g").where(F.abs(F.col("res") - F.col("m")) <= 3.5 * MAD_TO_SIGMA * F.col("mad"))
+            dev = cut(exact_quantiles(attach(res, med, ["g"]).withColumn("d", F.abs(F.col("res") - F.col("m"))), ["g"], "d", {"mad": (0.5, "pL")}))
+            kept = attach(attach(res, med, ["g"]), dev, ["g"]).where(F.abs(F.col("res") - F.col("m")) <= 3.5 * MAD_TO_SIGMA * F.col("mad"))
             cur = cut(kept.select("g", "u", "w", "z"))
     cells = cur.join(total, "g").groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.first("n_all").alias("n_all"),

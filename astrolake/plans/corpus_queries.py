@@ -189,13 +189,16 @@ def batch(s, d):
     q = V.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text")
     f = C.document_fields(V.docs(s, d))
     post = C.cut(C.postings(f, "doc", list(C.WEIGHTS)))
-    ids = C.idf(post, "doc", V.docs(s, d).agg(F.count(F.lit(1)).alias("n")))
+    ids = C.idf(post, "doc", V.table(s, d, "documents"))
     return q, f, post, ids
 
 
 def scored(s, d):
-    q, f, post, ids = batch(s, d)
-    sc = C.score_fielded(C.profile_queries(q, C.alias_table(s)), post, "doc", ids)
+    q, f, post, _ = batch(s, d)
+    terms = C.cut(C.profile_queries(q, C.alias_table(s)))
+    asked = C.postings_of(post, terms, "doc")
+    ids = C.cut(C.idf(asked, "doc", V.table(s, d, "documents")))
+    sc = C.score_fielded(terms, asked, "doc", ids)
     return q, f, post, sc
 
 
@@ -311,5 +314,5 @@ def _(s, d):
     c = V.pages(s, d).select(F.col("page_id").alias("doc"), F.concat(F.lit("m"), F.col("page_id").cast("string")).alias("cid"), F.split(title, " ")[0].alias("alias"), title.alias("title"),
                              F.regexp_extract("html", "<b>([^<.]*)", 1).alias("heading"), X.strip_tags(F.col("html")).alias("body"))
     post = C.cut(C.postings(c, "doc", ["alias", "title", "heading", "body"]))
-    ids = C.idf(post, "doc", V.pages(s, d).agg(F.count(F.lit(1)).alias("n")))
+    ids = C.idf(post, "doc", V.table(s, d, "pages"))
     return C.score_manual(C.query_terms(q), post, "doc", ids, c, q)

@@ -144,7 +144,7 @@ tr AS (SELECT *, tx AS dx, ty AS dy, degrees(atan2(sc * sin(radians(rot)), sc *
 
 
 def registered(s, d):
-    f = V.frames(s, d)
+    f = V.frame_catalogue(s, d)
     a = F.radians((F.col("frame") % 13 - 6) * 0.4)
     sc = 1 + (F.col("frame") % 7 - 3) * 0.01
     h = F.array(sc * F.cos(a), -sc * F.sin(a), (F.col("frame") % 97).cast("double"), sc * F.sin(a), sc * F.cos(a), (F.col("frame") % 89).cast("double"),
@@ -210,7 +210,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY session, metric ORDER BY value)
 q AS (SELECT session, metric, any_value(n) AS n, min(value) AS mn, {_pf('value', .1)} AS p10, {_pf('value', .5)} AS p50, {_pf('value', .9)} AS p90, {_pf('value', .99)} AS p99, max(value) AS mx, stddev_samp(value) AS sd FROM o GROUP BY ALL)
 SELECT q.*, sd / nullif(p50, 0) AS rel_sigma, p90 / nullif(p10, 0) AS dispersion, c.n_outlier FROM q JOIN (SELECT l.session, l.metric, count(*) FILTER (WHERE value > 1.5 * p50) AS n_outlier FROM l JOIN q USING (session, metric) GROUP BY ALL) c USING (session, metric)""")
 def _(s, d):
-    return R.frame_quality(V.frames(s, d), ["session"], ["fwhm", "roundness", "background"])
+    return R.frame_quality(V.frame_catalogue(s, d), ["session"], ["fwhm", "roundness", "background"])
 
 
 @query("d20_dispersion_gate", "s:session,reason i:n d:p10,p90,ratio b:eligible", f"""
@@ -218,7 +218,7 @@ WITH o AS (SELECT session, wfwhm AS v, row_number() OVER (PARTITION BY session O
 q AS (SELECT session, any_value(n) AS n, {_pf('v', .1)} AS p10, {_pf('v', .9)} AS p90 FROM o GROUP BY session)
 SELECT *, p90 / p10 AS ratio, CASE WHEN n < 20 THEN 'too_few_frames' WHEN ratio <= 1.4 THEN 'low_dispersion' WHEN n < 30 THEN 'thin' ELSE 'ok' END AS reason, reason IN ('ok', 'thin') AS eligible FROM q""")
 def _(s, d):
-    return R.dispersion_gate(V.frames(s, d), ["session"], "wfwhm")
+    return R.dispersion_gate(V.frame_catalogue(s, d), ["session"], "wfwhm")
 
 
 @query("d22_filter_breakdown", "s:session,filter i:n", """SELECT session, CASE WHEN frame % 10 = 0 THEN NULL ELSE upper(rtrim(concat(lower(filter), ' '))) END AS filter, count(*) AS n FROM frames GROUP BY ALL""")

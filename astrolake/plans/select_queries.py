@@ -16,7 +16,7 @@ fl AS (SELECT *, least(n, greatest(3, round_even(n * 0.1::DOUBLE, 0))) AS mink F
 
 
 def sharp(s, d):
-    return V.frames(s, d).withColumn("sharpness", 1000 / F.col("wfwhm"))
+    return V.frame_catalogue(s, d).withColumn("sharpness", 1000 / F.col("wfwhm"))
 
 
 @query("f01_select_percent", "s:session i:frame,rk d:sharpness", f"""WITH {SHARP}
@@ -51,9 +51,9 @@ def _(s, d):
 
 
 @query("f05_filter_frames", "s:session i:frame,rk", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY wfwhm, frame) AS rk, count(*) OVER (PARTITION BY session) AS n FROM frames)
-SELECT * FROM r WHERE rk <= floor(n * 0.8::DOUBLE) AND roundness >= 0.94""")
+SELECT * FROM r WHERE rk <= floor(n * 0.8::DOUBLE) AND round(roundness, 9) >= 0.94""")
 def _(s, d):
-    return Q.filter_frames(V.frames(s, d), S)
+    return Q.filter_frames(V.frame_catalogue(s, d), S)
 
 
 @query("f06_flag_frames", "s:kind,flags i:id d:ratio,sharpness", """WITH q AS (SELECT kind, quantile_cont(value, 0.9) AS p FROM ev GROUP BY kind), z AS (SELECT id, ev.kind, value / p AS ratio, k FROM ev JOIN q ON ev.kind = q.kind)

@@ -156,7 +156,7 @@ SELECT session, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS declared, count(*) FIL
        kept = declared AS membership_ok, avg(fwhm) AS fwhm_before, avg(fwhm) FILTER (WHERE rk <= n * 0.7::DOUBLE) AS fwhm_after,
        (fwhm_before - fwhm_after) / fwhm_before * 100 AS gain_pct FROM k GROUP BY session, n""")
 def _(spark, d):
-    f = ranked(V.frames(spark, d), ["session"], "wfwhm", "frame", total="n")
+    f = ranked(V.frame_catalogue(spark, d), ["session"], "wfwhm", "frame", total="n")
     declared = f.groupBy("session").agg(
         F.floor(F.count(F.lit(1)) * 0.7).alias("declared"), F.avg("fwhm").alias("fwhm_before"))
     return S.stack_report(f.where(F.col("rk") <= F.col("n") * 0.7), declared)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "astrolake", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -15,6 +16,7 @@ def build_session(app: str = "astrolake", cores: str = "*", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -37,3 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core when the input arrives in fewer splits than there are cores.
+
+    Large inputs already have many splits and pass unchanged; only a small file is hashed by its id.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > want else df.repartition(want, key)
+
+
+def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column behind a generator, so that later expressions read it instead of repeating it.
+
+    Projections above a plain column would be merged with it, and an expression merged into a
+    lambda is evaluated once per element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

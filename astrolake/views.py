@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.functions.scan import rank_by_id
+from astrolake.session import cut, spread
 
 SIDE = 8  # pixels per frame side
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     """One row per stored frame tile: (session, frame, tile array)."""
-    return table(spark, d, "embeddings").select(
+    return spread(table(spark, d, "embeddings"), "vec_id").select(
         F.col("label").alias("session"), F.col("vec_id").alias("frame"), F.col("embedding").alias("tile")
     )
 
@@ -108,6 +109,11 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return o.join(m, "frame").withColumn("wfwhm", F.col("fwhm") * (1 + 1 / F.col("nstars")))
 
 
+def frame_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The frame table kept: one row per frame, for operators that pass over it more than once."""
+    return cut(frames(spark, d))
+
+
 def stars_a(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     k = F.col("p_partkey")
@@ -165,7 +171,7 @@ def ev(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +186,7 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages")
+    return spread(table(spark, d, "pages"), "page_id")
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
