@@ -87,3 +87,16 @@ def test_chunked_scans(spark):
     got = d.toPandas().sort_values(["k", "o"])
     for c in ("last", "sum", "lag", "mx", "pos"):
         assert np.allclose(got[c].to_numpy(dtype=float), w[c].to_numpy(dtype=float), equal_nan=True), c
+
+
+def test_answers_hold_when_the_group_table_is_too_large_to_broadcast(skewed, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    q = {r["k"]: r["m"] for r in S.exact_quantiles(df, ["k"], "v", {"m": (0.3, "pL")}).collect()}
+    for k, g in pdf.groupby("k"):
+        assert q[k] == pytest.approx(np.percentile(g.v, 30))
+    r = S.ranked(df, ["k"], "v", "id").toPandas()
+    w = pdf.sort_values(["k", "v", "id"]).copy()
+    w["want"] = w.groupby("k").cumcount() + 1
+    m = r.merge(w[["id", "want"]], on="id")
+    assert len(m) == len(pdf) and (m.rk == m.want).all()
