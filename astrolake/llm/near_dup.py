@@ -14,11 +14,15 @@ from pyspark.sql.types import IntegerType, LongType
 from astrolake.llm.shared import Codes, ascii_words, components, id_filter, kept, maybe_in
 
 #: Minwise tokens kept of each set, independent trees, and the node size from which a node branches again.
-COORDS, TREES, LEAF = 64, 12, 64
-#: Stars of a large node, and tokens it branches on (more than 1/similarity, so that a true pair tends to stay together).
-PIVOTS, BRANCHES = 4, 2
-#: Minwise tokens two sets must share before their full sets are compared; a pair at 0.8 misses this with 1e-7.
-LEAST_SHARED = 32
+COORDS, TREES, LEAF = 128, 12, 64
+#: Stars of a large node, members that its consensus is taken from, and the longest path it branches by at once.
+PIVOTS, SAMPLE, LONGEST = 3, 48, 16
+#: -log of the share of pairs at the similarity itself that the paths below the large nodes may part.
+PARTED = 7.0
+#: Comparisons up to which a node's stragglers are set against all its members, and the blocks this is done in.
+COMPARISONS, BLOCK = 4_000_000, 512
+#: Minwise tokens two sets must share before their full sets are compared; a pair at 0.8 misses this with 3e-4.
+LEAST_SHARED = 86
 
 
 def _multipliers() -> np.ndarray:
@@ -85,20 +89,14 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int64")
 
 
-def _children(sets: DataFrame, parents: list) -> DataFrame:
-    """``sets(uid, sig, ...)`` dealt to the nodes named by (parent, coordinate) columns."""
-    nodes = [F.xxhash64(parent, coord, F.expr("sig").substr(coord * 4 + 1, F.lit(4))) for parent, coord in parents]
-    return sets.select("uid", F.explode(F.array_distinct(F.array(*nodes))).alias("node"))
-
-
 def near_dups(docs: DataFrame, similarity: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Two sets are linked if ``100 * |A and B| >= similarity * |A or B|``, confirmed on the full sets of
     word shingles.  Equal sets collapse first.  In each of TREES trees a set falls into the node of one
-    minwise token.  A node's stars are compared with all its members; what is then still in different
-    components is compared exhaustively in a small node, while a large node branches on further
-    tokens, until no large node holds two components.  A node never emits all its pairs.
+    minwise token.  A node's stars, in a large node also its centre, are compared with all its members; what is
+    then still in different components is compared exhaustively in a small node, while a large node branches
+    along paths of further tokens, until no large node holds two components.  A node never emits all its pairs.
 
     Null or empty texts have no set and are linked with nothing.  Rows with a null id pass with
     component_id null and kept true.  Repeated rows share their component; each row is returned.
@@ -120,31 +118,85 @@ def near_dups(docs: DataFrame, similarity: int = 80, width: int = 5, id_col: str
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _token(coord):
+    return F.expr("sig").substr(coord * 4 + 1, F.lit(4))
+
+
 def _links(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
     links = None
-    members = _children(sets, [(F.lit(-1 - t).cast("long"), F.lit(t)) for t in range(TREES)])
-    depth = 1
+    roots = F.array_distinct(F.array(*[F.xxhash64(F.lit(-1 - t).cast("long"), _token(F.lit(t))) for t in range(TREES)]))
+    members = sets.select("uid", F.explode(roots).alias("node"))
+    first_level = True
     while True:
-        stars = [F.min(F.struct(F.xxhash64("uid", F.lit(p + PIVOTS * depth)).alias("h"), "uid")).alias(f"p{p}") for p in range(PIVOTS)]
-        nodes = members.groupBy("node").agg(F.count("*").alias("size"), *stars).where("size > 1").select(
-            "node", "size", F.when(F.col("size") > LEAF, F.array_distinct(F.array(*[F.col(f"p{p}.uid") for p in range(PIVOTS)]))).otherwise(F.array("p0.uid")).alias("stars"))
+        nodes = members.groupBy("node").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("uid", "node", F.lit(p)).alias("h"), "uid")).alias(f"p{p}") for p in range(PIVOTS)])
+        nodes = nodes.where("size > 1").select("node", "size", F.when(F.col("size") > LEAF, F.array_distinct(F.array(*[F.col(f"p{p}.uid") for p in range(PIVOTS)]))).otherwise(F.array("p0.uid")).alias("stars"))
         members = kept(members.join(nodes, "node"), "members")
-        pairs = members.select(F.explode("stars").alias("star"), "uid").where("star <> uid").select(F.least("star", "uid").alias("a"), F.greatest("star", "uid").alias("b"))
+        big = _consensus(members.where(F.col("size") > LEAF).select("node", "size", "uid"), sets)
+        stars = members.select("uid", F.explode("stars").alias("star"))
+        if big is not None:
+            stars = stars.unionByName(members.select("node", "uid").join(big.select("node", F.col("centre").alias("star")), "node").select("uid", "star"))
+        pairs = stars.where("star <> uid").select(F.least("star", "uid").alias("a"), F.greatest("star", "uid").alias("b"))
         found = _confirmed(pairs, rows, sets, similarity, width)
         links = found if links is None else kept(links.unionByName(found), "links")
         labels = components(links)
         marked = members.join(labels.withColumnRenamed("id", "uid"), "uid", "left").select("node", "size", "uid", F.coalesce("label", "uid").alias("label"))
         mixed = marked.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
         still = kept(marked.join(mixed, "node"), "mixed")
-        small = (F.col("size") <= LEAF) | F.lit(depth >= COORDS)
-        found = _confirmed(_leaf_pairs(still.where(small), sets), rows, sets, similarity, width)
-        links = kept(links.unionByName(found), "links")
-        large = still.where(~small).select("uid", F.col("node").alias("parent"))
-        if large.isEmpty():
+        near = _leaf_pairs(still.where(F.col("size") <= LEAF), sets)
+        large = None
+        if big is not None:
+            odd = _odd(still.where(F.col("size") > LEAF))
+            large = odd.where(F.col("others") * F.col("size") > COMPARISONS).select("uid", F.col("node").alias("parent"))
+            first_level = first_level and large.isEmpty()
+            near = near.unionByName(_straggler_pairs(odd.where(F.col("others") * F.col("size") <= COMPARISONS), sets, TREES if first_level else 0))
+            first_level = False
+        links = kept(links.unionByName(_confirmed(near, rows, sets, similarity, width)), "links")
+        if large is None or large.isEmpty():
             return links
-        coords = [(F.col("parent"), F.pmod(F.xxhash64("parent", F.lit(b)), F.lit(COORDS)).cast("int")) for b in range(BRANCHES if depth == 1 else 1)]
-        members = _children(large.join(sets, "uid"), coords)
-        depth += 1
+        members = _branch(large, big, sets, similarity / 100)
+
+
+def _consensus(large: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Per large node: ``centre``, the member that shares most tokens with the node's commonest ones, and ``share``, the mean share.
+
+    The commonest tokens come from about SAMPLE members; they only guide the branching and decide no link.
+    """
+    if large.isEmpty():
+        return None
+
+    def commonest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for sigs in b["sigs"]:
+                m = np.frombuffer(b"".join(bytes(x) for x in sigs), ">u4").reshape(len(sigs), -1)
+                mode = []
+                for column in m.T:
+                    v, n = np.unique(column, return_counts=True)
+                    mode.append(v[n.argmax()])
+                out.append(np.array(mode, ">u4").tobytes())
+            yield pd.DataFrame({"node": b["node"], "mode": out})
+
+    held = kept(large.join(sets.select("uid", "sig"), "uid"), "large")
+    some = held.where("pmod(xxhash64(uid, node, 5), greatest(1, size div %d)) = 0" % SAMPLE).groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    mode = some.mapInPandas(commonest, "node long, mode binary")
+    told = kept(held.join(mode, "node").select("node", "size", "uid", shared_tokens("sig", "mode").alias("same")), "centres")
+    return kept(told.groupBy("node").agg(F.max_by("uid", F.struct("same", "uid")).alias("centre"), F.avg(F.col("same") / COORDS).alias("share"), F.max("size").alias("size")), "nodes")
+
+
+def _branch(large: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Members of the children of large nodes that still hold several components.
+
+    A child's path is chosen by the parent: ``steps`` coordinates, as many as split a node of its size and mean
+    similarity into leaves, and as many ``paths`` as bring a pair at the similarity together in some tree.
+    """
+    mutual = F.greatest(F.lit(0.01), F.least(F.lit(0.9), F.col("share") * F.col("share")))
+    steps = F.least(F.lit(LONGEST), F.greatest(F.lit(1), F.ceil(F.log(F.col("size") / 24) / -F.log(mutual)).cast("int")))
+    paths = F.greatest(F.lit(1), F.ceil(PARTED / (TREES * similarity) / F.pow(F.lit(similarity), F.col("steps"))).cast("int"))
+    plan = nodes.select(F.col("node").alias("parent"), steps.alias("steps")).withColumn("paths", paths)
+    dealt = large.join(plan, "parent").join(sets.select("uid", "sig"), "uid").select("uid", "parent", "sig", "steps", F.explode(F.sequence(F.lit(1), F.col("paths"))).alias("path"))
+    at = lambda i: F.pmod(F.xxhash64("parent", "path", i), F.lit(COORDS)).cast("int")
+    tokens = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: F.xxhash64(_token(at(i))))
+    return dealt.select("uid", F.xxhash64("parent", "path", tokens).alias("node")).distinct()
 
 
 def _leaf_pairs(still: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,6 +218,43 @@ def _leaf_pairs(still: DataFrame, sets: DataFrame) -> DataFrame:
     return groups.select("group").mapInPandas(run, "a long, b long")
 
 
+def _odd(still: DataFrame) -> DataFrame:
+    """Members of large nodes with ``odd``: not of the node's main component, and ``others``: how many are."""
+    per = still.groupBy("node", "label").agg(F.count("*").alias("n"))
+    main = per.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    return kept(still.join(main, "node").select("node", "size", "uid", "label", "others", (F.col("label") != F.col("main")).alias("odd")), "odd")
+
+
+def _straggler_pairs(odd: DataFrame, sets: DataFrame, trees: int) -> DataFrame:
+    """Pairs of a straggler and any member of its node, of different components, that share enough minwise tokens.
+
+    ``trees``: the nodes are those of that many first tokens, and none is left to branch; then a pair that meets in
+    several trees is reported by the first of them alone.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda g: (np.array([x["uid"] for x in g], np.int64), np.array([x["label"] for x in g], np.int64), np.frombuffer(b"".join(bytes(x["sig"]) for x in g), ">u4").astype(np.uint32).reshape(len(g), -1))
+        for b in batches:
+            out = [np.empty((0, 2), np.int64)]
+            for few, many in zip(b["few"], b["many"]):
+                (u, lu, su), (v, lv, sv) = read(few), read(many)
+                tree = int(((su[:, :trees] == su[0, :trees]).all(axis=0) & (sv[:, :trees] == su[0, :trees]).all(axis=0)).argmax()) if trees else 0
+                for i in range(len(u)):
+                    same = sv == su[i]
+                    ok = (same.sum(axis=1) >= LEAST_SHARED) & (lv != lu[i])
+                    if trees:  # the tree of this node is the one whose token all its members share
+                        ok[ok] = same[ok, :trees].argmax(axis=1) == tree
+                    out.append(np.stack([np.minimum(v[ok], u[i]), np.maximum(v[ok], u[i])], axis=1))
+            yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    item = F.struct("uid", "label", "sig")
+    held = odd.join(sets.select("uid", "sig"), "uid").withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
+    few = held.where("odd").groupBy("node", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(item).alias("few"))
+    dealt = held.select("node", F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("size") / BLOCK)).alias("chunk"), "uid", "label", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    many = dealt.groupBy("node", "block", "chunk").agg(F.collect_list(item).alias("many"))
+    return many.join(few, ["node", "block"]).select("few", "many").mapInPandas(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     side = lambda k: sets.select(F.col("uid").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"), F.col("first_id").alias(f"id_{k}"))

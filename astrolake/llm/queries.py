@@ -8,22 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.llm.decontam import leaks
+from astrolake.llm.hmm import lm_scores
+from astrolake.llm.html_extract import extract_main_text
+from astrolake.llm.langid import identify
 from astrolake.llm.line_dedup import dedup_lines
 from astrolake.llm.near_dup import near_dups
 from astrolake.llm.packing import pack_documents
+from astrolake.llm.shared import fold
 from astrolake.llm.topk import top_k
 from astrolake.llm.toxicity import toxicity
+from astrolake.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading the written archives back gives for every page."""
+    return archive_round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, with its confidence and evidence."""
+    return identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, its text without repeated lines, and how many lines it has, lost, and had near others."""
     out = dedup_lines(_table(spark, sf_dir, "documents"))
@@ -40,6 +60,12 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document, learned from those whose crc32 mod 5 is not 1."""
+    out = lm_scores(_table(spark, sf_dir, "documents"), ~fold(1, 5))
+    return out.select("doc_id", fold(1, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: sets of four words, linked from 0.8."""
     return near_dups(_table(spark, sf_dir, "documents"), similarity=80, width=4)
@@ -51,7 +77,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op5_line_dedup, op6_packing, op7_exact_top_k, op9_near_dup, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_toxicity, op3_warc, op4_language_id, op5_line_dedup, op6_packing, op7_exact_top_k, op8_lm_scoring, op9_near_dup, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
