@@ -189,7 +189,7 @@ def _search(held):
                     if same and (run_words >= RUN or share == 1) and literal >= min(LITERAL, run_words // 2 + 1):
                         out.append((ids[i + d], item, at, run_words, share, slots))
             got = pd.DataFrame(out, columns=["doc_id", "item_id", "offset", "run_words", "share", "n_slots"])
-            got["doc_id"] = got["doc_id"].astype("float").astype("Int64") if any(x is None for x in got["doc_id"]) else got["doc_id"].astype("int64")
+            got["doc_id"] = pd.array(got["doc_id"].tolist(), dtype="Int64")
             yield got.astype({"item_id": "int64", "offset": "int64", "run_words": "int64", "n_slots": "int64", "share": "float64"})
 
     return run
