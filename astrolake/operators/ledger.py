@@ -26,15 +26,19 @@ def derive_status(flags: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("status", st)
 
 
-def inherit_issues(entries: DataFrame, max_depth: int = 1000) -> DataFrame:
+def inherit_issues(entries: DataFrame) -> DataFrame:
     """Issues pass from parent to child unless the configuration fingerprint changed; degraded stages always pass.
 
-    ``entries(id, parent, config, issues array, degraded array)``.  One level of children per round.
+    ``entries(id, parent, config, issues array, degraded array)``.  One level of children per round, until no
+    child is left.  An entry whose parent is missing has no parent state; entries on or below a cycle keep
+    their own issues and have config_changed null.
     """
     e = cut(entries)
-    level = cut(e.where(F.col("parent").isNull()).select("id", "config", "issues", "degraded", F.lit(False).alias("config_changed")))
+    known = e.select(F.col("id").alias("parent")).distinct()
+    roots = e.where(F.col("parent").isNull()).unionByName(e.where(F.col("parent").isNotNull()).join(known, "parent", "left_anti"))
+    level = cut(roots.select("id", "config", "issues", "degraded", F.lit(False).alias("config_changed")))
     done = level
-    for _ in range(max_depth):
+    while not level.isEmpty():
         p = level.select(F.col("id").alias("parent"), F.col("config").alias("pc"), F.col("issues").alias("pi"), F.col("degraded").alias("pd"))
         j = e.join(p, "parent")
         changed = F.coalesce(F.col("pc") != F.col("config"), F.lit(False))
@@ -42,10 +46,9 @@ def inherit_issues(entries: DataFrame, max_depth: int = 1000) -> DataFrame:
         level = cut(j.select(
             "id", "config", F.array_union("issues", F.when(changed, empty).otherwise(F.col("pi"))).alias("issues"),
             F.array_union("degraded", "pd").alias("degraded"), changed.alias("config_changed")))
-        if level.isEmpty():
-            return done
         done = done.unionByName(level)
-    raise RuntimeError("parent chain deeper than the bound")
+    ringed = e.join(done.select("id"), "id", "left_anti")
+    return done.unionByName(ringed.select("id", "config", "issues", "degraded", F.lit(None).cast("boolean").alias("config_changed")))
 
 
 # fixed values: stages in order, settings assigned by exact key then by prefix, settings kept out of the hash

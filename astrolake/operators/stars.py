@@ -230,7 +230,7 @@ def local_maxima(px: DataFrame, keys: list[str], h: int, floor: float, k: int =
     return m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def thin(stars: DataFrame, r: float, max_rounds: int = 200) -> DataFrame:
+def thin(stars: DataFrame, r: float) -> DataFrame:
     """Greedy minimum-separation thinning in brightness order (ties by id), as parallel rounds.
 
     In each round every undecided star without a brighter undecided neighbour is kept and its
@@ -245,7 +245,7 @@ def thin(stars: DataFrame, r: float, max_rounds: int = 200) -> DataFrame:
     brighter = (F.col("bf") > F.col("flux")) | ((F.col("bf") == F.col("flux")) & (F.col("bid") < F.col("id")))
     edges = cut(j.where(brighter & (F.round(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")), 9) < r)).select("id", "bid"))
     open_ids, kept = one.select("id"), None
-    for _ in range(max_rounds):
+    while True:  # the brightest undecided star is always decided
         blocked = edges.join(open_ids.select(F.col("id").alias("bid")), "bid").select("id").distinct()
         new = cut(open_ids.join(blocked, "id", "left_anti"))
         kept = new if kept is None else kept.unionByName(new)
@@ -253,7 +253,6 @@ def thin(stars: DataFrame, r: float, max_rounds: int = 200) -> DataFrame:
         open_ids = cut(open_ids.join(gone, "id", "left_anti"))
         if open_ids.isEmpty():
             return one.join(kept, "id", "left_semi")
-    raise RuntimeError("thinning did not settle")
 
 
 def farthest(pts: DataFrame, n: int) -> DataFrame:

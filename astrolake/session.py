@@ -27,11 +27,13 @@ def build_session(app: str = "astrolake", cores: str = "*", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder only when unset."""
+    """Use the shared folder the cluster names; only a local session that names none gets a scratch folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 

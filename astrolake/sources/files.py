@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # fixed values: accepted and refused suffixes
 FRAME_SUFFIXES = (".fit", ".fits", ".fts")
-VIDEO_SUFFIXES = (".avi", ".mov", ".mp4", ".ser", ".jpg", ".jpeg", ".png")
+VIDEO_SUFFIXES = (".avi", ".mov", ".mp4", ".mkv", ".ser", ".jpg", ".jpeg", ".png", ".webp")
 BLOCK = 2880  # fixed value: container block size in bytes
 
 

@@ -265,3 +265,28 @@ def test_catalogue_ids(spark):
     assert all(r["want"] == r["got"] for r in d.select("want", R.catalog_id(F.col("n")).alias("got")).collect())
     t = R.with_target_type(d.withColumnRenamed("n", "target_name"), R.target_catalogue(spark)).collect()
     assert {r["catalog_id"]: r["type_is_guessed"] for r in t}["M42"] is False
+
+
+def test_continue_chains_and_long_keys(spark):
+    from astrolake.sources.headers import read_headers
+
+    cards = ["LONG    = 'aaa&'", "CONTINUE  'bbb&'", "CONTINUE  'ccc'", "HIERARCH ESO DET ID = 'x1' / id", "GAIN    = 12", "END"]
+    df = spark.createDataFrame([("f", "".join(c.ljust(80) for c in cards).encode())], "frame string, content binary")
+    assert {r.key: r.raw for r in read_headers(df).collect()} == {"LONG": "aaabbbccc", "ESO DET ID": "x1", "GAIN": "12"}
+
+
+def test_closure_of_a_long_chain_and_a_cycle(spark):
+    from astrolake.operators.corpus import closure
+
+    edges = [(i, i + 1) for i in range(90)] + [(200, 201), (201, 200)]
+    got = {(r.a, r.b): r.depth for r in closure(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert len(got) == 90 * 91 // 2 + 4 and got[(0, 90)] == 90 and got[(200, 200)] == 2
+
+
+def test_entries_without_their_parent_stay(spark):
+    from astrolake.operators.ledger import inherit_issues
+
+    rows = [("a", None, "c", ["i"], []), ("b", "a", "c", [], ["d"]), ("lost", "gone", "c", ["k"], []), ("r1", "r2", "c", [], []), ("r2", "r1", "c", [], [])]
+    df = spark.createDataFrame(rows, "id string, parent string, config string, issues array<string>, degraded array<string>")
+    got = {r.id: (r.issues, r.config_changed) for r in inherit_issues(df).collect()}
+    assert got == {"a": (["i"], False), "b": (["i"], False), "lost": (["k"], False), "r1": ([], None), "r2": ([], None)}
