@@ -23,6 +23,9 @@ PARTED = 7.0
 COMPARISONS, BLOCK = 4_000_000, 512
 #: Minwise tokens two sets must share before their full sets are compared; a pair at 0.8 misses this with 3e-4.
 LEAST_SHARED = 86
+#: Smallest shingle numbers kept of a straggler's set (all of most sets, an even sample of a longer one), and the
+#: standard deviations by which a sample may fall short of the similarity.
+SKETCH, DEVIATIONS = 512, 4.5
 
 
 def _multipliers() -> np.ndarray:
@@ -61,7 +64,7 @@ def _uid(s: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, uid, sig): size, identity and minwise tokens of each document's set."""
+    """(doc_id, n, uid, sig, brief): size, identity, minwise tokens and the tokens' last bytes of each document's set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, by = Codes(), _multipliers()
@@ -69,10 +72,11 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             rows = []
             for i, t in zip(b["doc_id"], b["text"]):
                 s = shingle_set(t, width, codes)
-                rows.append((i, len(s), _uid(s) if len(s) else 0, minwise(s, by).astype(">u4").tobytes() if len(s) else b""))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "uid", "sig"])
+                low = minwise(s, by)
+                rows.append((i, len(s), _uid(s), low.astype(">u4").tobytes(), low.astype(np.uint8).tobytes()) if len(s) else (i, 0, 0, b"", b""))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "uid", "sig", "brief"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, uid long, sig binary")
+    return docs.mapInPandas(run, "doc_id long, n long, uid long, sig binary, brief binary")
 
 
 @F.pandas_udf(IntegerType())
@@ -83,6 +87,15 @@ def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
+@F.pandas_udf(IntegerType())
+def shared_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Tokens whose last bytes agree: never fewer than the shared tokens."""
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).sum(axis=1).astype("int32"))
+
+
 @F.pandas_udf(LongType())
 def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     out = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)]
@@ -105,7 +118,7 @@ def near_dups(docs: DataFrame, similarity: int = 80, width: int = 5, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prof = kept(profiles(rows, width), "profiles")
     sets = kept(
-        prof.where("n > 0 and doc_id is not null").groupBy("uid").agg(F.min("sig").alias("sig"), F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "sets"
+        prof.where("n > 0 and doc_id is not null").groupBy("uid").agg(F.min("sig").alias("sig"), F.min("brief").alias("brief"), F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "sets"
     )
     links = _links(rows, sets, similarity, width)
     labels = components(links)
@@ -148,7 +161,8 @@ def _links(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> Dat
             odd = _odd(still.where(F.col("size") > LEAF))
             large = odd.where(F.col("others") * F.col("size") > COMPARISONS).select("uid", F.col("node").alias("parent"))
             first_level = first_level and large.isEmpty()
-            near = near.unionByName(_straggler_pairs(odd.where(F.col("others") * F.col("size") <= COMPARISONS), sets, TREES if first_level else 0))
+            odd = odd.where(F.col("others") * F.col("size") <= COMPARISONS)
+            near = near.unionByName(_straggler_pairs(odd, sets, _sketches(odd, rows, sets, width), similarity, TREES if first_level else 0))
             first_level = False
         links = kept(links.unionByName(_confirmed(near, rows, sets, similarity, width)), "links")
         if large is None or large.isEmpty():
@@ -225,41 +239,76 @@ def _odd(still: DataFrame) -> DataFrame:
     return kept(still.join(main, "node").select("node", "size", "uid", "label", "others", (F.col("label") != F.col("main")).alias("odd")), "odd")
 
 
-def _straggler_pairs(odd: DataFrame, sets: DataFrame, trees: int) -> DataFrame:
-    """Pairs of a straggler and any member of its node, of different components, that share enough minwise tokens.
+def _sketches(odd: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(uid, low): the SKETCH smallest shingle numbers, by their upper 32 bits, of the sets in ``odd``, from whole texts."""
+    asked = kept(odd.select("uid").distinct().join(sets.select("uid", "first_id"), "uid"), "asked")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes()
+        for b in batches:
+            found = [s for s in (shingle_set(t, width, codes) for t in b["text"]) if len(s)]
+            low = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in found]
+            yield pd.DataFrame({"uid": pd.Series([_uid(s) for s in found], dtype="int64"), "low": low})
+
+    read = maybe_in(rows, F.col("doc_id"), id_filter(asked, "first_id")).mapInPandas(run, "uid long, low binary")
+    return kept(read.join(asked.select("uid"), "uid").groupBy("uid").agg(F.min("low").alias("low")), "sketches")
+
+
+def may_be_close(low: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray, similarity: int) -> np.ndarray:
+    """Which of the sets in ``others`` (sketches, sizes) may be similar enough to the set ``low`` of size ``n``.
+
+    Exact for sets within SKETCH.  Of longer ones, only numbers up to the smaller of the two last ones are compared: of
+    those both sketches are complete, so they sample the union evenly, and DEVIATIONS allow for the sampling.
+    """
+    last = lambda s, m: s[-1] if m > SKETCH else np.uint32(2**32 - 1)
+    top = np.minimum(np.array([last(s, m) for s, m in zip(others, sizes)], np.uint32), last(low, n))
+    flat, owner = np.concatenate(others), np.repeat(np.arange(len(others)), [len(s) for s in others])
+    inside = flat <= top[owner]
+    hit = low[np.minimum(np.searchsorted(low, flat), len(low) - 1)] == flat
+    count = lambda mask: np.bincount(owner[mask], minlength=len(others))
+    both = count(inside & hit)
+    union = np.searchsorted(low, top, side="right") + count(inside) - both
+    slack = np.where((sizes > SKETCH) | (n > SKETCH), DEVIATIONS * np.sqrt(similarity * (100 - similarity) * union), 0)
+    return 100 * both >= similarity * union - slack
+
+
+def _straggler_pairs(odd: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: int, trees: int) -> DataFrame:
+    """Pairs of a straggler and any member of its node, of different components, that share enough minwise tokens and whose sketches may be close.
 
     ``trees``: the nodes are those of that many first tokens, and none is left to branch; then a pair that meets in
     several trees is reported by the first of them alone.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = lambda g: (np.array([x["uid"] for x in g], np.int64), np.array([x["label"] for x in g], np.int64), np.frombuffer(b"".join(bytes(x["sig"]) for x in g), ">u4").astype(np.uint32).reshape(len(g), -1))
+        read = lambda g: (np.array([x["uid"] for x in g], np.int64), np.array([x["label"] for x in g], np.int64), np.frombuffer(b"".join(bytes(x["sig"]) for x in g), ">u4").astype(np.uint32).reshape(len(g), -1), np.array([x["n"] for x in g], np.int64), [np.frombuffer(bytes(x["low"]), np.uint32) for x in g])
         for b in batches:
             out = [np.empty((0, 2), np.int64)]
             for few, many in zip(b["few"], b["many"]):
-                (u, lu, su), (v, lv, sv) = read(few), read(many)
+                (u, lu, su, nu, fu), (v, lv, sv, nv, fv) = read(few), read(many)
                 tree = int(((su[:, :trees] == su[0, :trees]).all(axis=0) & (sv[:, :trees] == su[0, :trees]).all(axis=0)).argmax()) if trees else 0
                 for i in range(len(u)):
                     same = sv == su[i]
                     ok = (same.sum(axis=1) >= LEAST_SHARED) & (lv != lu[i])
                     if trees:  # the tree of this node is the one whose token all its members share
                         ok[ok] = same[ok, :trees].argmax(axis=1) == tree
+                    if ok.any():
+                        ok[ok] = may_be_close(fu[i], int(nu[i]), [fv[j] for j in np.flatnonzero(ok)], nv[ok], similarity)
                     out.append(np.stack([np.minimum(v[ok], u[i]), np.maximum(v[ok], u[i])], axis=1))
             yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
-    item = F.struct("uid", "label", "sig")
-    held = odd.join(sets.select("uid", "sig"), "uid").withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
+    item = F.struct("uid", "label", "sig", "n", "low")
+    held = odd.join(sets.select("uid", "sig", "n"), "uid").join(sketches, "uid").withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
     few = held.where("odd").groupBy("node", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(item).alias("few"))
-    dealt = held.select("node", F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("size") / BLOCK)).alias("chunk"), "uid", "label", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = held.select("node", F.pmod(F.xxhash64("uid", F.lit(1)), F.ceil(F.col("size") / BLOCK)).alias("chunk"), "uid", "label", "sig", "n", "low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     many = dealt.groupBy("node", "block", "chunk").agg(F.collect_list(item).alias("many"))
     return many.join(few, ["node", "block"]).select("few", "many").mapInPandas(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    side = lambda k: sets.select(F.col("uid").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"), F.col("first_id").alias(f"id_{k}"))
+    side = lambda k: sets.select(F.col("uid").alias(k), F.col("brief").alias(f"brief_{k}"), F.col("n").alias(f"n_{k}"), F.col("first_id").alias(f"id_{k}"))
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    near = kept(near.where(shared_tokens("sig_a", "sig_b") >= LEAST_SHARED).select("a", "b", "n_a", "n_b", "id_a", "id_b"), "candidates")
+    near = kept(near.where(shared_bytes("brief_a", "brief_b") >= LEAST_SHARED).select("a", "b", "n_a", "n_b", "id_a", "id_b"), "candidates")
     if near.isEmpty():
         return near.select("a", "b")
     wanted = id_filter(near.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")), "doc_id")

@@ -86,6 +86,23 @@ def test_near_dups_in_one_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == _components(_sets(rows, 4))
 
 
+def test_sketches_never_reject_a_close_pair():
+    rng = np.random.default_rng(11)
+    sketch = lambda x: (x[: near_dup.SKETCH] >> np.uint64(32)).astype(np.uint32)
+    for n in (1, 7, 200, near_dup.SKETCH, near_dup.SKETCH + 1, 3000):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        others = []
+        for k in range(0, n, max(1, n // 40)):
+            others.append(np.unique(np.concatenate([base[rng.permutation(len(base))[k:]], rng.integers(0, 2**64, k // 3, dtype=np.uint64)])))
+        got = near_dup.may_be_close(sketch(base), len(base), [sketch(o) for o in others], np.array([len(o) for o in others]), 80)
+        for o, ok in zip(others, got):
+            both = len(np.intersect1d(base, o))
+            close = 100 * both >= 80 * (len(base) + len(o) - both)
+            assert ok or not close
+            if max(len(base), len(o)) <= near_dup.SKETCH:
+                assert ok == close
+
+
 def test_near_dups_on_odd_rows(odd, none):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dup.near_dups(odd).collect()}
     assert got[(1, 12)] == (1, True) and got[(2, 12)] == (1, False)
