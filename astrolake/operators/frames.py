@@ -95,69 +95,155 @@ def sensor_groups(specs: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("device")), ",").alias("devices"), F.countDistinct("device").alias("n"))
 
 
-# fixed values: filter classification patterns, in order
-EDGE_L, EDGE_R = r"(?<![a-z0-9])", r"(?![a-z0-9])"
-LINES = (
-    ("H-alpha", EDGE_L + r"h[ -]*(?:alpha|a)" + EDGE_R),
-    ("OIII", EDGE_L + r"(?:o[ -]*(?:iii|3)|oxygen)" + EDGE_R),
-    ("SII", EDGE_L + r"(?:s[ -]*(?:ii|2)|sulfur|sulphur)" + EDGE_R),
-)
-DUAL_PRODUCTS = EDGE_L + r"(?:l[ -]*(?:extreme|enhance|ultimate)|nbz|alp[ -]*t)" + EDGE_R
-DUAL_WORDS = r"\b(?:dual|duo)[ -]*(?:band)?\b"
-BROAD_WORDS = r"\b(?:uv[ /-]*ir(?:[ -]*cut)?|ir[ -]*cut|cls|broadband|clear)\b"
+# fixed values: what phrases of neighbouring words, written together, say about a filter
+FILTER_LINES = (("H-alpha", ("ha", "halpha")), ("OIII", ("o3", "oiii", "oxygen")), ("SII", ("s2", "sii", "sulfur", "sulphur")))
+DUAL_PRODUCTS = ("lextreme", "lenhance", "lultimate", "nbz", "alpt")
+DUAL_WORDS = ("dual", "duo", "dualband", "duoband")
+BROAD_WORDS = ("uvir", "uv/ir", "uvircut", "uv/ircut", "ircut", "cls", "broadband", "clear")
+# fixed values: what a whole label says, and the device words behind a label of the device
+LUMINANCE_LABELS, CHANNEL_LABELS = ("l", "lum", "luminance"), ("r", "g", "b", "red", "green", "blue")
+DEVICE_LABELS, DEVICE_WORDS = ("lp", "seestarlp", "zwoseestarlp"), ("s30", "s50", "seestars30", "seestars50", "seestar30", "seestar50")
+
 
+def words_of(c: Column) -> Column:
+    """Lower-case words of a label; blanks, hyphens and underscores part words, other signs are words of their own."""
+    plain = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("α"), F.lit("alpha"))
+    return F.filter(F.split(F.regexp_replace(plain, r"([^a-z0-9\s_-])", " $1 "), r"[\s_-]+"), lambda w: w != "")
 
-def normal_text(c: Column) -> Column:
-    t = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit("-"))
-    return F.trim(F.regexp_replace(F.replace(t, F.lit("α"), F.lit("alpha")), r"\s+", " "))
+
+def phrases_of(words: Column, longest: int = 4) -> Column:
+    """Every run of up to ``longest`` neighbouring words, written together."""
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(starts, lambda i: F.array(*[F.array_join(F.slice(words, i, n), "") for n in range(1, longest + 1)])))
 
 
 def with_filter_class(df: DataFrame, raw: str, device: str) -> DataFrame:
-    """Explicit lines first, then dual-band products, device mappings, dual words, L, RGB, broadband."""
-    t = normal_text(F.col(raw))
-    lines = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in LINES]))
-    n = F.size(lines)
-    seestar = normal_text(F.col(device)).rlike(r"\b(?:seestar ?)?s ?(?:30|50)\b")
-    lp = t.isin("lp", "seestar lp", "zwo seestar lp") & seestar
-    pair = F.array(F.lit("H-alpha"), F.lit("OIII"))
-    cls = (
-        F.when(t == "", "unknown").when(n == 1, "narrowband").when(n == 2, "dual_band").when(n > 2, "multi_band")
-        .when(t.rlike(DUAL_PRODUCTS), "dual_band").when(lp, "dual_band").when(t.rlike(DUAL_WORDS), "dual_band")
-        .when(t.isin("l", "lum", "luminance"), "luminance").when(t.isin("r", "g", "b", "red", "green", "blue"), "broadband_channel")
-        .when(t.rlike(BROAD_WORDS), "broadband").otherwise("unknown"))
-    got = F.when(n > 0, lines).when(t.rlike(DUAL_PRODUCTS) | lp, pair).otherwise(F.array().cast("array<string>"))
-    norm = (
-        F.when(n == 1, lines[0]).when(t.isin("l", "lum", "luminance"), "L")
-        .when(t.isin("r", "g", "b", "red", "green", "blue"), F.upper(F.substring(t, 1, 1))).otherwise(F.trim(raw)))
-    return df.withColumn("filter_class", cls).withColumn("lines", F.array_join(got, ",")).withColumn("normalized", norm)
+    """Class, emission lines and short name of a filter label, decided by the first rule that speaks.
+
+    Named lines come first, then products, labels of the device, dual-band words, luminance, colour channels and
+    broadband words.  Only array expressions over the label's own phrases: nothing is joined or shuffled.
+    """
+    words = words_of(F.col(raw))
+    label, said = F.array_join(words, ""), phrases_of(words)
+    says = lambda vocabulary: F.arrays_overlap(said, F.array(*map(F.lit, vocabulary)))
+    known = F.arrays_overlap(phrases_of(words_of(F.col(device))), F.array(*map(F.lit, DEVICE_WORDS)))
+    lines = F.array_compact(F.array(*[F.when(says(spelled), F.lit(line)) for line, spelled in FILTER_LINES]))
+    count = F.size(lines)
+    two_lines = says(DUAL_PRODUCTS) | (label.isin(*DEVICE_LABELS) & known)
+    rules = (
+        (count > 0, F.element_at(F.array(F.lit("narrowband"), F.lit("dual_band"), F.lit("multi_band")), F.greatest(count, F.lit(1)))),
+        (two_lines | says(DUAL_WORDS), F.lit("dual_band")),
+        (label.isin(*LUMINANCE_LABELS), F.lit("luminance")),
+        (label.isin(*CHANNEL_LABELS), F.lit("broadband_channel")),
+        (says(BROAD_WORDS), F.lit("broadband")),
+    )
+    short = (
+        (count == 1, F.array_join(lines, "")),
+        (label.isin(*LUMINANCE_LABELS), F.lit("L")),
+        (label.isin(*CHANNEL_LABELS), F.upper(F.substring(label, 1, 1))),
+    )
+    first = lambda table, other: F.coalesce(*[F.when(when, then) for when, then in table], other)
+    found = F.when(count > 0, F.array_join(lines, ",")).when(two_lines, "H-alpha,OIII").otherwise("")
+    return df.withColumn("filter_class", first(rules, F.lit("unknown"))).withColumn("lines", found).withColumn("normalized", first(short, F.trim(raw)))
 
 
 # fixed values: catalogue of named targets (id, type)
-CATALOGUE = {
-    "emission_nebula": "M8 M16 M17 M20 M42 M43 NGC7000 NGC6960 NGC6992 NGC6995 NGC2237 NGC6888 NGC7635 NGC281 NGC1499 NGC2174 NGC2359 "
-    "IC1396 IC434 IC1805 IC1848 IC405 IC410 IC443",
-    "reflection_nebula": "M78 NGC7023 IC2118",
-    "dark_nebula": "B33 B142 LDN1622",
-    "planetary_nebula": "M1 M27 M57 M97",
-    "globular_cluster": "M2 M3 M4 M5 M9 M10 M12 M13 M15 M22 M53 M92",
-    "open_cluster": "M11 M29 M34 M35 M39 M41 M44 M45 M67 NGC2244",
-    "galaxy": "M31 M32 M33 M51 M63 M64 M74 M77 M81 M82 M83 M94 M101 M104 M106 NGC891 NGC253 NGC4565 NGC4631 NGC5907 NGC7331",
-}
+CATALOGUE = (
+    ("M1", "planetary_nebula"),
+    ("M2", "globular_cluster"),
+    ("M3", "globular_cluster"),
+    ("M4", "globular_cluster"),
+    ("M5", "globular_cluster"),
+    ("M8", "emission_nebula"),
+    ("M9", "globular_cluster"),
+    ("M10", "globular_cluster"),
+    ("M11", "open_cluster"),
+    ("M12", "globular_cluster"),
+    ("M13", "globular_cluster"),
+    ("M15", "globular_cluster"),
+    ("M16", "emission_nebula"),
+    ("M17", "emission_nebula"),
+    ("M20", "emission_nebula"),
+    ("M22", "globular_cluster"),
+    ("M27", "planetary_nebula"),
+    ("M29", "open_cluster"),
+    ("M31", "galaxy"),
+    ("M32", "galaxy"),
+    ("M33", "galaxy"),
+    ("M34", "open_cluster"),
+    ("M35", "open_cluster"),
+    ("M39", "open_cluster"),
+    ("M41", "open_cluster"),
+    ("M42", "emission_nebula"),
+    ("M43", "emission_nebula"),
+    ("M44", "open_cluster"),
+    ("M45", "open_cluster"),
+    ("M51", "galaxy"),
+    ("M53", "globular_cluster"),
+    ("M57", "planetary_nebula"),
+    ("M63", "galaxy"),
+    ("M64", "galaxy"),
+    ("M67", "open_cluster"),
+    ("M74", "galaxy"),
+    ("M77", "galaxy"),
+    ("M78", "reflection_nebula"),
+    ("M81", "galaxy"),
+    ("M82", "galaxy"),
+    ("M83", "galaxy"),
+    ("M92", "globular_cluster"),
+    ("M94", "galaxy"),
+    ("M97", "planetary_nebula"),
+    ("M101", "galaxy"),
+    ("M104", "galaxy"),
+    ("M106", "galaxy"),
+    ("NGC253", "galaxy"),
+    ("NGC281", "emission_nebula"),
+    ("NGC891", "galaxy"),
+    ("NGC1499", "emission_nebula"),
+    ("NGC2174", "emission_nebula"),
+    ("NGC2237", "emission_nebula"),
+    ("NGC2244", "open_cluster"),
+    ("NGC2359", "emission_nebula"),
+    ("NGC4565", "galaxy"),
+    ("NGC4631", "galaxy"),
+    ("NGC5907", "galaxy"),
+    ("NGC6888", "emission_nebula"),
+    ("NGC6960", "emission_nebula"),
+    ("NGC6992", "emission_nebula"),
+    ("NGC6995", "emission_nebula"),
+    ("NGC7000", "emission_nebula"),
+    ("NGC7023", "reflection_nebula"),
+    ("NGC7331", "galaxy"),
+    ("NGC7635", "emission_nebula"),
+    ("IC405", "emission_nebula"),
+    ("IC410", "emission_nebula"),
+    ("IC434", "emission_nebula"),
+    ("IC443", "emission_nebula"),
+    ("IC1396", "emission_nebula"),
+    ("IC1805", "emission_nebula"),
+    ("IC1848", "emission_nebula"),
+    ("IC2118", "reflection_nebula"),
+    ("B33", "dark_nebula"),
+    ("B142", "dark_nebula"),
+    ("LDN1622", "dark_nebula"),
+)
 STAR_DOMINANT = ("globular_cluster", "open_cluster", "star_cluster", "double_star")
 
 
 def target_catalogue(spark: SparkSession) -> DataFrame:
-    rows = [(name, kind) for kind, names in CATALOGUE.items() for name in names.split()]
-    return spark.createDataFrame(rows, "catalog_id string, catalog_type string")
+    return spark.createDataFrame(list(CATALOGUE), "catalog_id string, catalog_type string")
+
+
+# fixed values: spelled catalogue prefixes and their short forms
+PREFIXES = {"M": "M", "NGC": "NGC", "IC": "IC", "B": "B", "LDN": "LDN", "CED": "CED", "VDB": "VDB", "C": "C", "CALDWELL": "C", "SH2": "SH2", "SH-2": "SH2"}
 
 
 def catalog_id(name: Column) -> Column:
     """``m 42`` -> ``M42``, ``ngc-6888`` -> ``NGC6888``; anything else upper-cased without blanks."""
-    up = F.upper(F.trim(name))
-    pat = r"^(M|NGC|IC|B|LDN|SH2|CED|SH-2|VDB|CALDWELL|C)\s*[-_]?\s*(\d+)$"
-    prefix = F.regexp_extract(up, pat, 1)
-    prefix = F.when(prefix == "SH-2", "SH2").when(prefix == "CALDWELL", "C").otherwise(prefix)
-    return F.when(up.rlike(pat), F.concat(prefix, F.regexp_extract(up, pat, 2))).otherwise(F.regexp_replace(up, r"\s+", ""))
+    tight = F.regexp_replace(F.upper(F.trim(name)), r"\s+", "")
+    number = lambda spelled: F.regexp_extract(tight, rf"^{spelled}[-_]?(\d+)$", 1)
+    entries = [F.when(number(spelled) != "", F.concat(F.lit(short), number(spelled))) for spelled, short in PREFIXES.items()]
+    return F.coalesce(*entries, tight)
 
 
 def with_target_type(df: DataFrame, cat: DataFrame, guess: str = "emission_nebula") -> DataFrame:
@@ -232,19 +318,25 @@ def with_framing(df: DataFrame) -> DataFrame:
 # fixed values: star strength baselines and bounds
 STRENGTH = {"cluster": 0.90, "galaxy": 0.65, "nebula": 0.55}
 STRENGTH_DEFAULT, STRENGTH_MIN, STRENGTH_MAX = 0.65, 0.40, 0.95
+# fixed values: words of narrowband filters, and what they, other filters and bright stars change
+NARROW_WORDS, NARROW, WIDE, BRIGHT, BRIGHT_FROM = ("narrow", "dnb", "duo", "dual", "lp", "sii", "ha", "oiii", "sho"), -0.05, 0.05, -0.05, 0.01
+# fixed values: ramps over the flux ratio (where one begins, signed width, change at its end)
+FLUX_RAMPS = ((0.25, 0.20, -0.15), (0.15, -0.10, 0.10))
 
 
 def with_star_strength(df: DataFrame) -> DataFrame:
-    t = F.lower("target_type")
-    base = F.lit(STRENGTH_DEFAULT)
-    for word in ("nebula", "galaxy", "cluster"):
-        base = F.when(t.contains(word), STRENGTH[word]).otherwise(base)
-    r = F.col("flux_ratio")
-    flux = F.when(r > 0.25, -0.15 * F.least(F.lit(1.0), (r - 0.25) / 0.20)).when(r < 0.15, 0.10 * F.least(F.lit(1.0), (0.15 - r) / 0.10)).otherwise(0.0)
-    bloat = F.when(F.col("bright_ratio") > 0.01, -0.05).otherwise(0.0)
-    narrow = F.lower("filter_type").rlike("narrow|dnb|duo|dual|lp|sii|ha|oiii|sho")
-    raw = base + flux + bloat + F.when(narrow, -0.05).otherwise(0.05)
-    return df.withColumn("strength", F.least(F.greatest(raw, F.lit(STRENGTH_MIN)), F.lit(STRENGTH_MAX)))
+    """Baseline of the target type, moved by flux ramps, bright stars and the kind of filter, within bounds."""
+    kind, filters = F.lower("target_type"), F.lower("filter_type")
+    base = F.coalesce(*[F.when(kind.contains(word), F.lit(value)) for word, value in STRENGTH.items()], F.lit(STRENGTH_DEFAULT))
+    along = lambda start, width: F.least(F.greatest((F.col("flux_ratio") - start) / width, F.lit(0.0)), F.lit(1.0))
+    parts = [change * along(start, width) for start, width, change in FLUX_RAMPS]
+    parts = [F.coalesce(part, F.lit(0.0)) for part in parts]
+    parts.append(F.when(F.col("bright_ratio") > BRIGHT_FROM, BRIGHT).otherwise(0.0))
+    parts.append(F.when(F.exists(F.array(*map(F.lit, NARROW_WORDS)), lambda w: F.contains(filters, w)), NARROW).otherwise(WIDE))
+    total = base
+    for part in parts:
+        total = total + part
+    return df.withColumn("strength", F.least(F.greatest(total, F.lit(STRENGTH_MIN)), F.lit(STRENGTH_MAX)))
 
 
 def frame_quality(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

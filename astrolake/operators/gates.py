@@ -281,23 +281,35 @@ def scene_features(rgb: DataFrame, keys: list[str], b: int = 2) -> DataFrame:
     return g.join(diff, keys).withColumn("density", dens)
 
 
+# fixed values: scene scores (label, base, terms of feature, weight and cap), and the least score that names a scene
+SCENES = (
+    ("emission_nebula", 0.35, (("red", 2.5, None), ("saturation", 0.45, None), ("diffuse", 3.0, 0.25), ("red_leads", 0.15, None))),
+    ("reflection_nebula", 0.25, (("blue", 2.0, None), ("saturation", 0.35, None))),
+    ("galaxy", 0.25, (("bright_ratio", 4.0, 0.25), ("thin", 0.15, None))),
+    ("globular_cluster", 0.2, (("crowded", 0.35, None), ("thin", 0.05, None), ("coverage", 3.0, 0.25))),
+    ("planetary_nebula", 0.18, (("bright_ratio", 6.0, 0.35), ("saturation", 0.2, None))),
+    ("wide_field", 0.25, (("crowded", 0.18, None), ("thin", 0.05, None), ("dim", 1.0, None))),
+)
+SCENE_FROM, NO_SCENE = 0.35, 0.3
+
+
 def classify_scene(f: DataFrame, keys: list[str]) -> DataFrame:
-    """Highest of six clamped linear scores, unknown below 0.35."""
-    dense = F.col("density").isin("dense", "very_dense")
-    red, blue = F.greatest("red_bias", F.lit(0.0)), F.greatest("blue_bias", F.lit(0.0))
-    sat, br = F.col("saturation"), F.col("bright_ratio")
-    scores = {
-        "emission_nebula": 0.35 + red * 2.5 + sat * 0.45 + F.least(F.col("diffuse") * 3, F.lit(0.25)) + F.when(F.col("red_bias") > blue + 0.02, 0.15).otherwise(0.0),
-        "reflection_nebula": 0.25 + blue * 2.0 + sat * 0.35,
-        "galaxy": 0.25 + F.least(br * 4, F.lit(0.25)) + F.when(dense, 0.0).otherwise(0.15),
-        "globular_cluster": 0.2 + F.when(dense, 0.35).otherwise(0.05) + F.least(F.col("coverage") * 3, F.lit(0.25)),
-        "planetary_nebula": 0.18 + F.least(br * 6, F.lit(0.35)) + sat * 0.2,
-        "wide_field": 0.25 + F.when(dense, 0.18).otherwise(0.05) + F.greatest(0.12 - br, F.lit(0.0)),
-    }
-    s = F.array(*[F.struct(F.round(clamp(c), 3).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("label")) for i, (n, c) in enumerate(scores.items())])
-    best = F.array_max(s)
-    return f.withColumn("_b", best).select(
-        *keys, "density", F.when(F.col("_b.score") >= 0.35, F.col("_b.label")).otherwise("unknown_deep_sky").alias("scene"), F.when(F.col("_b.score") >= 0.35, F.col("_b.score")).otherwise(0.3).alias("confidence"))
+    """The scene of the table SCENES with the highest score between 0 and 1; unknown below SCENE_FROM; ties go to the earlier row."""
+    crowded = F.coalesce(F.col("density").isin("dense", "very_dense"), F.lit(False)).cast("double")
+    positive = lambda c: F.greatest(c, F.lit(0.0))
+    feature = {c: F.col(c) for c in ("saturation", "diffuse", "bright_ratio", "coverage")} | {
+        "red": positive(F.col("red_bias")), "blue": positive(F.col("blue_bias")), "dim": positive(0.12 - F.col("bright_ratio")), "crowded": crowded, "thin": 1 - crowded}
+    feature["red_leads"] = F.coalesce(F.col("red_bias") > feature["blue"] + 0.02, F.lit(False)).cast("double")
+    scored = []
+    for rank, (label, score, terms) in enumerate(SCENES):
+        score = F.lit(score)
+        for name, weight, cap in terms:
+            term = feature[name] * weight
+            score = score + (term if cap is None else F.least(term, F.lit(cap)))
+        scored.append(F.struct(F.round(clamp(score), 3).alias("score"), F.lit(-rank).alias("rank"), F.lit(label).alias("label")))
+    named = F.col("_best.score") >= SCENE_FROM
+    return f.withColumn("_best", F.array_max(F.array(*scored))).select(
+        *keys, "density", F.when(named, F.col("_best.label")).otherwise("unknown_deep_sky").alias("scene"), F.when(named, F.col("_best.score")).otherwise(NO_SCENE).alias("confidence"))
 
 
 def compare_acceptance(regs_px: DataFrame, keys: list[str]) -> DataFrame:

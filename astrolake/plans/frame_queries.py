@@ -122,7 +122,7 @@ def targets(s, d):
 
 
 TARGET_SQL = f"""z AS (SELECT p_partkey AS id, p_size, CASE p_partkey % 3 WHEN 0 THEN concat('M', p_partkey % 110) WHEN 1 THEN concat('NGC', p_partkey % 7400) ELSE upper(replace(p_name, ' ', '')) END AS catalog_id FROM part),
-cat AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{t}')" for t, names in R.CATALOGUE.items() for n in names.split())}) t(catalog_id, kind)),
+cat AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{t}')" for n, t in R.CATALOGUE)}) t(catalog_id, kind)),
 tt AS (SELECT z.id, p_size, z.catalog_id, coalesce(kind, 'emission_nebula') AS target_type, kind IS NULL AS type_is_guessed,
  coalesce(kind, '') IN ('globular_cluster', 'open_cluster') OR z.catalog_id = 'M45' AS star_dominant FROM z LEFT JOIN cat USING (catalog_id))"""
 
