@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 BITS = 1 << 23
 
 
+@lru_cache
+def _own_folder(app: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared folder of ``spark.checkpoint.dir``.
 
@@ -21,8 +27,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own_folder(spark.sparkContext.applicationId)
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
