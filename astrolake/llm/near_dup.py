@@ -120,8 +120,7 @@ def near_dups(docs: DataFrame, similarity: int = 80, width: int = 5, id_col: str
     sets = kept(
         prof.where("n > 0 and doc_id is not null").groupBy("uid").agg(F.min("sig").alias("sig"), F.min("brief").alias("brief"), F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "sets"
     )
-    links = _links(rows, sets, similarity, width)
-    labels = components(links)
+    labels = _labels(rows, sets, similarity, width)
     of_set = sets.join(labels.withColumnRenamed("id", "uid"), "uid", "left").select("uid", "first_id", F.coalesce("label", "uid").alias("label"))
     least = of_set.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = kept(of_set.join(least, "label").select("uid", "component_id"), "components")
@@ -135,8 +134,14 @@ def _token(coord):
     return F.expr("sig").substr(coord * 4 + 1, F.lit(4))
 
 
-def _links(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
-    links = None
+def _grown(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components once the links ``found`` are added; of what is known, one link from each set to its label stands for all."""
+    return components(found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+
+
+def _labels(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
+    """(id, label) of every set that has a link."""
+    labels = None
     roots = F.array_distinct(F.array(*[F.xxhash64(F.lit(-1 - t).cast("long"), _token(F.lit(t))) for t in range(TREES)]))
     members = sets.select("uid", F.explode(roots).alias("node"))
     first_level = True
@@ -149,9 +154,7 @@ def _links(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> Dat
         if big is not None:
             stars = stars.unionByName(members.select("node", "uid").join(big.select("node", F.col("centre").alias("star")), "node").select("uid", "star"))
         pairs = stars.where("star <> uid").select(F.least("star", "uid").alias("a"), F.greatest("star", "uid").alias("b"))
-        found = _confirmed(pairs, rows, sets, similarity, width)
-        links = found if links is None else kept(links.unionByName(found), "links")
-        labels = components(links)
+        labels = _grown(labels, _confirmed(pairs, rows, sets, similarity, width))
         marked = members.join(labels.withColumnRenamed("id", "uid"), "uid", "left").select("node", "size", "uid", F.coalesce("label", "uid").alias("label"))
         mixed = marked.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
         still = kept(marked.join(mixed, "node"), "mixed")
@@ -164,9 +167,11 @@ def _links(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> Dat
             odd = odd.where(F.col("others") * F.col("size") <= COMPARISONS)
             near = near.unionByName(_straggler_pairs(odd, sets, _sketches(odd, rows, sets, width), similarity, TREES if first_level else 0))
             first_level = False
-        links = kept(links.unionByName(_confirmed(near, rows, sets, similarity, width)), "links")
+        found = _confirmed(near, rows, sets, similarity, width)
+        if not found.isEmpty():
+            labels = _grown(labels, found)
         if large is None or large.isEmpty():
-            return links
+            return labels
         members = _branch(large, big, sets, similarity / 100)
 
 
