@@ -9,13 +9,13 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from astrolake.llm.shared import kept
 
-#: Words kept of each language, weight of a prior's parent in rows, and words of a page that count as independent witnesses.
-WORDS, PARENT, WITNESSES = 20_000, 4.0, 40.0
+#: Most words kept of each language (whole steps of counts, STEPS to a doubling), weight of a prior's parent in rows, and words of a page that count as independent witnesses.
+WORDS, STEPS, PARENT, WITNESSES = 20_000, 8, 4.0, 40.0
 
 _SKIP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -30,7 +30,11 @@ def features(words: list[str]) -> Counter:
 
 
 def text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(feature, lang, c): the WORDS commonest words and endings of each language, counted over all labelled documents."""
+    """(feature, lang, c): the commonest words and all endings of each language, counted over all labelled documents.
+
+    Words are taken by whole steps of their counts, from the highest down, as long as no more than WORDS come together;
+    so no task ever sorts the words of a language, and words that occur equally often share one fate.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}
@@ -48,18 +52,18 @@ def text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     words = kept(words, "words")
     ends = words.groupBy(F.concat(F.lit("~"), F.substring("feature", -2, 2)).alias("feature"), "lang").agg(F.sum("c").alias("c"))
     total = words.groupBy("lang").agg(F.sum("c").alias("c")).select(F.lit("").alias("feature"), "lang", "c")
-    top = [words.where(F.col("lang") == k).orderBy(F.desc("c"), "feature").limit(WORDS) for (k,) in words.select("lang").distinct().orderBy("lang").limit(200).collect()]
-    out = ends.unionByName(total)
-    for t in top:
-        out = out.unionByName(t)
-    return out
+    stepped = words.withColumn("step", F.floor(F.log2("c") * STEPS))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("step")))
+    cuts = stepped.groupBy("lang", "step").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= WORDS).groupBy("lang").agg(F.min("step").alias("cut"))
+    top = stepped.join(F.broadcast(cuts), "lang").where("step >= cut").select("feature", "lang", "c")  # a row a language
+    return ends.unionByName(total).unionByName(top)
 
 
 def _likelihoods(pages: DataFrame, model: DataFrame, langs: list[str]) -> DataFrame:
     """``pages`` with ``ll``: log likelihood of the visible text in each language, tempered to WITNESSES words."""
     at = {k: i for i, k in enumerate(langs)}
     table: dict[str, np.ndarray] = {}
-    for r in model.collect():  # at most WORDS words and the endings of each language
+    for r in model.collect():  # at most WORDS words a language, and endings
         table.setdefault(r["feature"], np.zeros(len(langs)))[at[r["lang"]]] = r["c"]
     total = table.pop("", np.ones(len(langs)))
     logs = {f: np.log((c + 0.01) / (total + 1)) for f, c in table.items()}
