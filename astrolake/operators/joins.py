@@ -92,8 +92,8 @@ def near_edges(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFra
 def match_unique(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFrame:
     """Pairs where each side has exactly one neighbour within r."""
     e = near_edges(a, b, keys, r)
-    da = e.groupBy(*keys, "x", "y").agg(F.sum("bk").alias("deg_a"), F.first("bid").alias("bid"), F.first("bx").alias("bx"), F.first("by").alias("by"),
-                                       F.first("id").alias("id"), F.first("dist").alias("dist")).where(F.col("deg_a") == 1)
+    one = F.min(F.struct("bid", "bx", "by", "id", "dist")).alias("_m")
+    da = e.groupBy(*keys, "x", "y").agg(F.sum("bk").alias("deg_a"), one).where(F.col("deg_a") == 1).select(*keys, "_m.*")
     db = e.groupBy(*keys, "bx", "by").agg(F.sum("k").alias("deg_b")).where(F.col("deg_b") == 1)
     return da.join(db, [*keys, "bx", "by"]).select(*keys, F.col("id").alias("id_a"), F.col("bid").alias("id_b"), "dist")
 
