@@ -61,9 +61,8 @@ def _(s, d):
     return S.late_rows(e, 3600)
 
 
-@query("s03_streaming_windows", "s:start,event_type i:n d:mean,sd,median")
+@query("s03_streaming_windows", "s:start,event_type i:n d:mean,sd,median", _win("1 day", "1 day"))
 def _(s, d):
     out = S.work_folder(s, "windows")
     q = S.rolling_quality(S.with_event_time(stream(s, d)).withWatermark("ts", "1 hour"), "1 day")
-    S.run_once(q, out)
-    return _show(s.read.parquet(f"{out}/data"))
+    return _show(S.run_updates(q, out, ["start", "event_type"]))

@@ -68,6 +68,19 @@ def run_once(stream: DataFrame, out: str, mode: str = "append") -> None:
     q.awaitTermination()
 
 
+def run_updates(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
+    """Process everything available now in update mode; the newest row of each key, open windows included.
+
+    Each batch overwrites its own folder, so a repeated batch changes nothing.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/data/batch={batch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{out}/data")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("_r")).select(*keys, "_r.*")
+
+
 def intake(spark: SparkSession, folder: str, pattern: str, out: str) -> DataFrame:
     """Score only files not seen by this checkpoint yet; returns all scores so far."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
