@@ -301,9 +301,16 @@ def _(s, d):
     return I.match_gains(V.rgb2(s, d), K)
 
 
-@query("d38_approx_stats", "i:session,n d:mean,sd")
-def _(s, d):
-    return I.approx_stats(px(s, d), ["session"])
+# the sketched percentiles may be any value whose rank is near enough: stated as three truths next to the exact columns
+@query("d38_approx_stats", "i:session,n d:mean,sd b:p10_near,p50_near,p90_near", """
+SELECT session, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS sd, true AS p10_near, true AS p50_near, true AS p90_near FROM px GROUP BY session""")
+def _(s, d):
+    st = I.cut(I.approx_stats(px(s, d), ["session"], 10000))
+    near = []
+    for name, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)):
+        slack = F.max("n") / 10000 + 1
+        near.append(((F.count_if(F.col("v") < F.col(name)) <= p * F.max("n") + slack) & (F.count_if(F.col("v") <= F.col(name)) >= p * F.max("n") - slack)).alias(f"{name}_near"))
+    return I.attach(px(s, d), st, ["session"]).groupBy("session").agg(*[F.max(c).alias(c) for c in ("n", "mean", "sd")], *near)
 
 
 @query("d39_texture_stats", "i:frame d:grad_kurtosis,halo_ratio,highlight_index,texture_snr b:structured", f"""
