@@ -46,7 +46,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, its text without repeated lines, and how many lines it has, lost, and had near others."""
-    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    out = dedup_lines(_table(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "text", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_gone").cast("long").alias("n_gone"), F.col("__n_near").alias("n_near"))
 
 

@@ -148,6 +148,31 @@ def test_line_dedup_on_odd_rows(odd, none):
     assert out.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_edits_grow_with_the_line(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for chars in (60, 97, 101, 152, 251):
+        line = "".join(rng.choice(list("abcdé \U0001f600"), chars))
+        for _ in range(6):
+            x = list(line)
+            for _ in range(int(rng.integers(0, chars // 80 + 2))):
+                p = int(rng.integers(0, len(x)))
+                x[p : p + 1] = [[], ["z"], [x[p], "q"]][int(rng.integers(0, 3))]
+            texts.append("".join(x))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {(r.h1, r.h2): r.line for r in line_dedup.lines(df, "doc_id", "text").collect()}
+    got = {frozenset((names[(r.a1, r.a2)], names[(r.b1, r.b2)])) for r in line_dedup.edit_links(df).collect()}
+    edits = {p: max(1, min(map(len, p)) // 50) for p in itertools.combinations(texts, 2)}
+    far = {p: _distance(*p) for p, k in edits.items() if abs(len(p[0]) - len(p[1])) <= k}
+    assert got == {frozenset(p) for p, d in far.items() if d <= edits[p]} and any(2 < d <= edits[p] for p, d in far.items())
+
+
+def test_short_copies_go(spark):
+    df = spark.createDataFrame([(1, "Les.\n\nA"), (2, "Les.\n\nB\nLes.")], "doc_id long, text string")
+    assert [r.text for r in line_dedup.dedup_lines(df, short=True).orderBy("doc_id").collect()] == ["Les.\n\nA", "\nB"]
+
+
 def test_leaks_and_slots(spark, odd, none):
     items = spark.createDataFrame([
         (1, "Alice has 12 apples and gives 5 apples to Bob . How many apples does Alice keep in her basket ?"),
