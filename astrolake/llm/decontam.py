@@ -98,7 +98,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items = {}
         self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        words, codes, kinds, of = Template().read([t for _, t in items])
+        template = Template()
+        words, codes, kinds, of = template.read([t for _, t in items])
         ends = np.cumsum([len(w) for w in words])
         for (item, _), w, end in zip(items, words, ends):
             c, k = codes[end - len(w) : end], kinds[end - len(w) : end]
@@ -106,7 +107,11 @@ class Index:
                 continue  # two words decide nothing
             self.items[item] = (w, k)
             width = min(WINDOW, len(w))
-            for p, x in enumerate(windows(c, width).tolist()):
+            found = list(enumerate(windows(c, width).tolist()))
+            other = template.rows[template.number(w[0])][1]
+            if other != c[0]:  # the first word as read behind other words
+                found += [(-1, x) for x in windows(np.concatenate([np.array([other], np.uint64), c[1:width]]), width).tolist()]
+            for p, x in found:
                 self.at[width][x].append((item, p))
         self.at = {w: dict(x) for w, x in self.at.items()}
         self.sorted = {w: np.sort(np.fromiter(x, np.uint64, len(x))) for w, x in self.at.items()}
@@ -119,8 +124,8 @@ def _consistent(pairs: list[tuple[int, str, str]]) -> bool:
     return all(forth.setdefault((k, a), b) == b and back.setdefault((k, b), a) == a for k, a, b in pairs)
 
 
-def matches(texts: list[str], index: Index, template: Template) -> list[tuple[int, int, int, int, int, float, int, bool]]:
-    """(text, item, word offset, run of words, literal words in it, share of the item, slots, slots consistent)."""
+def matches(texts: list[str], index: Index, template: Template) -> list[tuple[int, int, int, int, int, float, int, bool, bool]]:
+    """(text, item, word offset, run of words, literal words in it, share of the item, slots, slots consistent, slots equal)."""
     words, codes, kinds, of = template.read(texts)
     starts = np.searchsorted(of, np.arange(len(texts)))
     runs: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
@@ -134,6 +139,10 @@ def matches(texts: list[str], index: Index, template: Template) -> list[tuple[in
             d = int(of[p])
             q = p - int(starts[d])
             for item, ip in index.at[width][int(x[p])]:
+                if ip < 0:
+                    ip = 0
+                    if words[d][q].strip(_EDGE).casefold() != index.items[item][0][0].strip(_EDGE).casefold():
+                        continue  # another name in its place
                 runs[(d, item, q - ip, width)].append(ip)
     out = []
     for (d, item, shift, width), places in runs.items():
@@ -147,7 +156,7 @@ def matches(texts: list[str], index: Index, template: Template) -> list[tuple[in
             begin = following
             slots = [(int(ik[i]), iw[i].strip(_EDGE).casefold(), words[d][shift + i].strip(_EDGE).casefold()) for i in range(a, b) if ik[i]]
             literal = int((ik[a:b] == LITERAL_KIND).sum())
-            out.append((d, item, shift + a, b - a, literal, (b - a) / len(iw), len(slots), _consistent(slots)))
+            out.append((d, item, shift + a, b - a, literal, (b - a) / len(iw), len(slots), _consistent(slots), all(x == y for _, x, y in slots)))
     return out
 
 
@@ -156,8 +165,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Numbers, units and names become typed placeholders.  Windows of WINDOW template words are looked up
     in the benchmark's; consecutive hits on one alignment join into a run.  A run is a leak if it
-    covers RUN words or the whole item, holds LITERAL plain words (or, in a shorter item, a majority), and its slots
-    stand for each other one to one, so that an exact copy and a re-parameterised question are caught and
+    covers RUN words or the whole item, holds LITERAL plain words (or, in a shorter item, a majority) or is a copy with
+    the same slot values, and its slots stand for each other one to one, so that an exact copy and a re-parameterised question are caught and
     a mere resemblance is not.
 
     Null and empty texts or items match nothing; items under three words are too short to decide.  Rows
@@ -185,8 +194,8 @@ def _search(held):
             ids, texts, out = b["doc_id"].tolist(), [t or "" for t in b["text"]], []
             step = max(1, len(texts) // (1 + sum(map(len, texts)) // 8_000_000))
             for i in range(0, len(texts), step):
-                for d, item, at, run_words, literal, share, slots, same in matches(texts[i : i + step], index, template):
-                    if same and (run_words >= RUN or share == 1) and literal >= min(LITERAL, run_words // 2 + 1):
+                for d, item, at, run_words, literal, share, slots, same, equal in matches(texts[i : i + step], index, template):
+                    if same and (run_words >= RUN or share == 1) and (equal or literal >= min(LITERAL, run_words // 2 + 1)):
                         out.append((ids[i + d], item, at, run_words, share, slots))
             got = pd.DataFrame(out, columns=["doc_id", "item_id", "offset", "run_words", "share", "n_slots"])
             got["doc_id"] = pd.array(got["doc_id"].tolist(), dtype="Int64")

@@ -188,6 +188,14 @@ def test_leaks_and_slots(spark, odd, none):
     assert decontam.decontaminate(odd, items).columns == odd.columns and decontam.decontaminate(odd, items).count() == odd.count()
 
 
+def test_leaks_hold_copies_behind_headings_and_with_many_slots(spark):
+    items = spark.createDataFrame([(1, "How do plants make sugar from light ?"), (2, "John Smith was born in New York City in 1923")], "item_id long, text string")
+    rows = [(1, "Question: How do plants make sugar from light ? yes"), (2, "it says John Smith was born in New York City in 1923 and so on"),
+            (3, "Question: Anna do plants make sugar from light ?"), (4, "Peter Brown was born in Old Mill Town in 1950")]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
 def test_leaks_hold_every_copied_item(docs, spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = {r.item_id: " ".join(r.text.lower().split()) for r in items.collect()}
