@@ -35,29 +35,34 @@ APART_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _apart(tag: str, attrs: str, inside: bool) -> bool:
-    """True for an element that is no part of the article, by its tag, role, or the words of its class and id."""
+def _apart(tag: str, attrs: str, inside: bool) -> int:
+    """2 for an element that is no part of the article by its tag or role, 1 by a word of its class or id only, else 0."""
     if tag in APART_TAGS or (tag == "header" and not inside):
-        return True
+        return 2
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in APART_ROLES or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    return bool(APART_NAMES.intersection(_NAME.findall(found.get("class", "") + " " + found.get("id", ""))))
+        return 2
+    return int(bool(APART_NAMES.intersection(_NAME.findall(found.get("class", "") + " " + found.get("id", "")))))
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters in links, set apart by its element, heading, within an article) of each block, in page order."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
+def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
+    """(text, characters in links, set apart by its element as in _apart, heading, within an article) of each block, in page order.
+
+    A main element, or the page's first article element, ends what the class words of a wrapper set apart.  A link ends at the
+    next one and with the element that holds it; one that is never closed also ends at the next block.
+    """
+    out: list[tuple[str, int, int, bool, bool]] = []
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, apart, article
-    hidden = apart = article = heading = False
-    links = breaks = 0
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, hidden, apart, article, linked
+    hidden = article = heading = linked = loose = seen = False
+    apart = breaks = 0
 
     def flush() -> None:
         nonlocal breaks
@@ -65,8 +70,7 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
         if text:
             whole = " ".join(unescape("".join(t for t, _ in text)).split())
             if whole:
-                linked = sum(len(t.strip()) for t, linked in text if linked)
-                out.append((whole, linked, apart, heading, article))
+                out.append((whole, sum(len(t.strip()) for t, in_link in text if in_link), apart, heading, article))
             text.clear()
 
     at, raw = 0, ""
@@ -75,13 +79,13 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
             m = re.compile(rf"</{raw}\b", re.I).search(html, at)
             end = m.start() if m else len(html)
             if not hidden:
-                text.append((html[at:end], links > 0))
+                text.append((html[at:end], linked))
             at, raw = end, ""
             continue
         m = _TOKEN.search(html, at)
         end = m.start() if m else len(html)
         if end > at and not hidden:
-            text.append((html[at:end], links > 0))
+            text.append((html[at:end], linked))
         if not m:
             break
         at = m.end()
@@ -90,15 +94,16 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in BLOCK_TAGS:
             flush()
+            linked = linked and not loose
         elif tag == "br":
             breaks += 1
             text.append((" ", False))
         if closing:
             if tag == "a":
-                links = max(0, links - 1)
+                linked = False
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if k is not None:
-                _, hidden, apart, article = stack[k]
+                _, hidden, apart, article, linked = stack[k]
                 del stack[k:]
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = False
@@ -108,17 +113,21 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool, bool]]:
         if tag == "p":  # a paragraph ends at the next one
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", "div", "article", "section", "td", "body")), None)
             if k is not None and stack[k][0] == "p":
-                _, hidden, apart, article = stack[k]
+                _, hidden, apart, article, linked = stack[k]
                 del stack[k:]
         if tag == "a":
-            links += 1
+            following = _LINK.search(html, at)
+            linked, loose = True, not (following and following[1])
         if tag in BLOCK_TAGS or tag in HIDDEN_TAGS or tag in APART_TAGS:
-            stack.append((tag, hidden, apart, article))
+            stack.append((tag, hidden, apart, article, linked))
             hidden = hidden or tag in HIDDEN_TAGS
             if tag == "body":
                 hidden = False
+            if apart == 1 and (tag == "main" or tag == "article" and not seen):
+                apart = 0
             article = article or tag in ("article", "main")
-            apart = apart or _apart(tag, m[3], article)
+            seen = seen or article
+            apart = max(apart, _apart(tag, m[3], article))
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
         if tag in RAW_TAGS:
@@ -133,9 +142,14 @@ def main_blocks(html: str) -> list[str]:
     First pass: an element set apart, or a block mostly of links, is dropped; a long enough block with many stop words is text;
     a block in an article element needs few of them; other blocks are open.  Second pass: an open block takes the label of its
     nearest decided neighbours, of two different ones that of the nearer, at equal distance text; a heading follows
-    the next decided block.  Without any decided block, open blocks of an article element are text.
+    the next decided block.  Without any decided block, open blocks of an article element are text.  A page that would be left
+    without text is read again with what only class words set apart.
     """
     found = blocks(html)
+    return _chosen(found) or _chosen([(text, links, int(apart == 2), *rest) for text, links, apart, *rest in found])
+
+
+def _chosen(found: list[tuple[str, int, int, bool, bool]]) -> list[str]:
     label: list[int] = []  # 1 text, -1 not, 0 open
     for text, linked, apart, heading, article in found:
         words = _WORD.findall(text.lower())

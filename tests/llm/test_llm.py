@@ -304,6 +304,17 @@ def test_main_text(spark):
     assert html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string").where("false")).count() == 0
 
 
+def test_main_text_in_loose_markup():
+    para = "The first of the paragraphs is one that is long enough to be the text of the page and it is kept for the reader to see in the end, as it was in the page."
+    both = f"<p>{para}</p><p>{para}</p>"
+    for page in (
+            f"<body><ul><li><a href='/'>Home<li><a href='/x'>News</ul><div>{both}</div></body>", f"<body><a href='/'>Home<div>{both}</div></body>",
+            f"<div class='layout has-sidebar'><article>{both}</article></div>", f"<div class='with-comments'>{both}</div>"):
+        assert html_extract.main_blocks(page) == [para, para], page
+    # links around blocks, comments and menus stay out
+    assert html_extract.main_blocks(f"<article>{both}</article><div class='comments'><article>{both}</article></div><a href='/'><p>{para}</p></a><nav>{both}</nav>") == [para, para]
+
+
 def test_warc_round_trip_with_magic_inside(spark):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(1, "http://a/é x", "hé\r\n\r\nllo", 1), (2, None, "before " + inner + "after", 2), (3, "u", inner, 3), (4, "u", None, 4), (5, "u", "", 5), (6, "u", "hé\r\n\r\nllo", 6), (7, "u", "before " + inner + "after", 7), (8, "u", "WARC/1.1\r\n" * 3, 8)]
