@@ -15,9 +15,11 @@ from astrolake.llm.shared import Codes, kept
 #: Shards of the table.  A phrase that occurs ``support`` times occurs at least ``local_support`` times in one of them.
 SHARDS = 3
 #: Words a task gathers before it sends their phrases on.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
+#: Words whose codes a task remembers.
+CODES = 100_000
 #: Bytes of text cut into words at a time, at the end of a piece.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Bits of the filter of candidates that every task of the second pass gets (8 MB, whatever it holds).
 BITS = 1 << 26
 
@@ -44,31 +46,41 @@ class Chunk:
         while at < len(data):
             end = len(data) if len(data) - at <= SLICE else data.find(b"\n", at + SLICE) % (len(data) + 1)
             words = [w for w in data[at:end].replace(b"\n", b" \n ").split(b" ") if w]
-            self.parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-            self.parts.append(np.zeros(1, np.int64))
+            self.parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            self.parts.append(np.zeros(1, np.int32))
             self.size += len(words) + 1
             at = end
 
-    def phrases(self, longest: int, lang: bytes, codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length: word numbers, hash, and count of every distinct phrase.
+    def phrases(self, longest: int, lang: bytes, codes: Codes) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
+        """For each length: links, hash, and count of every distinct phrase.
 
-        Phrases are told apart by the numbers of their words; the hash is the same in every task.
+        A phrase is linked to the one without its last word, at every length so far, and to that word's number; so
+        phrases are told apart by their words, while the hash is the same in every task.
         """
-        ids = np.concatenate([*self.parts, np.zeros(longest, np.int64)])
+        ids = np.concatenate([*self.parts, np.zeros(longest, np.int32)])
         coded = np.fromiter((codes[w] for w in self.number), np.uint64, len(self.number))
         hashes = np.full(1, codes[b"\x00" + lang], np.uint64)
         where = np.flatnonzero(ids)  # where a phrase starts
-        group, words = np.zeros(len(where), np.int64), np.zeros((1, 0), np.int64)
+        group, links = np.zeros(len(where), np.int64), []
         for width in range(1, longest + 1):
             following = ids[where + width - 1]
             whole = following > 0
             where, key = where[whole], group[whole] * len(coded) + following[whole]
             kinds, group, counts = np.unique(key, return_inverse=True, return_counts=True)
             first, last = kinds // len(coded), kinds % len(coded)
-            words = np.concatenate([words[first], last[:, None]], axis=1)
+            links.append((first, last))
             hashes = (hashes[first] ^ coded[last] * _MIX[0]) * _MIX[1]
             hashes ^= hashes >> np.uint64(32)
-            yield words, hashes, counts
+            yield links, hashes, counts
+
+
+def spelled(links: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> np.ndarray:
+    """The word numbers of the phrases ``at``, one row each."""
+    columns = []
+    for first, last in reversed(links):
+        columns.append(last[at])
+        at = first[at]
+    return np.stack(columns[::-1], axis=1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Chunk]]:
@@ -90,18 +102,19 @@ def candidates(texts: DataFrame, longest: int, support: int) -> DataFrame:
     """Hashes of the phrases that are frequent in some shard at ``local_support``: all that are frequent in the table, and few others.
 
     A shard is every SHARDS-th split of the table.  It is mined completely: each task counts the phrases of its split,
-    and grouped sums by (shard, hash) put the tasks of a shard together.
+    and grouped sums by hash and shard put the tasks of a shard together.  SHARDS is at most 256, and hashes keep 56 bits.
     """
     least = local_support(support)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, shard = Codes(), TaskContext.get().partitionId() % SHARDS
+        codes, shard = Codes(CODES), np.uint64(TaskContext.get().partitionId() % SHARDS)
         for lang, chunk in _chunks(batches):
             for _, hashes, counts in chunk.phrases(longest, lang.encode(), codes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), shard, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shard", "hash", "c"])
+                keys = hashes << np.uint64(8) | shard  # as one number, since there are very many
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "c"])
 
-    seen = texts.mapInArrow(run, "shard int, hash long, c long")
-    return seen.groupBy("shard", "hash").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("hash").distinct()
+    seen = texts.mapInArrow(run, "key long, c long")
+    return seen.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select(F.shiftrightunsigned("key", 8).alias("hash")).distinct()
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -125,15 +138,15 @@ def counted(texts: DataFrame, hashes: DataFrame, longest: int) -> DataFrame:
             [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), width, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "words", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        codes = Codes(CODES)
         for lang, chunk in _chunks(batches):
             names = list(chunk.number)
             yield frame([lang], [b""], 0, np.array([sum(np.count_nonzero(p) for p in chunk.parts)]))
-            for words, hashes, counts in chunk.phrases(longest, lang.encode(), codes):
+            for links, hashes, counts in chunk.phrases(longest, lang.encode(), codes):
                 slots = hashes & np.uint64(BITS - 1)
-                hit = marks.value[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63)) & np.uint64(1) == 1
-                phrases = [b" ".join([names[i] for i in row]) for row in words[hit].tolist()]
-                yield frame([lang] * len(phrases), phrases, words.shape[1], counts[hit])
+                hit = np.flatnonzero(marks.value[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63)) & np.uint64(1))
+                phrases = [b" ".join([names[i] for i in row]) for row in spelled(links, hit).tolist()]
+                yield frame([lang] * len(phrases), phrases, len(links), counts[hit])
 
     return texts.mapInArrow(run, "lang string, phrase string, words int, c long").groupBy("lang", "phrase", "words").agg(F.sum("c").alias("c"))
 
