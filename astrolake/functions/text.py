@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # fixed values: full-width forms folded to ASCII (compatibility folding has no built-in; these are the forms that occur in titles and queries)
 WIDE = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ　（），：；！？"
 NARROW = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ (),:;!?"
+# fixed values: characters of scripts written without spaces
+CJK = "一-鿿"
 # fixed values: words that never become search terms
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
@@ -17,12 +19,6 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(c, WIDE, NARROW)), r"\s+", " "))
 
 
-def ascii_tokens(c: Column) -> Column:
-    """Lower-case ASCII word tokens in order, stop words out."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(*STOP))
-
-
 def ngrams(c: Column, lo: int, hi: int) -> Column:
     """Character n-grams (lengths lo..hi) of a short run, used for scripts without spaces."""
     def of(n: int) -> Column:
@@ -32,10 +28,17 @@ def ngrams(c: Column, lo: int, hi: int) -> Column:
     return F.flatten(F.array(*[of(n) for n in range(lo, hi + 1)]))
 
 
-def cjk_tokens(c: Column, lo: int = 2, hi: int = 4) -> Column:
-    """Distinct n-grams of every CJK run of a text."""
-    runs = F.regexp_extract_all(c, F.lit("[一-鿿]+"), F.lit(0))
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: ngrams(r, lo, hi))))
+def script_tokens(c: Column, lo: int = 2, hi: int = 4) -> Column:
+    """Search terms of a text in any script, in order, repeats included.
+
+    Outside CJK a term is a whole word of letters, marks and digits, so accented words stay whole; words of one letter and stop words
+    are none.  Scripts written without spaces give every n-gram of ``lo`` to ``hi`` characters of each run.  Null gives null.
+    """
+    low = F.lower(F.translate(c, WIDE, NARROW))
+    words = F.regexp_extract_all(F.regexp_replace(low, f"[{CJK}]+", " "), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP))
+    runs = F.filter(F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0)), lambda r: F.length(r) >= lo)
+    return F.when(F.size(runs) > 0, F.concat(words, F.flatten(F.transform(runs, lambda r: ngrams(r, lo, hi))))).otherwise(words)
 
 
 def identifiers(c: Column) -> Column:

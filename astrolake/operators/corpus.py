@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from astrolake.functions.text import STOP, ascii_tokens, normalise, slug
+from astrolake.functions.text import normalise, script_tokens, slug
 from astrolake.session import cut, hold
 
 # fixed values: field weights of the fielded score
@@ -128,10 +128,9 @@ def document_fields(docs: DataFrame) -> DataFrame:
 
 
 def postings(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """(term, document, field, tf), combined before the shuffle."""
+    """(term, document, field, tf) over the terms of every script, combined before the shuffle."""
     long = fields.unpivot([key], names, "field", "content")
-    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-    terms = long.select(key, "field", F.explode(words).alias("term")).where(~F.col("term").isin(*STOP))
+    terms = long.select(key, "field", F.explode(script_tokens(F.col("content"))).alias("term"))
     return terms.groupBy("term", key, "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -164,7 +163,7 @@ def idf(post: DataFrame, key: str, docs: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct raw terms of a query (weight 1.0; tokens with letters and digits count as models, 0.8)."""
-    t = queries.select("query", F.explode(F.array_distinct(ascii_tokens(F.col("text")))).alias("term"))
+    t = queries.select("query", F.explode(F.array_distinct(script_tokens(F.col("text")))).alias("term"))
     return t.withColumn("weight", F.when(F.col("term").rlike("[a-z]") & F.col("term").rlike("[0-9]"), 0.8).otherwise(1.0))
 
 
@@ -205,19 +204,27 @@ def length_weight(term: Column) -> Column:
     return 1 + 0.18 * F.least(F.greatest(F.length(term) - 2, F.lit(0)), F.lit(4))
 
 
-def score_fielded(terms: DataFrame, post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
-    """Sum over fields of weight*(1+ln(min(tf,8))) times idf, query weight and length weight.
+def field_impacts(post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
+    """(term, document, impact, strong): what a term adds to the score of a document, before the weight a query gives it.
 
-    Field scores of a (term, document) pair are summed before the join with the queries, so a query
-    term meets one row per document.
+    Sum over fields of weight*(1+ln(min(tf,8))), times idf and length weight.
     """
     fw = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     per = post.groupBy("term", key).agg(
         F.sum(fw[F.col("field")] * (1 + F.ln(F.least("tf", F.lit(8))))).alias("s"), F.max(F.col("field").isin(*STRONG)).alias("strong"))
-    per = per.join(small_or_plain(idfs.select("term", "idf")), "term")
-    part = F.col("s") * F.col("idf") * F.col("weight") * length_weight(F.col("term"))
-    return per.join(small_or_plain(terms), "term").groupBy("query", key).agg(
-        F.sum(part).alias("score"), F.max("strong").alias("strong"), F.count(F.lit(1)).alias("matched"))
+    return per.join(small_or_plain(idfs.select("term", "idf")), "term").select("term", key, (F.col("s") * F.col("idf") * length_weight(F.col("term"))).alias("impact"), "strong")
+
+
+def score_fielded(terms: DataFrame, post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
+    """Every document that matches, with the sum of its impacts times the query weights: one row per (query, document).
+
+    A report of all scores; for the best documents of each query see ``ranking``, which sums no others.
+    """
+    return field_impacts(post, key, idfs).join(small_or_plain(terms), "term").groupBy("query", key).agg(
+        F.sum(F.col("impact") * F.col("weight")).alias("score"), F.max("strong").alias("strong"), F.count(F.lit(1)).alias("matched"))
+
+
+BONUS = 45.0 + 5.0  # the most that title and hint add
 
 
 def with_bonus(scored: DataFrame, queries: DataFrame, docs: DataFrame, key: str) -> DataFrame:

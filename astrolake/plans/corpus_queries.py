@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from astrolake import views as V
 from astrolake.functions import text as X
 from astrolake.operators import corpus as C
+from astrolake.operators import ranking as R
 from astrolake.operators import sets as T
 from astrolake.plans.registry import query
 
@@ -14,7 +15,10 @@ STOPS = ", ".join(f"'{w}'" for w in X.STOP)
 
 
 def _tok(expr: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({expr}), '[a-z0-9]+'), lambda w: w NOT IN ({STOPS}))"
+    """Words outside CJK, then the n-grams of two to four of each CJK run."""
+    words = f"list_filter(regexp_extract_all(regexp_replace(lower({expr}), '[{X.CJK}]+', ' ', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS}))"
+    grams = f"list_transform(regexp_extract_all(lower({expr}), '[{X.CJK}]+'), lambda r: flatten([list_transform(range(1, length(r) - n + 2), lambda i: r[i:i + n - 1]) for n in [2, 3, 4]]))"
+    return f"list_concat({words}, coalesce(flatten({grams}), []))"
 
 
 def _norm(expr: str) -> str:
@@ -126,12 +130,29 @@ def _(s, d):
 @query("i02_tokens", "i:doc_id,n,n_distinct s:longest", f"""WITH t AS (SELECT doc_id, {_tok('text')} AS t FROM documents) SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct,
  list_sort(list_filter(t, lambda w: length(w) = list_max(list_transform(t, lambda v: length(v)))))[1] AS longest FROM t""")
 def _(s, d):
-    t = V.docs(s, d).select("doc_id", X.ascii_tokens(F.col("text")).alias("t"))
+    t = V.docs(s, d).select("doc_id", X.script_tokens(F.col("text")).alias("t"))
     # reversed order by length via struct comparison: longest first, then alphabetical
     return t.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"),
                     F.get(F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(0))["w"].alias("longest"))
 
 
+# a corpus in several scripts: of every third text the letters a to h are written as CJK characters, so its runs mix with words
+SCRIPT = ("abcdefgh", "天地玄黄宇宙洪荒")
+MIXED = f"CASE WHEN {{}} % 3 = 0 THEN translate({{}}, '{SCRIPT[0]}', '{SCRIPT[1]}') ELSE {{}} END"
+
+
+def mixed(df, key, c):
+    return df.withColumn(c, F.when(F.col(key) % 3 == 0, F.translate(c, *SCRIPT)).otherwise(F.col(c)))
+
+
+@query("i02_scripts", "s:term i:n,docs,first_doc", f"""WITH t AS (SELECT doc_id, unnest({_tok(MIXED.format('doc_id', 'text', 'text'))}) AS term FROM documents)
+SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM t WHERE regexp_matches(term, '[^a-z0-9]') GROUP BY term""")
+def _(s, d):
+    t = mixed(V.docs(s, d).select("doc_id", "text"), "doc_id", "text").select("doc_id", F.explode(X.script_tokens(F.col("text"))).alias("term")).where(F.col("term").rlike("[^a-z0-9]"))
+    per = t.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
 @query("i02_ngrams", "i:part s:grams", """WITH p AS (SELECT p_partkey AS part, replace(p_name, ' ', '') AS w FROM part)
 SELECT part, list_aggregate(list_distinct(list_concat(list_concat(list_transform(range(1, length(w)), lambda i: w[i:i+1]), list_transform(range(1, length(w) - 1), lambda i: w[i:i+2])), list_transform(range(1, length(w) - 2), lambda i: w[i:i+3])))
  .list_sort(), 'string_agg', ' ') AS grams FROM p""")
@@ -202,9 +223,19 @@ def scored(s, d):
     return q, f, post, sc
 
 
+def ordered(s, d):
+    """Queries, fields, postings, query terms, and the asked postings by impact with the bound of each term."""
+    q, f, post, _ = batch(s, d)
+    terms = C.cut(C.profile_queries(q, C.alias_table(s)))
+    asked = C.postings_of(post, terms, "doc")
+    ids = C.cut(C.idf(asked, "doc", V.table(s, d, "documents")))
+    return q, f, post, terms, *R.impact_order(C.field_impacts(asked, "doc", ids))
+
+
 def best(s, d, k=10):
-    q, f, post, sc = scored(s, d)
-    return q, post, C.cut(C.rank(C.strong_only(C.with_bonus(sc, q, f, "doc")), "doc", k))
+    q, f, post, terms, placed, bounds = ordered(s, d)
+    may = C.cut(R.top_candidates(terms, placed, bounds, "doc", k, C.BONUS))
+    return q, post, C.cut(C.rank(C.strong_only(C.with_bonus(may, q, f, "doc")), "doc", k))
 
 
 @query("j01_idf", "s:term i:df d:idf", f"WITH {FIELDS} SELECT * FROM idf")
@@ -228,6 +259,24 @@ def _(s, d):
     return scored(s, d)[3]
 
 
+@query("j02_scripts", "i:query,doc,rank,matched d:score", f"""
+WITH dm AS (SELECT doc_id AS doc, {MIXED.format('doc_id', 'text', 'text')} AS text, n_chars FROM documents), qm AS (SELECT doc_id AS query, {MIXED.format('doc_id', "array_to_string(string_split(text, ' ')[3:14], ' ')", "array_to_string(string_split(text, ' ')[3:14], ' ')")} AS text FROM documents),
+po AS (SELECT term, doc, count(*) AS tf FROM (SELECT doc, unnest({_tok('text')}) AS term FROM dm) GROUP BY ALL), qt AS (SELECT DISTINCT query, unnest({_tok('text')}) AS term FROM qm),
+ix AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS idf FROM po GROUP BY term),
+sc AS (SELECT query, doc, sum((1 + ln(least(tf, 8))) * idf * (1 + 0.18 * least(greatest(length(term) - 2, 0), 4))) AS score, count(*) AS matched FROM qt JOIN po USING (term) JOIN ix USING (term) GROUP BY ALL)
+SELECT query, doc, matched, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM sc QUALIFY rank <= 3""")
+def _(s, d):
+    """Every document's opening words, accented and CJK ones too, as a query over all documents: its three best."""
+    docs = V.docs(s, d).select("doc_id", "text")
+    asked = docs.select(F.col("doc_id").alias("query"), F.array_join(F.slice(F.split("text", " "), 3, 12), " ").alias("text"))
+    q = mixed(asked, "query", "text")
+    terms = C.cut(q.select("query", F.explode(F.array_distinct(X.script_tokens(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0)))
+    post = C.postings_of(C.cut(C.postings(mixed(docs, "doc_id", "text").withColumnRenamed("doc_id", "doc"), "doc", ["text"])), terms, "doc")
+    ids = C.cut(C.idf(post, "doc", V.table(s, d, "documents")))
+    flat = post.join(C.small_or_plain(ids.select("term", "idf")), "term").select("term", "doc", ((1 + F.ln(F.least("tf", F.lit(8)))) * F.col("idf") * C.length_weight(F.col("term"))).alias("impact"), F.lit(True).alias("strong"))
+    return C.rank(R.top_candidates(terms, *R.impact_order(flat), "doc", 3), "doc", 3)
+
+
 @query("j03_title_bonus", "i:query,doc d:score", f"WITH {BON} SELECT * FROM bo")
 def _(s, d):
     q, f, _, sc = scored(s, d)
@@ -254,9 +303,10 @@ def _(s, d):
 dd AS (SELECT query, doc, max(score) AS score FROM ht GROUP BY ALL), z AS (SELECT dd.*, bt.doc IS NOT NULL AS lead FROM dd LEFT JOIN bt ON dd.query = bt.query AND dd.doc = bt.doc)
 SELECT *, row_number() OVER (PARTITION BY query ORDER BY lead DESC, round(score, 6) DESC, doc) AS rank FROM z QUALIFY rank <= 10""")
 def _(s, d):
-    q, f, post, sc = scored(s, d)
-    strong = post.where(F.col("field") != "body").select("term", "doc").distinct()
-    hits = C.profile_queries(q, C.alias_table(s)).join(strong, "term").join(sc.select("query", "doc", "score"), ["query", "doc"])
+    _, _, _, terms, placed, bounds = ordered(s, d)
+    lead = R.best_of_terms(terms, placed, bounds, "doc")
+    top = R.top_candidates(terms, placed, bounds, "doc", 10).join(terms.select("query", "term"), "query").join(placed.where("strong").select("term", "doc"), ["term", "doc"])
+    hits = lead.unionByName(top.select("query", "term", "doc", "score"))
     return C.rank_required_first(hits, "doc", 10)
 
 
