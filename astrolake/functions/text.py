@@ -28,17 +28,17 @@ def ngrams(c: Column, lo: int, hi: int) -> Column:
     return F.flatten(F.array(*[of(n) for n in range(lo, hi + 1)]))
 
 
-def script_tokens(c: Column, lo: int = 2, hi: int = 4) -> Column:
+def script_tokens(c: Column, lo: int = 2, hi: int = 4, stops: bool = True) -> Column:
     """Search terms of a text in any script, in order, repeats included.
 
     Outside CJK a term is a whole word of letters, marks and digits, so accented words stay whole; words of one letter and stop words
-    are none.  Scripts written without spaces give every n-gram of ``lo`` to ``hi`` characters of each run.  Null gives null.
+    are none (with ``stops`` false they stay, for callers that drop them later).  Scripts written without spaces give every n-gram of ``lo`` to ``hi`` characters of each run.  Null gives null.
     """
-    low = F.lower(F.translate(c, WIDE, NARROW))
-    words = F.regexp_extract_all(F.regexp_replace(low, f"[{CJK}]+", " "), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP))
-    runs = F.filter(F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0)), lambda r: F.length(r) >= lo)
-    return F.when(F.size(runs) > 0, F.concat(words, F.flatten(F.transform(runs, lambda r: ngrams(r, lo, hi))))).otherwise(words)
+    low = F.lower(c)
+    words = F.regexp_extract_all(low, F.lit(rf"[a-z0-9[\p{{L}}\p{{M}}\p{{N}}&&[^{CJK}]]]{{2,}}"), F.lit(0))
+    words = F.filter(words, lambda w: ~w.isin(*STOP)) if stops else words
+    runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]{{{lo},}}"), F.lit(0))
+    return F.when(c.rlike(f"[{CJK}]{{{lo}}}"), F.concat(words, F.flatten(F.transform(runs, lambda r: ngrams(r, lo, hi))))).otherwise(words)
 
 
 def identifiers(c: Column) -> Column:

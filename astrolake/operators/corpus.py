@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from astrolake.functions.text import normalise, script_tokens, slug
+from astrolake.functions.text import STOP, normalise, script_tokens, slug
 from astrolake.session import cut, hold
 
 # fixed values: field weights of the fielded score
@@ -130,7 +130,7 @@ def document_fields(docs: DataFrame) -> DataFrame:
 def postings(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
     """(term, document, field, tf) over the terms of every script, combined before the shuffle."""
     long = fields.unpivot([key], names, "field", "content")
-    terms = long.select(key, "field", F.explode(script_tokens(F.col("content"))).alias("term"))
+    terms = long.select(key, "field", F.explode(script_tokens(F.col("content"), stops=False)).alias("term")).where(~F.col("term").isin(*STOP))
     return terms.groupBy("term", key, "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -218,9 +218,10 @@ def field_impacts(post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
 def score_fielded(terms: DataFrame, post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
     """Every document that matches, with the sum of its impacts times the query weights: one row per (query, document).
 
-    A report of all scores; for the best documents of each query see ``ranking``, which sums no others.
+    The impacts of a document are brought together once; with few query terms (broadcast) its scores are then summed where it lies, and
+    no pair of query and document moves.  For queries of few words ``ranking`` sums only documents that may be among the best.
     """
-    return field_impacts(post, key, idfs).join(small_or_plain(terms), "term").groupBy("query", key).agg(
+    return field_impacts(post, key, idfs).repartition(key).join(small_or_plain(terms), "term").groupBy("query", key).agg(
         F.sum(F.col("impact") * F.col("weight")).alias("score"), F.max("strong").alias("strong"), F.count(F.lit(1)).alias("matched"))
 
 

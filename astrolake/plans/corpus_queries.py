@@ -215,27 +215,20 @@ def batch(s, d):
 
 
 def scored(s, d):
-    q, f, post, _ = batch(s, d)
-    terms = C.cut(C.profile_queries(q, C.alias_table(s)))
-    asked = C.postings_of(post, terms, "doc")
-    ids = C.cut(C.idf(asked, "doc", V.table(s, d, "documents")))
-    sc = C.score_fielded(terms, asked, "doc", ids)
-    return q, f, post, sc
-
-
-def ordered(s, d):
-    """Queries, fields, postings, query terms, and the asked postings by impact with the bound of each term."""
-    q, f, post, _ = batch(s, d)
+    q = V.table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    f = C.document_fields(V.docs(s, d))
     terms = C.cut(C.profile_queries(q, C.alias_table(s)))
-    asked = C.postings_of(post, terms, "doc")
-    ids = C.cut(C.idf(asked, "doc", V.table(s, d, "documents")))
-    return q, f, post, terms, *R.impact_order(C.field_impacts(asked, "doc", ids))
+    asked = C.cut(C.postings_of(C.postings(f, "doc", list(C.WEIGHTS)), terms, "doc"))
+    sc = C.score_fielded(terms, asked, "doc", C.cut(C.idf(asked, "doc", V.table(s, d, "documents"))))
+    return q, f, asked, sc
 
 
 def best(s, d, k=10):
-    q, f, post, terms, placed, bounds = ordered(s, d)
-    may = C.cut(R.top_candidates(terms, placed, bounds, "doc", k, C.BONUS))
-    return q, post, C.cut(C.rank(C.strong_only(C.with_bonus(may, q, f, "doc")), "doc", k))
+    q, f, asked, sc = scored(s, d)
+    sc = C.cut(C.strong_only(sc))
+    # titles and texts are read only for what the bonus could lift to the k-th score
+    may = sc.join(R.kth_scores(sc, ["query"], "doc", k), "query", "left").where(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff") - C.BONUS - R.SLACK)).drop("cutoff")
+    return q, asked, C.cut(C.rank(C.with_bonus(may, q, f, "doc"), "doc", k))
 
 
 @query("j01_idf", "s:term i:df d:idf", f"WITH {FIELDS} SELECT * FROM idf")
@@ -303,10 +296,9 @@ def _(s, d):
 dd AS (SELECT query, doc, max(score) AS score FROM ht GROUP BY ALL), z AS (SELECT dd.*, bt.doc IS NOT NULL AS lead FROM dd LEFT JOIN bt ON dd.query = bt.query AND dd.doc = bt.doc)
 SELECT *, row_number() OVER (PARTITION BY query ORDER BY lead DESC, round(score, 6) DESC, doc) AS rank FROM z QUALIFY rank <= 10""")
 def _(s, d):
-    _, _, _, terms, placed, bounds = ordered(s, d)
-    lead = R.best_of_terms(terms, placed, bounds, "doc")
-    top = R.top_candidates(terms, placed, bounds, "doc", 10).join(terms.select("query", "term"), "query").join(placed.where("strong").select("term", "doc"), ["term", "doc"])
-    hits = lead.unionByName(top.select("query", "term", "doc", "score"))
+    q, f, post, sc = scored(s, d)
+    strong = post.where(F.col("field") != "body").select("term", "doc").distinct()
+    hits = C.profile_queries(q, C.alias_table(s)).join(strong, "term").join(sc.select("query", "doc", "score"), ["query", "doc"])
     return C.rank_required_first(hits, "doc", 10)
 
 
