@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from astrolake import views as V
+from astrolake.operators import calibration as K
 from astrolake.operators import images as I
 from astrolake.operators import joins as J
 from astrolake.plans.registry import query
@@ -39,6 +40,74 @@ def _(s, d):
     return J.calibration_plan(V.light(s, d), V.master(s, d), 1000.0, F.col("id") % 7 == 0)
 
 
+# settings with gaps on both sides: three tolerance keys, of which gain and temperature may be absent
+TOL = {"temp": 10.0, "gain": 3.0, "exposure": 0.5}
+GAPS = """ls AS (SELECT id, CASE WHEN id % 5 <> 0 THEN round(temp / {0}) * {1} END AS temp, CASE WHEN id % 7 <> 0 THEN gain END AS gain, CASE WHEN id % 13 <> 0 THEN id % 2 * 60 END AS exposure, CASE WHEN id % 4 <> 0 THEN filter END AS filter FROM light),
+ms AS (SELECT mid, mname, kind, filter, CASE WHEN mid % 5 <> 2 THEN round(temp / {0}) * {1} END AS temp, CASE WHEN mid % 7 <> 3 THEN gain END AS gain, CASE WHEN mid % 11 <> 5 THEN mid % 2 * 60 END AS exposure FROM master)"""
+
+
+def settings(s, d, unit, scale):
+    l, m = V.light(s, d), V.master(s, d)
+    gap = lambda c, by, of, rest: F.when(F.col(c) % by != of, rest)
+    temp = F.round(F.col("temp") / unit) * scale
+    l = l.select("id", gap("id", 5, 0, temp).alias("temp"), gap("id", 7, 0, F.col("gain")).alias("gain"), gap("id", 13, 0, F.col("id") % 2 * 60).alias("exposure"), gap("id", 4, 0, F.col("filter")).alias("filter"))
+    m = m.select("mid", "mname", "kind", "filter", gap("mid", 5, 2, temp).alias("temp"), gap("mid", 7, 3, F.col("gain")).alias("gain"), gap("mid", 11, 5, F.col("mid") % 2 * 60).alias("exposure"))
+    return l, m
+
+
+def _close(*keys):
+    """All keys within tolerance; gain and temperature may be absent on both sides."""
+    parts = [f"(abs(l.{k} - m.{k}) <= {TOL[k]}" + (f" OR (l.{k} IS NULL AND m.{k} IS NULL))" if k != "exposure" else ")") for k in keys]
+    return " AND ".join(parts), "round(" + " + ".join(f"coalesce(abs(l.{k} - m.{k}) / {TOL[k]}::DOUBLE, 0)" for k in keys) + ", 9)"
+
+
+ALL_ON, ALL_SCORE = _close("temp", "gain", "exposure")
+FREE_ON, FREE_SCORE = _close("temp", "gain")
+
+
+@query("c01_match_tolerances", "i:id,mid,candidates s:status d:score", f"""WITH {GAPS.format(100, 1)}, p AS (SELECT l.id, m.mid, mname, {ALL_SCORE} AS score FROM ls l JOIN ms m ON {ALL_ON}),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, mname, mid) AS rn, count(*) OVER (PARTITION BY id) AS candidates FROM p)
+SELECT l.id, CASE WHEN mid IS NULL THEN 'missing' ELSE 'matched' END AS status, mid, score, coalesce(candidates, 0) AS candidates FROM ls l LEFT JOIN r ON r.id = l.id AND rn = 1""")
+def _(s, d):
+    return K.match_by_tolerances(*settings(s, d, 100, 1), [], TOL, ("temp", "gain"))
+
+
+# the strict form on coarse temperatures, so that ties occur
+@query("c01_match_tolerances_strict", "i:id,mid,candidates s:status d:score", f"""WITH {GAPS.format(1000, 10)}, p AS (SELECT l.id, m.mid, mname, {ALL_SCORE} AS score FROM ls l JOIN ms m ON {ALL_ON}),
+b AS (SELECT *, min(score) OVER (PARTITION BY id) AS best, count(*) OVER (PARTITION BY id) AS candidates FROM p), q AS (SELECT id, candidates, count(DISTINCT mname) AS ties, min(mid) AS mid, min(score) AS score FROM b WHERE score = best GROUP BY ALL)
+SELECT l.id, CASE WHEN q.id IS NULL THEN 'missing' WHEN ties > 1 THEN 'tie' ELSE 'matched' END AS status, CASE WHEN ties = 1 THEN mid END AS mid, CASE WHEN ties = 1 THEN score END AS score, coalesce(candidates, 0) AS candidates FROM ls l LEFT JOIN q USING (id)""")
+def _(s, d):
+    return K.match_by_tolerances(*settings(s, d, 1000, 10), [], TOL, ("temp", "gain"), strict=True)
+
+
+_FLAT = "m.kind = 'flat' AND (l.filter IS NULL OR m.filter IS NULL OR m.filter = l.filter)"
+
+
+def _pick(name, on, score, kind):
+    return f"""{name}_p AS (SELECT l.id, m.mid, m.mname, m.filter AS label, {score} AS score FROM ls l JOIN ms m ON {kind} AND {on}),
+{name} AS (SELECT id, arg_min(mid, (score, mname, mid)) AS mid, count(DISTINCT mname) FILTER (WHERE score = best) AS ties FROM (SELECT *, min(score) OVER (PARTITION BY id) AS best FROM {name}_p) GROUP BY id)"""
+
+
+PICKS = ", ".join([_pick("dk", ALL_ON, ALL_SCORE, "m.kind = 'dark'"), _pick("fl", FREE_ON, FREE_SCORE, _FLAT), _pick("bi", FREE_ON, FREE_SCORE, "m.kind = 'bias'"), _pick("fs", FREE_ON, FREE_SCORE, f"m.filter IS NOT NULL AND {_FLAT}")])
+
+
+@query("c02_plan_tolerances", "i:id,dark,flat,bias s:reason", f"""WITH {GAPS.format(100, 1)}, {PICKS},
+z AS (SELECT l.id, l.id % 6 = 0 AS emb, l.id % 9 <> 0 AS fm, dk.mid AS dark, fl.mid AS flat, bi.mid AS bias FROM ls l LEFT JOIN dk USING (id) LEFT JOIN fl USING (id) LEFT JOIN bi USING (id))
+SELECT id, CASE WHEN NOT emb THEN dark END AS dark, CASE WHEN fm THEN flat END AS flat, bias, CASE WHEN emb THEN 'embedded_dark' WHEN dark IS NULL THEN 'dark_waived' WHEN NOT fm THEN 'no_flats_made' WHEN flat IS NULL THEN 'no_flat' WHEN bias IS NULL THEN 'no_bias' ELSE 'complete' END AS reason FROM z""")
+def _(s, d):
+    l, m = settings(s, d, 100, 1)
+    return K.plan_by_tolerances(l, m, TOL, "exposure", ("temp", "gain"), F.col("id") % 6 == 0, F.col("id") % 9 != 0, allow_missing_dark=True)
+
+
+@query("c02_plan_tolerances_strict", "i:id,dark,flat,bias s:reason", f"""WITH {GAPS.format(1000, 10)}, {PICKS},
+z AS (SELECT l.id, dk.mid AS dark, fs.mid AS flat, bi.mid AS bias, coalesce(dk.ties > 1, false) OR coalesce(bi.ties > 1, false) OR coalesce(fs.ties > 1, false) AS tied, l.id IN (SELECT id FROM fl_p WHERE label IS NULL) AS bare FROM ls l LEFT JOIN dk USING (id) LEFT JOIN fs USING (id) LEFT JOIN bi USING (id))
+SELECT id, CASE WHEN NOT tied THEN dark END AS dark, CASE WHEN NOT tied THEN flat END AS flat, CASE WHEN NOT tied THEN bias END AS bias,
+CASE WHEN tied THEN 'ambiguous' WHEN dark IS NULL THEN 'no_dark' WHEN flat IS NULL AND bare THEN 'unlabelled_flat' WHEN flat IS NULL THEN 'no_flat' WHEN bias IS NULL THEN 'no_bias' ELSE 'complete' END AS reason FROM z""")
+def _(s, d):
+    l, m = settings(s, d, 1000, 10)
+    return K.plan_by_tolerances(l, m, TOL, "exposure", ("temp", "gain"), strict=True)
+
+
 EDGES = "ed AS (SELECT a.id AS ia, b.id AS ib, a.layer, a.sat, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) AS dist FROM stars_a a JOIN stars_b b ON a.layer = b.layer AND abs(a.x - b.x) <= 1.01 AND abs(a.y - b.y) <= 1.01 AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) <= 1)"
 UNIQ = f"{EDGES}, un AS (SELECT layer, ia AS id_a, ib AS id_b, dist FROM ed QUALIFY count(*) OVER (PARTITION BY ia) = 1 AND count(*) OVER (PARTITION BY ib) = 1)"
 
