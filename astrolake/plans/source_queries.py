@@ -130,10 +130,14 @@ def _(s, d):
 @query("a15_publish", "s:version i:rows", "SELECT concat('v', filter) AS version, count(*) AS rows FROM frames GROUP BY filter")
 def _(s, d):
     root = work_folder(s, "publish")
-    f = V.frames(s, d)
-    for lab in ("F", "O", "P"):
-        SK.publish(f.where(F.col("filter") == lab).drop("filter"), root, f"v{lab}", ["session"])
-    return SK.manifest(s, root)
+    return SK.publish_each(V.frames(s, d), root, "filter", "v", ["session"])
+
+
+# labels that no list names, and rows without one
+@query("a15_publish_labels", "s:version i:rows", "SELECT concat('day-', CASE WHEN frame % 10 = 0 THEN 'unlabelled' ELSE concat(session, ' ', CAST(extract(year FROM ts) AS VARCHAR)) END) AS version, count(*) AS rows FROM frames GROUP BY ALL")
+def _(s, d):
+    f = V.frames(s, d).withColumn("day", F.when(F.col("frame") % 10 != 0, F.concat_ws(" ", "session", F.year("ts").cast("string"))))
+    return SK.publish_each(f, work_folder(s, "publish"), "day", "day-")
 
 
 @query("a16_check_containers", "i:frame,expected s:container", """WITH z AS (SELECT frame, 100 + frame % 50 AS n1, 80 + frame % 40 AS n2, CASE WHEN frame % 71 = 0 THEN NULL WHEN frame % 2 = 0 THEN 16 ELSE -32 END AS bp FROM frames), y AS (SELECT *, n1 * n2 * abs(bp) / 8 AS data, 5760 + ceil(n1 * n2 * abs(bp) / 8 / 2880) * 2880 AS e FROM z),

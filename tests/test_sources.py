@@ -1,5 +1,8 @@
 """File sources, the publishing sink and incremental intake on real folders."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +34,34 @@ def test_sequence_file(spark, tmp_path):
     assert [(x["index"], x["included"], x["fwhm"], x["h"][2]) for x in r] == [(1, True, 2.1, 3.5), (3, True, 2.5, 7.0)]
 
 
+def test_of_two_writers_of_a_version_one_wins(spark, tmp_path):
+    root = str(tmp_path / "race")
+    ready = threading.Barrier(4)
+
+    def write(k):
+        df = spark.range(10 + k).toDF("id")
+        path = SK._staged(df, root, None)
+        ready.wait()
+        return k, SK._commit(spark, root, "v 1/x", path, 10 + k)
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(write, range(4)))
+    winners = [k for k, won in done if won]
+    assert len(winners) == 1 and SK.manifest(spark, root).count() == 1
+    assert SK.published(spark, root, "v 1/x").count() == 10 + winners[0]
+
+
+def test_publish_takes_any_label(spark, tmp_path):
+    root = str(tmp_path / "labels")
+    df = spark.createDataFrame([(1, "Ha"), (2, "Ha"), (3, "a/b=c d"), (4, None), (5, "01")], "id int, filter string")
+    m = SK.publish_each(df, root, "filter")
+    assert {(r.version, r.rows) for r in m.collect()} == {("vHa", 2), ("va/b=c d", 1), ("vunlabelled", 1), ("v01", 1)}
+    assert [r.id for r in SK.published(spark, root, "va/b=c d").collect()] == [3]
+    with pytest.raises(ValueError, match="vHa"):
+        SK.publish_each(spark.createDataFrame([(9, "Ha"), (9, "new")], "id int, filter string"), root, "filter")
+    assert SK.published(spark, root, "vHa").count() == 2 and SK.published(spark, root, "vnew").count() == 1
+
+
 def test_publish_is_all_or_nothing(spark, tmp_path):
     df = spark.range(10).withColumn("s", F.col("id") % 2)
     root = str(tmp_path / "out")
