@@ -29,14 +29,15 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
 
     The payload is the html in UTF-8 (null: empty).  Of equal payloads of at least ``least_bytes`` the one with the smallest id is a
     response; the others are revisits that refer to it and hold no block.  Digests alone are grouped; payloads move
-    only for pages that may be revisits.  Rows with a null id are responses without an id.
+    only for pages that may be revisits.  Rows with a null id are responses without an id.  Rows that share an id are told apart by
+    their payloads, each with its own record; of rows equal in both, all are responses, or all revisits.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     named = kept(rows.select("page_id", F.octet_length("payload").alias("bytes"), F.sha1(F.col("payload").cast("binary")).alias("sha")).where("page_id is not null"), "digests")
     first = named.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    again = kept(named.join(first, "sha").where("page_id <> refers_to").select("page_id", "refers_to").distinct(), "revisits")
+    again = kept(named.join(first, "sha").where("page_id <> refers_to").select("page_id", "sha", "refers_to").distinct(), "revisits")
     # a flag column splits the pages without moving payloads: strangers of the id filter are responses at once
-    maybe = maybe_in(rows, F.col("page_id"), id_filter(again, "page_id")).join(again, "page_id", "left")
+    maybe = maybe_in(rows, F.col("page_id"), id_filter(again, "page_id")).withColumn("sha", F.sha1(F.col("payload").cast("binary"))).join(again, ["page_id", "sha"], "left")
     sure = _never_in(rows, again).withColumn("refers_to", F.lit(None).cast("long"))
     both = sure.select("page_id", "url", "payload", "refers_to").unionByName(maybe.select("page_id", "url", "payload", "refers_to"))
     body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("")
@@ -79,6 +80,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     parsed = kept(read.select(
         "file", "block", "mid", F.octet_length("value").cast("long").alias("size"), F.col("skip").cast("long").alias("skip"), "length", field("WARC-Type").alias("record_type"),
         whole_number(page("WARC-Record-ID")).alias("page_id"), whole_number(page("WARC-Refers-To")).alias("refers_to"), field("WARC-Target-URI").alias("url"),
+        F.regexp_extract(field("WARC-Payload-Digest"), "sha1:([A-Z2-7]{32})", 1).alias("declared"),
         digest(F.expr("substring(cast(value as binary), skip + 1, cast(length as int))")).alias("own_digest")), "chunks")
     # where each chunk begins: sums of sizes within a split, and of the splits before it
     per = parsed.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("all"), F.min("mid").alias("first"))
@@ -91,7 +93,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("next", F.when((F.col("skip") <= F.col("size")) & (F.col("length") >= 0), F.col("at") + len(MAGIC) + F.col("skip") + F.col("length") + len(_END))), "placed")
     reached = _reached(placed.where("next is not null").select("file", "at", "next"))
     good = placed.join(reached, ["file", "at"])
-    whole = good.where("next = at + size + %d" % len(MAGIC)).select("page_id", "record_type", "refers_to", "url", "length", F.col("own_digest").alias("digest"))
+    whole = good.where("next = at + size + %d" % len(MAGIC)).select("page_id", "record_type", "refers_to", "url", "length", "declared", F.col("own_digest").alias("digest"))
     return _resolved(whole.unionByName(_spanning(spark, path, placed, good)))
 
 
@@ -112,10 +114,10 @@ def _reached(jump: DataFrame) -> DataFrame:
 
 def _spanning(spark: SparkSession, path: str, placed: DataFrame, good: DataFrame) -> DataFrame:
     """Reached records that span several chunks because their payload holds magic lines: read those chunks again and join them."""
-    about = ["page_id", "record_type", "refers_to", "url", "length", "skip"]
+    about = ["page_id", "record_type", "refers_to", "url", "length", "declared", "skip"]
     long_ones = kept(good.where("next <> at + size + %d" % len(MAGIC)).select("file", F.col("at").alias("start"), "next", *about), "spanning")
     if long_ones.isEmpty():
-        return long_ones.select(*about[:5], F.lit("").alias("digest"))
+        return long_ones.select(*about[:6], F.lit("").alias("digest"))
     key = F.xxhash64("file", "block", "seq").alias("key")
     pieces = kept(placed.select("file", "at", key).join(long_ones.select("file", "start", "next"), "file").where("at >= start and at < next").select("file", "start", "at", "key"), "pieces")
     again = chunks(spark, path)
@@ -125,22 +127,29 @@ def _spanning(spark: SparkSession, path: str, placed: DataFrame, good: DataFrame
     parts = met.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("at", F.hex(F.col("value").cast("binary")).alias("hexed")))).alias("parts"))
     joined = parts.join(long_ones, ["file", "start"])
     value = F.substring(F.array_join("parts.hexed", MAGIC.encode().hex().upper()), F.col("skip") * 2 + 1, F.col("length") * 2)
-    return joined.select("page_id", "record_type", "refers_to", "url", "length", digest(F.unhex(value)).alias("digest"))
+    return joined.select("page_id", "record_type", "refers_to", "url", "length", "declared", digest(F.unhex(value)).alias("digest"))
 
 
 def _resolved(records: DataFrame) -> DataFrame:
-    """Revisits take payload size and digest from the response they refer to."""
+    """Revisits name page and digest of the response they refer to, and take its payload size.
+
+    A page with two payloads has two responses, so both are needed; a revisit whose response is nowhere keeps its declared digest, without a size.
+    """
     records = kept(records, "records")
-    plain = records.where("record_type <> 'revisit'")
-    told = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "url")
-    wanted = told.select(F.col("refers_to").alias("page_id")).distinct()
-    theirs = plain.join(wanted, "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("length", "digest")).alias("p"))
-    back = told.join(theirs, "refers_to", "left").select("page_id", "record_type", "refers_to", "url", F.col("p.length").alias("length"), F.col("p.digest").alias("digest"))
-    return plain.unionByName(back).select("page_id", "record_type", "refers_to", "url", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    plain = records.where("record_type <> 'revisit'").drop("declared")
+    told = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "url", F.col("declared").alias("digest"))
+    wanted = told.select(F.col("refers_to").alias("page_id"), "digest").distinct()
+    theirs = plain.join(wanted, ["page_id", "digest"], "left_semi").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("length").alias("length"))
+    back = told.join(theirs, ["refers_to", "digest"], "left").select("page_id", "record_type", "refers_to", "url", "length", "digest")
+    return plain.select(*back.columns).unionByName(back).select("page_id", "record_type", "refers_to", "url", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` as WARC files in the shared folder and return what reading them back gives, one row per page."""
+    """Write ``pages`` as WARC files in the shared folder and return what reading them back gives, one row per row.
+
+    Null and empty html are empty payloads; rows without an id are responses without one; rows that share an id are told apart by payload (see
+    ``write_warc``).  An empty table gives no rows; columns other than page_id, url and html are not read.
+    """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_warc(pages, path, least_bytes)

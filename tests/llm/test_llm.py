@@ -330,6 +330,20 @@ def test_warc_round_trip_with_magic_inside(spark):
     assert warc.archive_round_trip(df.where("false")).count() == 0
 
 
+def test_warc_tells_rows_of_one_id_apart(spark):
+    pages = [(7, "one"), (7, "seven alone"), (7, "two"), (3, "one"), (3, "two"), (9, "one"), (9, "one"), (9, "two"), (3, "one"), (None, "one"), (None, None), (5, "x" * 300_000), (6, "x" * 300_000)]
+    first = {}
+    for i, h in pages:
+        if i is not None:
+            first[h] = min(i, first.get(h, i))
+    want = []
+    for i, h in pages:
+        p, f = (h or "").encode(), first.get(h, i) if i is not None else None
+        want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if f == i else "revisit", None if f == i else f))
+    got = warc.archive_round_trip(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+
+
 def test_language(spark, docs, none):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = langid.identify(pages, docs).toPandas()
