@@ -254,6 +254,47 @@ def with_target_type(df: DataFrame, cat: DataFrame, guess: str = "emission_nebul
         "star_dominant", kind.isin(*STAR_DOMINANT) | (F.col("catalog_id") == "M45")).drop("catalog_type")
 
 
+# fixed values: target types that a user may declare
+KNOWN_TYPES = (
+    "emission_nebula", "reflection_nebula", "dark_nebula", "galaxy", "planetary_nebula", "globular_cluster", "open_cluster", "star_cluster", "double_star",
+    "supernova_remnant", "wide_field",
+)
+# fixed values: common names and second catalogue numbers of catalogued objects
+SYNONYMS = (
+    ("ORION NEBULA", "M42"), ("GREAT ORION NEBULA", "M42"), ("ANDROMEDA GALAXY", "M31"), ("TRIANGULUM GALAXY", "M33"), ("WHIRLPOOL GALAXY", "M51"),
+    ("EAGLE NEBULA", "M16"), ("CRAB NEBULA", "M1"), ("LAGOON NEBULA", "M8"), ("DUMBBELL NEBULA", "M27"), ("RING NEBULA", "M57"), ("PLEIADES", "M45"),
+    ("PLEIADES CLUSTER", "M45"), ("ROSETTE NEBULA", "NGC2237"), ("ROSETTE", "NGC2237"), ("ROSETTE CLUSTER", "NGC2244"), ("C50", "NGC2237"), ("C49", "NGC2244"),
+    ("C11", "NGC7635"), ("C20", "NGC7000"), ("C27", "NGC6888"), ("C33", "NGC6992"), ("C34", "NGC6960"), ("C4", "NGC7023"), ("C14", "NGC869"),
+    ("WITCH HEAD NEBULA", "IC2118"), ("NORTH AMERICA NEBULA", "NGC7000"), ("IRIS NEBULA", "NGC7023"), ("CRESCENT NEBULA", "NGC6888"), ("HORSEHEAD NEBULA", "IC434"),
+)
+
+
+def with_synonym(df: DataFrame, name: str) -> DataFrame:
+    """``catalog_id`` of a target name after the synonym table: common names with blanks or underscores in any case, and second catalogue numbers.
+
+    A null or blank name has the empty id.
+    """
+    own = catalog_id(F.coalesce(name, F.lit("")))
+    bare = lambda c: F.regexp_replace(c, r"[\s_]+", "")
+    names = df.sparkSession.createDataFrame(list(SYNONYMS), "_name string, _means string").withColumn("_name", bare(F.col("_name")))
+    j = df.withColumn("_own", own).withColumn("_bare", bare(F.col("_own"))).join(F.broadcast(names), F.col("_bare") == F.col("_name"), "left")  # constant table
+    return j.withColumn("catalog_id", F.coalesce("_means", "_own")).drop("_own", "_bare", "_name", "_means")
+
+
+def with_resolved_type(df: DataFrame, cat: DataFrame, name: str, declared: str, guess: str = "emission_nebula") -> DataFrame:
+    """catalog_id, target_type, type_source and star_dominant of a target that may declare its type.
+
+    A known declared type rules (``declared``), then the catalogue's (``catalogue``), then any other declaration as it is
+    (``unknown_type``), and last the guess (``guess``).
+    """
+    said = F.nullif(F.regexp_replace(F.lower(F.trim(F.col(declared))), " ", "_"), F.lit(""))
+    j = with_synonym(df, name).withColumn("_said", said).join(F.broadcast(cat), "catalog_id", "left")  # constant table
+    known = F.coalesce(F.col("_said").isin(*KNOWN_TYPES), F.lit(False))
+    source = F.when(known, "declared").when(F.col("catalog_type").isNotNull(), "catalogue").when(F.col("_said").isNotNull(), "unknown_type").otherwise("guess")
+    kind = F.when(known, F.col("_said")).otherwise(F.coalesce("catalog_type", "_said", F.lit(guess)))
+    return j.withColumn("target_type", kind).withColumn("type_source", source).withColumn("star_dominant", F.col("target_type").isin(*STAR_DOMINANT) | (F.col("catalog_id") == "M45")).drop("catalog_type", "_said")
+
+
 # fixed values: stretch policy (target type, method, background level)
 STRETCH_POLICY = (
     ("galaxy", "masked_ghs_standard", 0.035), ("planetary_nebula", "masked_ghs_standard", 0.035),

@@ -132,6 +132,27 @@ def _(s, d):
     return R.with_target_type(targets(s, d), R.target_catalogue(s))
 
 
+DECLARED = (" Open Cluster ", "galaxy", "Comet", "", "Wide Field", "supernova_remnant ")
+SAID_SQL = f"""sy AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{t}')" for n, t in R.SYNONYMS)}) t(name, means)), wd AS (SELECT name, means, row_number() OVER (ORDER BY name) - 1 AS i FROM sy WHERE NOT regexp_matches(name, '^C[0-9]')),
+nm AS (SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN concat('M', p_partkey % 110) WHEN 1 THEN concat('NGC', p_partkey % 7400) WHEN 2 THEN w.means WHEN 3 THEN w.means WHEN 4 THEN coalesce(c.means, concat('C', p_partkey % 60)) WHEN 5 THEN upper(replace(p_name, ' ', '')) ELSE '' END AS catalog_id,
+ CASE WHEN p_partkey % 4 = 0 THEN [{', '.join(f"'{x}'" for x in DECLARED)}][p_partkey % {len(DECLARED)} + 1] END AS said FROM part LEFT JOIN wd w ON w.i = p_partkey % (SELECT count(*) FROM wd) LEFT JOIN sy c ON c.name = concat('C', p_partkey % 60)),
+sd AS (SELECT id, nm.catalog_id, kind, nullif(replace(lower(trim(said)), ' ', '_'), '') AS said FROM nm LEFT JOIN (SELECT * FROM (VALUES {', '.join(f"('{n}', '{t}')" for n, t in R.CATALOGUE)}) t(catalog_id, kind)) k ON k.catalog_id = nm.catalog_id)"""
+
+
+@query("b06_resolved_type", "i:id s:catalog_id,target_type,type_source b:star_dominant", f"""WITH {SAID_SQL}, ty AS (SELECT *, said IN ({', '.join(f"'{t}'" for t in R.KNOWN_TYPES)}) IS TRUE AS known FROM sd),
+tz AS (SELECT id, catalog_id, CASE WHEN known THEN said ELSE coalesce(kind, said, 'emission_nebula') END AS target_type, CASE WHEN known THEN 'declared' WHEN kind IS NOT NULL THEN 'catalogue' WHEN said IS NOT NULL THEN 'unknown_type' ELSE 'guess' END AS type_source FROM ty)
+SELECT *, target_type IN ({', '.join(f"'{t}'" for t in R.STAR_DOMINANT)}) OR catalog_id = 'M45' AS star_dominant FROM tz""")
+def _(s, d):
+    """Names as numbers, as common names in two spellings, as second catalogue numbers, as words, and blank; a quarter declare a type."""
+    p, k = V.table(s, d, "part"), F.col("p_partkey")
+    words = sorted(n for n, _ in R.SYNONYMS if not n[1:].isdigit())
+    word = F.element_at(F.array(*[F.lit(w.title()) for w in words]), (k % len(words) + 1).cast("int"))
+    text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    name = F.when(k % 7 == 0, text("m ", k % 110)).when(k % 7 == 1, text("ngc-", k % 7400)).when(k % 7 == 2, word).when(k % 7 == 3, F.translate(word, " ", "_")).when(k % 7 == 4, text("Caldwell ", k % 60)).when(k % 7 == 5, F.col("p_name"))
+    said = F.when(k % 4 == 0, F.element_at(F.array(*[F.lit(x) for x in DECLARED]), (k % len(DECLARED) + 1).cast("int")))
+    return R.with_resolved_type(p.select(k.alias("id"), name.alias("name"), said.alias("declared")), R.target_catalogue(s), "name", "declared")
+
+
 @query("b07_stretch_policy", "i:id s:method d:level", f"""WITH {TARGET_SQL}
 SELECT id, CASE WHEN catalog_id = 'M42' OR target_type IN ('galaxy', 'planetary_nebula') THEN 'masked_ghs_standard' WHEN target_type IN ('reflection_nebula', 'dark_nebula') THEN 'arcsinh'
  WHEN target_type = 'emission_nebula' THEN 'emission' ELSE 'pi_mtf' END AS method, CASE WHEN catalog_id = 'M42' OR target_type IN ('galaxy', 'planetary_nebula') THEN 0.035 WHEN target_type = 'emission_nebula' THEN 0.045 ELSE 0.05 END AS level FROM tt""")
