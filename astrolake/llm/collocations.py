@@ -16,6 +16,8 @@ from astrolake.llm.shared import Codes, kept
 SHARDS = 3
 #: Words a task gathers before it sends their phrases on.
 CHUNK = 1 << 19
+#: Texts copied out of an Arrow batch at a time.
+ROWS = 256
 #: Words whose codes a task remembers.
 CODES = 100_000
 #: Bytes of text cut into words at a time, at the end of a piece.
@@ -87,11 +89,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Chunk]]:
     """Chunks of one language each, as they fill up and at the end of the task."""
     held: dict[str, Chunk] = {}
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-            chunk = held.setdefault(lang, Chunk())
-            chunk.add(text)
-            if chunk.size >= CHUNK:
-                yield lang, held.pop(lang)
+        for at in range(0, b.num_rows, ROWS):  # few texts at a time are copied out of the batch
+            part = b.slice(at, ROWS)
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
+                chunk = held.setdefault(lang, Chunk())
+                chunk.add(text)
+                if chunk.size >= CHUNK:
+                    yield lang, held.pop(lang)
         while sum(c.size for c in held.values()) >= 2 * CHUNK:
             most = max(held, key=lambda k: held[k].size)
             yield most, held.pop(most)
@@ -114,7 +118,8 @@ def candidates(texts: DataFrame, longest: int, support: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "c"])
 
     seen = texts.mapInArrow(run, "key long, c long")
-    return seen.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select(F.shiftrightunsigned("key", 8).alias("hash")).distinct()
+    # each task has summed its own, so nearly all keys of a task are distinct: summing once more before the shuffle would only fill memory
+    return seen.repartition("key").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select(F.shiftrightunsigned("key", 8).alias("hash")).distinct()
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
