@@ -39,6 +39,15 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of ``kept`` tables that nothing reads any more, once what came of them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def id_filter(ids: DataFrame, key: str) -> DataFrame:
     """The set of ``ids[key]`` as a bitmap table (word, bits) of at most BITS / 64 rows; may hold strangers, never misses."""
     slots = ids.select(F.pmod(F.xxhash64(F.col(key)), F.lit(BITS)).alias("__slot"))

@@ -168,6 +168,59 @@ def test_edits_grow_with_the_line(spark):
     assert got == {frozenset(p) for p, d in far.items() if d <= edits[p]} and any(2 < d <= edits[p] for p, d in far.items())
 
 
+def test_long_lines_meet_by_words_and_by_characters(spark):
+    """Blanks come, go and move; some lines have too few words for word keys, others just enough."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for chars, blank in itertools.product((100, 148, 205), (3, 6, 8, 10, 14, 40)):
+        line = "".join(" " if rng.random() < 1 / blank else c for c in rng.choice(list("abcdeß"), chars))
+        for _ in range(7):
+            x = list(line)
+            for _ in range(int(rng.integers(0, chars // 50 + 2))):
+                p = int(rng.integers(0, len(x)))
+                x[p : p + 1] = [[], [" "], ["z"], [x[p], " "], [" ", x[p]]][int(rng.integers(0, 5))]
+            texts.append("".join(x))
+    texts = sorted({t for t in texts if len(t) >= line_dedup.LEAST_CHARS})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {(r.h1, r.h2): r.line for r in line_dedup.lines(df, "doc_id", "text").collect()}
+    got = {frozenset((names[(r.a1, r.a2)], names[(r.b1, r.b2)])) for r in line_dedup.edit_links(df).collect()}
+    edits = {p: max(1, min(map(len, p)) // 50) for p in itertools.combinations(texts, 2)}
+    want = {frozenset(p) for p, k in edits.items() if abs(len(p[0]) - len(p[1])) <= k and _distance(*p) <= k}
+    assert got == want and len(want) > 60
+
+
+def test_one_id_with_two_texts_keeps_lines_of_both(spark):
+    common, only, other = "a line that both of the texts hold", "a sentence of the second text alone", "what nobody else has said before now"
+    rows = [(7, f"{common}\n{only}"), (7, f"{other}\n{common}"), (7, f"{other}\n{common}"), (None, common)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 4 and [r.text for r in out if r.doc_id is None] == [common]
+    texts = sorted(r.text for r in out if r.doc_id == 7)
+    first, second = f"{common}\n{only}", f"{other}\n{common}"
+    assert texts in (sorted([first, other, other]), sorted([only, second, second]))
+
+
+def test_dedup_lines_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pool = [" ".join("".join(rng.choice(list("abcde"), int(rng.integers(2, 8)))) for _ in range(n)) for n in (1, 4, 5, 6, 22, 23, 40) for _ in range(3)]
+    pool += [x[:9] + "z" + x[10:] for x in pool if len(x) > 20] + ["", " ", "Les."]
+    rows = [(i, "\n".join(rng.choice(pool, int(rng.integers(1, 7))))) for i in range(40)]
+    want = {}
+    k = line_dedup.LEAST_CHARS
+    near = lambda a, b: a != b and min(len(a), len(b)) >= k and _distance(a, b) <= max(1, min(len(a), len(b)) // 50)
+    every = {x for _, t in rows for x in t.split("\n") if len(x) >= k}
+    first = {x: min((i, p) for i, t in rows for p, y in enumerate(t.split("\n")) if x == y) for _, t in rows for x in t.split("\n")}
+    for i, t in rows:
+        out, n_near = [], 0
+        for p, x in enumerate(t.split("\n")):
+            others = [y for y in every if near(x, y)]
+            n_near += bool(others)
+            if not x.strip() and len(x) < k or (first[x] == (i, p) and not any(first[y] < first[x] for y in others)):
+                out.append(x)
+        want[i] = ("\n".join(out), len(t.split("\n")) - len(out), n_near)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()
+    assert {r.doc_id: (r.text, r["__n_gone"], r["__n_near"]) for r in got} == want and any(n for _, _, n in want.values())
+
+
 def test_short_copies_go(spark):
     df = spark.createDataFrame([(1, "Les.\n\nA"), (2, "Les.\n\nB\nLes.")], "doc_id long, text string")
     assert [r.text for r in line_dedup.dedup_lines(df, short=True).orderBy("doc_id").collect()] == ["Les.\n\nA", "\nB"]
