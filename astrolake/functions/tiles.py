@@ -35,15 +35,16 @@ def median_of(arr: Column) -> Column:
     return let(F.sort_array(arr), _median_sorted)
 
 
-def quantile_of(arr: Column, p: float) -> Column:
-    """Linear-interpolation quantile of an array (null when empty)."""
+def quantile_at(s: Column, p: float) -> Column:
+    """Linear-interpolation quantile of a sorted array (null when empty)."""
+    h = (F.size(s) - 1) * F.lit(float(p))
+    a, b = F.get(s, F.floor(h).cast("int")), F.get(s, F.ceil(h).cast("int"))
+    return F.when(F.size(s) > 0, a + (b - a) * (h - F.floor(h)))
 
-    def pick(s: Column) -> Column:
-        h = (F.size(s) - 1) * F.lit(float(p))
-        a, b = F.get(s, F.floor(h).cast("int")), F.get(s, F.ceil(h).cast("int"))
-        return F.when(F.size(s) > 0, a + (b - a) * (h - F.floor(h)))
 
-    return let(F.sort_array(arr), pick)
+def quantile_of(arr: Column, p: float) -> Column:
+    """Linear-interpolation quantile of an array (null when empty)."""
+    return let(F.sort_array(arr), lambda s: quantile_at(s, p))
 
 
 def mad_of(arr: Column) -> Column:
@@ -57,3 +58,44 @@ def sigma_of(arr: Column) -> Column:
 
 def mean_of(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
+
+
+def indices(n: Column) -> Column:
+    """0 .. n - 1 for n of at least 1."""
+    return F.sequence(F.lit(0), (n - 1).cast("int"))
+
+
+def _div(a: Column, by: int) -> Column:
+    return F.floor(a / by).cast("int")
+
+
+def square_around(tile: Column, width: int, k: Column, h: int) -> Column:
+    """Values in the (2h+1)^2 square around pixel ``k``, as far as it lies inside the tile."""
+    x = k % width
+    cells = []
+    for dy in range(-h, h + 1):
+        for dx in range(-h, h + 1):
+            v = F.get(tile, (k + (dy * width + dx)).cast("int"))  # above and below the tile there is no element
+            cells.append(v if dx == 0 else F.when((x + dx >= 0) & (x + dx < width), v))
+    return F.array_compact(F.array(*cells))
+
+
+def n_blocks(tile: Column, width: int, b: int) -> Column:
+    return _div(F.size(tile) + width * b - 1, width * b) * -(-width // b)
+
+
+def block_at(tile: Column, width: int, b: int, k: Column) -> Column:
+    """Values of the k-th b x b block, row by row; blocks at the right and lower edge may be smaller."""
+    across = -(-width // b)
+    y0, x0 = _div(k, across) * b, (k % across) * b
+
+    def cell(i: Column) -> Column:
+        v = F.get(tile, ((y0 + _div(i, b)) * width + x0 + i % b).cast("int"))
+        return v if width % b == 0 else F.when(x0 + i % b < width, v)
+
+    return F.array_compact(F.transform(indices(F.lit(b * b)), cell))
+
+
+def rectangle(tile: Column, width: int, y0: int, x0: int, height: int, across: int) -> Column:
+    """Values of a rectangle that lies inside the tile."""
+    return F.transform(indices(F.lit(height * across)), lambda i: F.get(tile, ((y0 + _div(i, across)) * width + x0 + i % across).cast("int")))

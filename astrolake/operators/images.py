@@ -39,42 +39,6 @@ def share(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
-def normalize_robust(px: DataFrame, keys: list[str]) -> DataFrame:
-    """clip((v - p0.1) / (p99.9 - p0.1)); falls back to min/max, then to a span of one."""
-    st = px.groupBy(*keys).agg(
-        pct("v", 0.001).alias("a"), pct("v", 0.999).alias("b"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-    flat = F.col("b") <= F.col("a")
-    lo = F.when(flat, F.col("mn")).otherwise(F.col("a"))
-    hi = F.when(flat, F.col("mx")).otherwise(F.col("b"))
-    st = st.select(*keys, lo.alias("lo"), F.when(hi > lo, hi - lo).otherwise(1.0).alias("span"))
-    return px.join(st, keys).withColumn("u", clamp((F.col("v") - F.col("lo")) / F.col("span"))).drop("lo", "span")
-
-
-def clean_finite(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace NaN and infinities by the finite median of the frame; counts ride along."""
-    v = F.col("v")
-    inf = F.lit(float("inf"))
-    finite = ~F.isnan(v) & (v < inf) & (v > -inf)
-    st = px.groupBy(*keys).agg(
-        F.median(F.when(finite, v)).alias("_med"), F.count_if(F.isnan(v)).alias("n_nan"),
-        F.count_if(v == inf).alias("n_posinf"), F.count_if(v == -inf).alias("n_neginf"))
-    return px.join(st, keys).withColumn("v", F.when(finite, v).otherwise(F.coalesce("_med", F.lit(0.0)))).drop("_med")
-
-
-def image_stats(px: DataFrame, keys: list[str]) -> DataFrame:
-    names = [f"p{str(p).replace('.', '_')}" for p in PERCENTILES]
-    one = px.groupBy(*keys).agg(
-        F.min("v").alias("mn"), F.max("v").alias("mx"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"),
-        F.percentile("v", [p / 100 for p in PERCENTILES]).alias("_p"))
-    one = one.select(*keys, "mn", "mx", "mean", "sd", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    near = (F.col("mx") - F.col("mn")) * 1e-5
-    two = px.join(one.select(*keys, "mn", "mx", "p50"), keys).groupBy(*keys).agg(
-        (MAD_TO_SIGMA * F.median(F.abs(F.col("v") - F.col("p50")))).alias("mad_sigma"),
-        share(F.col("v") == F.col("mn")).alias("min_ratio"), share(F.col("v") == F.col("mx")).alias("max_ratio"),
-        share(F.col("v") <= F.col("mn") + near).alias("near_min"), share(F.col("v") >= F.col("mx") - near).alias("near_max"))
-    return one.join(two, keys)
-
-
 def approx_stats(px: DataFrame, keys: list[str], accuracy: int = 10000) -> DataFrame:
     """The sketch variant for groups without a size bound: one pass, bounded memory."""
     return px.groupBy(*keys).agg(
@@ -111,13 +75,6 @@ def blocks(px: DataFrame, keys: list[str], b: int, agg: Column, name: str) -> Da
     return px.groupBy(*keys, F.floor(F.col("y") / b).alias("by"), F.floor(F.col("x") / b).alias("bx")).agg(agg.alias(name))
 
 
-def block_spread(px: DataFrame, keys: list[str], b: int) -> DataFrame:
-    """P95-P5 of block medians over the absolute sky level."""
-    bm = blocks(px, keys, b, F.median("v"), "bm").groupBy(*keys).agg((pct("bm", 0.95) - pct("bm", 0.05)).alias("spread"))
-    sky = px.groupBy(*keys).agg(F.median("v").alias("sky"))
-    return bm.join(sky, keys).withColumn("rel_spread", F.col("spread") / F.nullif(F.abs("sky"), F.lit(0.0)))
-
-
 def neighbourhood(px: DataFrame, keys: list[str], value: str, h: int, name: str) -> DataFrame:
     """All values in the (2h+1)^2 square around a pixel, gathered along rows and then columns."""
     along_x = W.partitionBy(*keys, "y").orderBy("x").rangeBetween(-h, h)
@@ -126,18 +83,6 @@ def neighbourhood(px: DataFrame, keys: list[str], value: str, h: int, name: str)
     return row.withColumn(name, F.flatten(F.collect_list("_row").over(along_y))).drop("_row")
 
 
-def noise(px: DataFrame, keys: list[str], dark: float = 0.35, b: int = 4) -> DataFrame:
-    """Robust sigma of the 3x3 high-pass residual over the darkest share, and its spread over blocks."""
-    hp = neighbourhood(px, keys, "v", 1, "_nb").withColumn("res", F.col("v") - median_of(F.col("_nb"))).drop("_nb")
-    dim = hp.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
-    dk = hp.join(dim, keys).where(F.col("v") <= F.col("_cut"))
-    whole = robust_sigma(dk, keys, "res", "sigma")
-    blk = hp.withColumn("by", F.floor(F.col("y") / b)).withColumn("bx", F.floor(F.col("x") / b))
-    bs = robust_sigma(blk, [*keys, "by", "bx"], "res", "bs").groupBy(*keys).agg(
-        F.median("bs").alias("block_median"), pct("bs", 0.9).alias("block_p90"))
-    return whole.join(bs, keys)
-
-
 def robust_sigma(df: DataFrame, keys: list[str], value: str, name: str, med: str | None = None) -> DataFrame:
     """1.4826 * MAD of bounded groups."""
     m = df.groupBy(*keys).agg(F.median(value).alias("_m"))
@@ -159,6 +104,12 @@ def plane_sums(df: DataFrame, keys: list[str], z: str, x: Column, y: Column, w:
         F.sum(c("w") * c("y_") * c("y_")).alias("syy"), F.sum(c("w") * c("z_")).alias("sz"),
         F.sum(c("w") * c("x_") * c("z_")).alias("sxz"), F.sum(c("w") * c("y_") * c("z_")).alias("syz"),
         F.sum(c("w") * c("z_") * c("z_")).alias("szz"))
+    return solve_plane(g, keys)
+
+
+def solve_plane(g: DataFrame, keys: list[str]) -> DataFrame:
+    """The plane of each row of sums (n, sx, sy, sxx, sxy, syy, sz, sxz, syz, szz)."""
+    c = F.col
     # centred moments keep the 2x2 system well conditioned
     g = g.select(
         *keys, "n", (c("sx") / c("n")).alias("mx"), (c("sy") / c("n")).alias("my"), (c("sz") / c("n")).alias("mz"),
@@ -176,15 +127,6 @@ def plane_sums(df: DataFrame, keys: list[str], z: str, x: Column, y: Column, w:
         F.when(c("czz") > 1e-12, 1 - sse / c("czz")).alias("r2"))
 
 
-def fit_plane(px: DataFrame, keys: list[str], side: int, dark: float = 0.45) -> DataFrame:
-    """Background plane on the darkest share, coordinates scaled to -1..1."""
-    dim = px.groupBy(*keys).agg(pct("v", dark).alias("_cut"))
-    dk = px.join(dim, keys).where(F.col("v") <= F.col("_cut"))
-    half = (side - 1) / 2
-    p = plane_sums(dk, keys, "v", (F.col("x") - half) / half, (F.col("y") - half) / half)
-    return p.withColumn("magnitude", F.hypot("b", "c")).withColumn("angle", F.degrees(F.atan2("c", "b")))
-
-
 def fit_ratio_gradient(rgb: DataFrame, keys: list[str], side: int, b: int = 2, passes: int = 2) -> DataFrame:
     """Robust plane on ln(R/G) of block medians: plain fit, then Cauchy-reweighted passes."""
     g = rgb.groupBy(*keys, F.floor(F.col("y") / b).alias("by"), F.floor(F.col("x") / b).alias("bx")).agg(
@@ -211,24 +153,6 @@ def corner_region(side: int, corner: int, centre: int) -> Column:
         .when((y >= c0) & (y < c1) & (x >= c0) & (x < c1), "centre"))
 
 
-def corner_uniformity(px: DataFrame, keys: list[str], side: int, corner: int = 2, centre: int = 4) -> DataFrame:
-    """Corner and centre medians; corners lifted by sky structure are exempt from the effective ratio."""
-    sky = robust_sigma(px, keys, "v", "sg", "med")
-    reg = px.withColumn("reg", corner_region(side, corner, centre)).where(F.col("reg").isNotNull())
-    m = reg.groupBy(*keys, "reg").agg(F.median("v").alias("rm")).join(sky, keys)
-    limit = F.greatest(F.col("med") + 3 * F.col("sg"), 1.35 * F.col("med"))
-    is_corner = F.col("reg") != "centre"
-    clean = is_corner & (F.col("rm") <= limit)
-    cm = lambda f, cond: f(F.when(cond, F.col("rm")))
-    return m.groupBy(*keys).agg(
-        F.max(F.when(~is_corner, F.col("rm"))).alias("centre"),
-        cm(F.min, is_corner).alias("corner_min"), cm(F.max, is_corner).alias("corner_max"),
-        (cm(F.max, is_corner) - cm(F.min, is_corner)).alias("corner_range"),
-        (cm(F.avg, is_corner) / F.nullif(F.max(F.when(~is_corner, F.col("rm"))), F.lit(0.0))).alias("corner_to_centre"),
-        F.count_if(is_corner & (F.col("rm") > limit)).alias("lifted"),
-        (cm(F.max, clean) - cm(F.min, clean)).alias("clean_range"))
-
-
 def color_stats(rgb: DataFrame, keys: list[str], dark: float = 0.30) -> DataFrame:
     l = with_luminance(rgb)
     dim = l.groupBy(*keys).agg(pct("l", dark).alias("_cut"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from astrolake import views as V
+from astrolake.operators import frame_stats as FS
 from astrolake.operators import images as I
 from astrolake.plans.registry import query
 
@@ -36,7 +37,7 @@ WITH s AS (SELECT frame, {q('v', 0.001)} AS a, {q('v', 0.999)} AS b, min(v) AS m
 t AS (SELECT frame, CASE WHEN b > a THEN a ELSE mn END AS lo, CASE WHEN b > a THEN b ELSE mx END AS hi FROM s)
 SELECT frame, y, x, least(greatest((v - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END), 0), 1) AS u FROM px JOIN t USING (frame)""")
 def _(s, d):
-    return I.normalize_robust(px(s, d), ["frame"])
+    return V.pixels(FS.normalize_robust(V.tiles(s, d)), "frame").withColumnRenamed("v", "u")
 
 
 # every 17th pixel of a frame reads as NaN and every 19th as +Inf: defects derived from position
@@ -46,10 +47,9 @@ m AS (SELECT frame, median(v) FILTER (WHERE NOT nn AND NOT pi) AS md, count(*) F
              count(*) FILTER (WHERE pi AND NOT nn) AS n_posinf, 0 AS n_neginf FROM z GROUP BY frame)
 SELECT frame, y, x, n_nan, n_posinf, n_neginf, CASE WHEN nn OR pi THEN md ELSE v END AS v FROM z JOIN m USING (frame)""")
 def _(s, d):
-    k = F.col("y") * 8 + F.col("x") + F.col("frame")
-    p = px(s, d).withColumn(
-        "v", F.when(k % 17 == 0, float("nan")).when(k % 19 == 0, float("inf")).otherwise(F.col("v")))
-    return I.clean_finite(p, ["frame"])
+    bad = lambda v, pos: F.when((pos + F.col("frame")) % 17 == 0, float("nan")).when((pos + F.col("frame")) % 19 == 0, float("inf")).otherwise(v)
+    t = V.tiles(s, d).withColumn("tile", F.transform(F.col("tile").cast("array<double>"), bad))
+    return V.pixels(FS.clean_finite(t), "frame", "n_nan", "n_posinf", "n_neginf")
 
 
 @query("d01_image_stats", "i:frame d:mn,mx,mean,sd,p0_1,p1,p5,p10,p25,p50,p75,p90,p95,p99,p99_9,mad_sigma,min_ratio,max_ratio,near_min,near_max", f"""
@@ -59,7 +59,7 @@ t AS (SELECT frame, 1.4826 * median(abs(v - p50)) AS mad_sigma, avg((v = mn)::IN
  avg((v <= mn + (mx - mn) * 1e-5)::INT) AS near_min, avg((v >= mx - (mx - mn) * 1e-5)::INT) AS near_max FROM px JOIN o USING (frame) GROUP BY frame)
 SELECT * FROM o JOIN t USING (frame)""")
 def _(s, d):
-    return I.image_stats(px(s, d), ["frame"])
+    return FS.image_stats(V.tiles(s, d), ["frame"])
 
 
 @query("d02_channel_stats", "i:session,img,n_finite,n_bad s:channel d:shadow,highlight,near_black,p01,p50,p99", f"""
@@ -85,7 +85,7 @@ WITH b AS (SELECT frame, y // 2 AS by_, x // 2 AS bx, median(v) AS bm FROM px GR
 SELECT frame, spread, sky, spread / nullif(abs(sky), 0) AS rel_spread
 FROM (SELECT frame, {q('bm', .95)} - {q('bm', .05)} AS spread FROM b GROUP BY frame) JOIN (SELECT frame, median(v) AS sky FROM px GROUP BY frame) USING (frame)""")
 def _(s, d):
-    return I.block_spread(px(s, d), ["frame"], 2)
+    return FS.block_spread(V.tiles(s, d), ["frame"], SIDE, 2)
 
 
 @query("d05_noise", "i:frame d:sigma,block_median,block_p90", f"""
@@ -99,7 +99,7 @@ bm AS (SELECT frame, y // 4 AS by_, x // 4 AS bx, median(res) AS m FROM h GROUP
 bs AS (SELECT h.frame, by_, bx, 1.4826 * median(abs(res - m)) AS bs FROM h JOIN bm ON h.frame = bm.frame AND y // 4 = by_ AND x // 4 = bx GROUP BY ALL)
 SELECT frame, sigma, median(bs) AS block_median, {q('bs', .9)} AS block_p90 FROM w JOIN bs USING (frame) GROUP BY frame, sigma""")
 def _(s, d):
-    return I.noise(px(s, d), ["frame"])
+    return FS.noise(V.tiles(s, d), ["frame"], SIDE)
 
 
 @query("d06_fit_plane", "i:frame d:a,b,c,rms,r2,magnitude,angle", f"""
@@ -113,7 +113,7 @@ e AS (SELECT f.frame, sum(pow(v - (mv + b*(u-mu) + c*(w-mw)), 2)) AS sse FROM f
 SELECT frame, mv - b*mu - c*mw AS a, b, c, sqrt(sse / n) AS rms, 1 - sse / vv AS r2, sqrt(b*b + c*c) AS magnitude, degrees(atan2(c, b)) AS angle
 FROM f JOIN e USING (frame)""")
 def _(s, d):
-    return I.fit_plane(px(s, d), ["frame"], SIDE)
+    return FS.fit_plane(V.tiles(s, d), ["frame"], SIDE)
 
 
 def _plane_sql(src: str, w: str, name: str) -> str:
@@ -146,7 +146,7 @@ SELECT frame, max(rm) FILTER (WHERE reg = 'centre') AS centre, min(rm) FILTER (W
  count(*) FILTER (WHERE reg <> 'centre' AND rm > lim) AS lifted,
  max(rm) FILTER (WHERE reg <> 'centre' AND rm <= lim) - min(rm) FILTER (WHERE reg <> 'centre' AND rm <= lim) AS clean_range FROM z GROUP BY frame""")
 def _(s, d):
-    return I.corner_uniformity(px(s, d), ["frame"], SIDE)
+    return FS.corner_uniformity(V.tiles(s, d), ["frame"], SIDE)
 
 
 @query("d10_color_stats", "i:session,img s:collapsed d:bg_r,bg_g,bg_b,p99_r,p99_g,p99_b,ratio_r,ratio_g,ratio_b,corr_rg,corr_rb,corr_gb", f"""

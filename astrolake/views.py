@@ -29,10 +29,15 @@ def _yx() -> list:
     ]
 
 
+def pixels(tiles: DataFrame, *keep: str) -> DataFrame:
+    """Pixel rows (keep, y, x, v) of tile rows."""
+    e = tiles.select(*keep, F.posexplode("tile").alias("pos", "e"))
+    return e.select(*keep, *_yx(), F.col("e").cast("double").alias("v"))
+
+
 def px(spark: SparkSession, d: str) -> DataFrame:
     """Pixel rows (session, frame, y, x, v)."""
-    e = tiles(spark, d).select("session", "frame", F.posexplode("tile").alias("pos", "e"))
-    return e.select("session", "frame", *_yx(), F.col("e").cast("double").alias("v"))
+    return pixels(tiles(spark, d), "session", "frame")
 
 
 def ranked_tiles(spark: SparkSession, d: str) -> DataFrame:

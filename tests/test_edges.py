@@ -12,6 +12,7 @@ from astrolake.functions import tiles as A
 from astrolake.functions import tone as N
 from astrolake.operators import components as C
 from astrolake.operators import corpus as CO
+from astrolake.operators import frame_stats as FS
 from astrolake.operators import frames as R
 from astrolake.operators import gates as G
 from astrolake.operators import images as I
@@ -70,12 +71,34 @@ def test_axial_mean_of_wrapping_axes(spark):
 
 def test_constant_and_non_finite_pixels(spark):
     nan, inf = float("nan"), float("inf")
-    d = spark.createDataFrame([(1, 2.0)] * 4 + [(2, 1.0), (2, nan), (2, inf), (2, -inf), (2, 3.0)], "frame int, v double")
-    clean = I.clean_finite(d, ["frame"]).where("frame = 2").collect()
-    assert sorted(r["v"] for r in clean) == [1.0, 2.0, 2.0, 2.0, 3.0] and clean[0]["n_nan"] == 1 and clean[0]["n_neginf"] == 1
-    st = I.image_stats(d.where("frame = 1"), ["frame"]).first()
-    assert st["mad_sigma"] == 0 and st["sd"] == 0 and st["min_ratio"] == 1
-    assert I.normalize_robust(d.where("frame = 1"), ["frame"]).agg(F.max("u")).first()[0] == 0.0
+    d = spark.createDataFrame([(1, [2.0] * 4), (2, [1.0, nan, inf, -inf, 3.0]), (3, []), (4, None), (5, [nan])], "frame int, tile array<double>")
+    clean = {r["frame"]: r for r in FS.clean_finite(d).collect()}
+    assert clean[2]["tile"] == [1.0, 2.0, 2.0, 2.0, 3.0] and clean[2]["n_nan"] == 1 and clean[2]["n_neginf"] == 1
+    assert clean[3]["tile"] == [] and clean[4]["tile"] is None and clean[4]["n_nan"] == 0 and clean[5]["tile"] == [0.0]
+    st = {r["frame"]: r for r in FS.image_stats(d.where("frame <> 5"), ["frame"]).collect()}
+    assert st[1]["mad_sigma"] == 0 and st[1]["sd"] == 0 and st[1]["min_ratio"] == 1 and st[3]["mean"] is None and st[4]["mx"] is None
+    assert FS.normalize_robust(d.where("frame = 1")).first()["tile"] == [0.0] * 4
+
+
+def test_frame_statistics_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    h, w, b = 7, 10, 4  # neither square nor made of whole blocks
+    images = {i: rng.normal(size=(h, w)) for i in range(3)}
+    d = spark.createDataFrame([(i, x.ravel().tolist(), "x") for i, x in images.items()], "frame int, tile array<double>, spread string")
+    robust = lambda x: 1.4826 * np.median(np.abs(x - np.median(x)))
+    cells = lambda x: [x[y : y + b, k : k + b] for y in range(0, h, b) for k in range(0, w, b)]
+    spread, noise = FS.block_spread(d, ["frame"], w, b), FS.noise(d, ["frame"], w, b=b)
+    for r in spread.collect():
+        m = [np.median(c) for c in cells(images[r["frame"]])]
+        assert r["spread"] == pytest.approx(np.percentile(m, 95) - np.percentile(m, 5)) and r["sky"] == pytest.approx(np.median(images[r["frame"]]))
+    for r in noise.collect():
+        x = images[r["frame"]]
+        res = np.array([[x[y, k] - np.median(x[max(0, y - 1) : y + 2, max(0, k - 1) : k + 2]) for k in range(w)] for y in range(h)])
+        s = [robust(c) for c in cells(res)]
+        assert r["sigma"] == pytest.approx(robust(res[x <= np.percentile(x, 35)]))
+        assert (r["block_median"], r["block_p90"]) == (pytest.approx(np.median(s)), pytest.approx(np.percentile(s, 90)))
+    for df in (spread, noise, FS.image_stats(d, ["frame"]), FS.fit_plane(d, ["frame"], 7), FS.corner_uniformity(d, ["frame"], 7, centre=3)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_array_median_even_odd_empty(spark):
