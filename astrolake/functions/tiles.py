@@ -60,6 +60,24 @@ def mean_of(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
 
 
+def spread_of(arr: Column) -> Column:
+    """Population standard deviation of an array (null when empty)."""
+    around = lambda a: let(mean_of(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.size(a)))
+    return let(arr, lambda a: F.when(F.size(a) > 0, around(a)))
+
+
+def correlation_of(a: Column, b: Column) -> Column:
+    """Pearson correlation of two arrays of one size; null when one of them is constant."""
+
+    def around(m: Column) -> Column:
+        pairs = F.zip_with(a, b, lambda x, y: F.struct((x - m["a"]).alias("x"), (y - m["b"]).alias("y")))
+        total = lambda p, u, v: F.aggregate(p, F.lit(0.0), lambda s, z: s + z[u] * z[v]).alias(u + v)
+        sums = let(pairs, lambda p: F.struct(total(p, "x", "x"), total(p, "x", "y"), total(p, "y", "y")))
+        return let(sums, lambda s: s["xy"] / F.nullif(F.sqrt(s["xx"] * s["yy"]), F.lit(0.0)))
+
+    return let(F.struct(mean_of(a).alias("a"), mean_of(b).alias("b")), around)
+
+
 def indices(n: Column) -> Column:
     """0 .. n - 1 for n of at least 1."""
     return F.sequence(F.lit(0), (n - 1).cast("int"))

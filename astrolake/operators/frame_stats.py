@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astrolake.functions.tiles import (
-    MAD_TO_SIGMA, block_at, doubles, indices, let, mean_of, median_of, n_blocks, quantile_at, quantile_of, rectangle, sigma_of, square_around)
-from astrolake.operators.images import PERCENTILES, clamp, solve_plane
+    MAD_TO_SIGMA, block_at, correlation_of, doubles, indices, let, mean_of, median_of, n_blocks, quantile_at, quantile_of, rectangle, sigma_of, spread_of, square_around)
+from astrolake.operators.images import LUMA, PERCENTILES, clamp, solve_plane
 from astrolake.session import hold
 
 
@@ -134,3 +134,101 @@ def corner_uniformity(tiles: DataFrame, keys: list[str], side: int, corner: int
         return let(base, told)
 
     return _per_frame(tiles, keys, body)
+
+
+def sky_noise(tiles: DataFrame, keys: list[str], side: int, corner: int = 2) -> DataFrame:
+    """Sky level from the darkest corner (ties: first by name) with its robust deviation."""
+    far = side - corner
+    places = {"tl": (0, 0), "tr": (0, far), "bl": (far, 0), "br": (far, far)}
+
+    def body(t: Column) -> Column:
+        told = lambda name: lambda v: F.struct(median_of(v).alias("sky"), F.lit(name).alias("reg"), sigma_of(v).alias("sg"))
+        return F.array_min(F.array(*[let(rectangle(t, side, y, x, corner, corner), told(n)) for n, (y, x) in places.items()]))
+
+    return _per_frame(tiles, keys, body).withColumn("rel_noise", F.col("sg") / F.nullif(F.abs("sky"), F.lit(0.0)))
+
+
+def _per_image(planes: DataFrame, keys: list[str], names: str, body: Callable[[Column], Column]) -> DataFrame:
+    """keys and the fields of the struct that ``body`` makes of the image's pixels: structs of r, g, b, l and, with a candidate, cr, cg, cb, cl."""
+
+    def pixel(z: Column) -> Column:
+        one = lambda pre: [z[pre + c].alias(pre + c) for c in "rgb"] + [sum(w * z[pre + c] for w, c in zip(LUMA, "rgb")).alias(pre + "l")]
+        return F.struct(*[f for pre in names.split(",") for f in one(pre)])
+
+    zipped = F.arrays_zip(*[pre + c for pre in names.split(",") for c in "rgb"])
+    made = F.when(F.size("r") > 0, let(F.transform(zipped, pixel), body))
+    return hold(planes, "_made", made).select(*keys, "_made.*")
+
+
+def _field(px: Column, name: str) -> Column:
+    return F.transform(px, lambda z: z[name])
+
+
+def color_stats(planes: DataFrame, keys: list[str], dark: float = 0.30) -> DataFrame:
+    """Dark medians, upper percentiles, their ratios and the correlations of the channels."""
+
+    def body(px: Column) -> Column:
+        below = let(quantile_of(_field(px, "l"), dark), lambda cut: F.filter(px, lambda z: z["l"] <= cut))
+        return let(below, lambda low: F.struct(
+            *[median_of(_field(low, c)).alias(f"bg_{c}") for c in "rgb"], *[quantile_of(_field(px, c), 0.99).alias(f"p99_{c}") for c in "rgb"],
+            *[correlation_of(_field(px, a), _field(px, b)).alias(f"corr_{a}{b}") for a, b in ("rg", "rb", "gb")]))
+
+    g = _per_image(planes, keys, "", body)
+    mean = (F.col("bg_r") + F.col("bg_g") + F.col("bg_b")) / 3
+    top = F.greatest("p99_r", "p99_g", "p99_b")
+    for c in "rgb":
+        g = g.withColumn(f"ratio_{c}", F.col(f"bg_{c}") / F.nullif(mean, F.lit(0.0)))
+    return g.withColumn("collapsed", F.concat_ws(",", *[F.when(F.col(f"p99_{c}") < 0.01 * top, F.lit(c)) for c in "rgb"]))
+
+
+def match_gains(planes: DataFrame, keys: list[str], dark: float = 0.60, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
+    """Channel gains to the reference from dark medians, geometric mean one, bounded; and the p99 ratio."""
+
+    def body(px: Column) -> Column:
+        below = lambda l: let(quantile_of(_field(px, l), dark), lambda cut: F.filter(px, lambda z: z[l] <= cut))
+        return let(below("l"), lambda a: let(below("cl"), lambda b: F.struct(
+            *[median_of(_field(a, c)).alias(f"s_{c}") for c in "rgb"], *[median_of(_field(b, f"c{c}")).alias(f"t_{c}") for c in "rgb"],
+            (quantile_of(_field(px, "cl"), 0.99) / F.nullif(quantile_of(_field(px, "l"), 0.99), F.lit(0.0))).alias("signal_ratio"))))
+
+    g = _per_image(planes, keys, ",c", body)
+    raw = {c: F.greatest(F.col(f"t_{c}"), F.lit(1e-6)) / F.greatest(F.col(f"s_{c}"), F.lit(1e-6)) for c in "rgb"}
+    gm = F.cbrt(raw["r"] * raw["g"] * raw["b"])
+    return g.select(*keys, "signal_ratio", *[clamp(raw[c] / gm, lo, hi).alias(f"gain_{c}") for c in "rgb"])
+
+
+def fidelity_metrics(planes: DataFrame, keys: list[str], min_bg: int = 16, snr_floor: float = 0.25, gain_cap: float = 1.60) -> DataFrame:
+    """Chromaticity drift, chroma retention and noise gains of a candidate against its reference."""
+
+    def marked(z: Column, sky: Column) -> Column:
+        tot, ctot = z["r"] + z["g"] + z["b"], z["cr"] + z["cg"] + z["cb"]
+        drift = F.greatest(*[F.abs(z[f"c{c}"] / ctot - z[c] / tot) for c in "rgb"])
+        return F.struct(
+            z["l"].alias("l"), z["cl"].alias("cl"), (z["l"] <= sky["med"]).alias("dark"),
+            ((z["l"] > sky["med"] + 3 * sky["sg"]) & (F.greatest(z["r"], z["g"], z["b"]) < 0.98)).alias("subject"),
+            (F.greatest(z["r"], z["g"], z["b"]) - F.least(z["r"], z["g"], z["b"])).alias("ch"),
+            (F.greatest(z["cr"], z["cg"], z["cb"]) - F.least(z["cr"], z["cg"], z["cb"])).alias("cch"),
+            F.when((tot > 1e-6) & (ctot > 1e-6), drift).alias("drift"))
+
+    def told(dark: Column, subject: Column) -> Column:
+        return F.struct(
+            F.size(dark).alias("n_bg"), quantile_of(F.array_compact(_field(subject, "drift")), 0.95).alias("drift_p95"),
+            median_of(_field(subject, "ch")).alias("s_ch"), median_of(_field(subject, "cch")).alias("s_cch"),
+            spread_of(_field(dark, "ch")).alias("b_ch"), spread_of(_field(dark, "cch")).alias("b_cch"),
+            median_of(_field(dark, "l")).alias("m_l"), median_of(_field(dark, "cl")).alias("m_cl"),
+            sigma_of(_field(dark, "l")).alias("sig"), sigma_of(_field(dark, "cl")).alias("csig"))
+
+    def body(px: Column) -> Column:
+        sky = let(_field(px, "l"), lambda l: F.struct(median_of(l).alias("med"), sigma_of(l).alias("sg")))
+        pixels = let(sky, lambda m: F.transform(px, lambda z: marked(z, m)))
+        return let(pixels, lambda p: let(F.filter(p, lambda z: z["dark"]), lambda a: let(F.filter(p, lambda z: z["subject"]), lambda b: told(a, b))))
+
+    g = _per_image(planes, keys, ",c", body)
+    ok = F.col("n_bg") >= min_bg
+    snr, csnr = F.col("s_ch") / F.nullif(F.col("b_ch"), F.lit(0.0)), F.col("s_cch") / F.nullif(F.col("b_cch"), F.lit(0.0))
+    rel, crel = F.col("sig") / F.nullif(F.abs("m_l"), F.lit(0.0)), F.col("csig") / F.nullif(F.abs("m_cl"), F.lit(0.0))
+    return g.select(
+        *keys, "n_bg", "drift_p95",
+        F.when(ok & (snr > snr_floor), csnr / snr).alias("chroma_retention"),
+        F.when(ok, F.col("b_cch") / F.nullif(F.col("b_ch"), F.lit(0.0))).alias("chroma_noise_gain"),
+        F.when(ok & (rel > 0), F.least(crel / rel, F.lit(gain_cap))).alias("noise_gain"),
+        F.when(ok, F.col("csig")).alias("bg_sigma"))

@@ -153,22 +153,6 @@ def corner_region(side: int, corner: int, centre: int) -> Column:
         .when((y >= c0) & (y < c1) & (x >= c0) & (x < c1), "centre"))
 
 
-def color_stats(rgb: DataFrame, keys: list[str], dark: float = 0.30) -> DataFrame:
-    l = with_luminance(rgb)
-    dim = l.groupBy(*keys).agg(pct("l", dark).alias("_cut"))
-    in_dark = F.col("l") <= F.col("_cut")
-    g = l.join(dim, keys).groupBy(*keys).agg(
-        *[F.median(F.when(in_dark, F.col(c))).alias(f"bg_{c}") for c in "rgb"],
-        *[pct(c, 0.99).alias(f"p99_{c}") for c in "rgb"],
-        F.corr("r", "g").alias("corr_rg"), F.corr("r", "b").alias("corr_rb"), F.corr("g", "b").alias("corr_gb"))
-    mean = (F.col("bg_r") + F.col("bg_g") + F.col("bg_b")) / 3
-    top = F.greatest("p99_r", "p99_g", "p99_b")
-    for c in "rgb":
-        g = g.withColumn(f"ratio_{c}", F.col(f"bg_{c}") / F.nullif(mean, F.lit(0.0)))
-    return g.withColumn(
-        "collapsed", F.concat_ws(",", *[F.when(F.col(f"p99_{c}") < 0.01 * top, F.lit(c)) for c in "rgb"]))
-
-
 # fixed values: the region contract used by the bound queries (half-open rectangles)
 REGIONS = (("bg", "background", 0, 0, 4, 4), ("core", "core", 2, 2, 6, 6), ("faint", "faint", 4, 4, 8, 8), ("star", "stars", 4, 0, 8, 4))
 
@@ -314,39 +298,6 @@ def background_benefit(px2: DataFrame, regs: DataFrame, seed: int = 11, reps: in
         F.when(F.col("change") < -limit, "improved").when(F.col("change") > limit, "worsened").otherwise("unchanged").alias("verdict"))
 
 
-def fidelity_metrics(rgb2: DataFrame, keys: list[str], min_bg: int = 16, snr_floor: float = 0.25, gain_cap: float = 1.60) -> DataFrame:
-    """Chromaticity drift, chroma retention and noise gains of a candidate against its reference."""
-    l = rgb2.withColumn("l", lum()).withColumn("cl", lum("cr", "cg", "cb"))
-    sky = robust_sigma(l, keys, "l", "sg", "med")
-    l = l.join(sky, keys)
-    subject = (F.col("l") > F.col("med") + 3 * F.col("sg")) & (F.greatest("r", "g", "b") < 0.98)
-    dark = F.col("l") <= F.col("med")
-    tot, ctot = F.col("r") + F.col("g") + F.col("b"), F.col("cr") + F.col("cg") + F.col("cb")
-    drift = F.greatest(*[F.abs(F.col(f"c{c}") / ctot - F.col(c) / tot) for c in "rgb"])
-    chroma = (F.greatest("r", "g", "b") - F.least("r", "g", "b"))
-    cchroma = (F.greatest("cr", "cg", "cb") - F.least("cr", "cg", "cb"))
-    l = l.withColumn("drift", F.when(subject & (tot > 1e-6) & (ctot > 1e-6), drift)).withColumn("ch", chroma).withColumn("cch", cchroma)
-    g = l.groupBy(*keys).agg(
-        F.count_if(dark).alias("n_bg"), pct("drift", 0.95).alias("drift_p95"),
-        F.median(F.when(subject, F.col("ch"))).alias("s_ch"), F.median(F.when(subject, F.col("cch"))).alias("s_cch"),
-        F.stddev_pop(F.when(dark, F.col("ch"))).alias("b_ch"), F.stddev_pop(F.when(dark, F.col("cch"))).alias("b_cch"),
-        F.median(F.when(dark, F.col("l"))).alias("m_l"), F.median(F.when(dark, F.col("cl"))).alias("m_cl"))
-    dev = l.where(dark).join(g.select(*keys, "m_l", "m_cl"), keys).groupBy(*keys).agg(
-        (MAD_TO_SIGMA * F.median(F.abs(F.col("l") - F.col("m_l")))).alias("sig"),
-        (MAD_TO_SIGMA * F.median(F.abs(F.col("cl") - F.col("m_cl")))).alias("csig"))
-    g = g.join(dev, keys)
-    ok = F.col("n_bg") >= min_bg
-    snr = F.col("s_ch") / F.nullif(F.col("b_ch"), F.lit(0.0))
-    csnr = F.col("s_cch") / F.nullif(F.col("b_cch"), F.lit(0.0))
-    rel, crel = F.col("sig") / F.nullif(F.abs("m_l"), F.lit(0.0)), F.col("csig") / F.nullif(F.abs("m_cl"), F.lit(0.0))
-    return g.select(
-        *keys, "n_bg", "drift_p95",
-        F.when(ok & (snr > snr_floor), csnr / snr).alias("chroma_retention"),
-        F.when(ok, F.col("b_cch") / F.nullif(F.col("b_ch"), F.lit(0.0))).alias("chroma_noise_gain"),
-        F.when(ok & (rel > 0), F.least(crel / rel, F.lit(gain_cap))).alias("noise_gain"),
-        F.when(ok, F.col("csig")).alias("bg_sigma"))
-
-
 def separation(means: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return means.groupBy(*keys).agg((pct(value, 0.75) / F.nullif(pct(value, 0.25), F.lit(0.0))).alias(name))
 
@@ -376,14 +327,6 @@ def black_corners(tiles: DataFrame, steps: int = 8, worst: float = 0.10, floor:
         F.count(F.lit(1)).alias("checked"), F.max("s").alias("worst")).withColumn("failed", F.col("worst") > worst)
 
 
-def sky_noise(px: DataFrame, keys: list[str], side: int, corner: int = 2) -> DataFrame:
-    """Sky level from the darkest corner with its robust deviation."""
-    reg = px.withColumn("reg", corner_region(side, corner, 0)).where(F.col("reg").isNotNull())
-    s = robust_sigma(reg, [*keys, "reg"], "v", "sg", "sky")
-    pick = s.groupBy(*keys).agg(F.min(F.struct("sky", "reg", "sg")).alias("_m"))
-    return pick.select(*keys, "_m.sky", "_m.reg", "_m.sg", (F.col("_m.sg") / F.nullif(F.abs("_m.sky"), F.lit(0.0))).alias("rel_noise"))
-
-
 # fixed values: knots of the tone match
 KNOTS = (0.01, 0.05, 0.15, 0.30, 0.50, 0.70, 0.85, 0.95, 0.99)
 
@@ -408,20 +351,6 @@ def tone_match(px2: DataFrame, keys: list[str], blend: float = 0.7) -> DataFrame
     return j.withColumn("mapped", (1 - blend) * F.col("pv") + blend * (y0 + (y1 - y0) * t)).drop("sx", "sy", "_s")
 
 
-def match_gains(rgb2: DataFrame, keys: list[str], dark: float = 0.60, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
-    """Channel gains to the reference from dark medians, geometric mean one, bounded; and the p99 ratio."""
-    l = rgb2.withColumn("l", lum()).withColumn("cl", lum("cr", "cg", "cb"))
-    dim = l.groupBy(*keys).agg(pct("l", dark).alias("k"), pct("cl", dark).alias("ck"))
-    j = l.join(dim, keys)
-    g = j.groupBy(*keys).agg(
-        *[F.median(F.when(F.col("l") <= F.col("k"), F.col(c))).alias(f"s_{c}") for c in "rgb"],
-        *[F.median(F.when(F.col("cl") <= F.col("ck"), F.col(f"c{c}"))).alias(f"t_{c}") for c in "rgb"],
-        (pct("cl", 0.99) / pct("l", 0.99)).alias("signal_ratio"))
-    raw = {c: F.greatest(F.col(f"t_{c}"), F.lit(1e-6)) / F.greatest(F.col(f"s_{c}"), F.lit(1e-6)) for c in "rgb"}
-    gm = F.cbrt(raw["r"] * raw["g"] * raw["b"])
-    return g.select(*keys, "signal_ratio", *[clamp(raw[c] / gm, lo, hi).alias(f"gain_{c}") for c in "rgb"])
-
-
 def texture_stats(px: DataFrame, keys: list[str], b: int = 4) -> DataFrame:
     """Gradient kurtosis, dark-halo ratio on the edge mask, highlight index, texture SNR."""
     wx = W.partitionBy(*keys, "y").orderBy("x")

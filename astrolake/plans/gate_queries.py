@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from astrolake import views as V
+from astrolake.operators import frame_stats as FS
 from astrolake.operators import frames as R
 from astrolake.operators import gates as G
 from astrolake.operators import images as I
@@ -22,7 +23,7 @@ GATE_SQL = " UNION ALL ".join(
 
 @query("k01_evaluate_gates", "i:session,img s:code,status d:value b:escalate", f"WITH {FIDELITY}, gt AS ({GATE_SQL}) SELECT *, status = 'failed' AS escalate FROM gt WHERE status IS NOT NULL")
 def _(s, d):
-    m = I.fidelity_metrics(V.rgb2(s, d), K)
+    m = FS.fidelity_metrics(V.rgb2_planes(s, d), K)
     return G.evaluate_gates(m, K, G.thresholds(s), [r[0] for r in G.FIDELITY], G.ESCALATING)
 
 

@@ -158,7 +158,7 @@ SELECT *, 3 * bg_r / (bg_r + bg_g + bg_b) AS ratio_r, 3 * bg_g / (bg_r + bg_g +
  concat_ws(',', CASE WHEN p99_r < 0.01 * greatest(p99_r, p99_g, p99_b) THEN 'r' END, CASE WHEN p99_g < 0.01 * greatest(p99_r, p99_g, p99_b) THEN 'g' END,
  CASE WHEN p99_b < 0.01 * greatest(p99_r, p99_g, p99_b) THEN 'b' END) AS collapsed FROM g""")
 def _(s, d):
-    return I.color_stats(V.rgb(s, d), K)
+    return FS.color_stats(V.rgb_planes(s, d), K)
 
 
 @query("c06_assign_regions", "i:frame,y,x s:region,role d:v", f"WITH {REG} SELECT frame, y, x, region, role, v FROM px JOIN reg ON {IN}")
@@ -249,7 +249,7 @@ fid AS (SELECT session, img, n_bg, drift_p95, CASE WHEN n_bg >= 16 AND s_ch / nu
 
 @query("d17_fidelity_metrics", "i:session,img,n_bg d:drift_p95,chroma_retention,chroma_noise_gain,noise_gain,bg_sigma", f"WITH {FIDELITY} SELECT * FROM fid")
 def _(s, d):
-    return I.fidelity_metrics(V.rgb2(s, d), K)
+    return FS.fidelity_metrics(V.rgb2_planes(s, d), K)
 
 
 @query("d18_screen_corpus", "i:session,img d:sep,measurable_share b:measurable s:grade", f"""
@@ -277,7 +277,7 @@ WITH r AS (SELECT frame, y, x, v, {CORNER} AS reg FROM px), m AS (SELECT frame,
 g AS (SELECT frame, reg, any_value(sky) AS sky, 1.4826 * median(abs(v - sky)) AS sg FROM r JOIN m USING (frame, reg) GROUP BY ALL)
 SELECT *, sg / nullif(abs(sky), 0) AS rel_noise FROM g QUALIFY row_number() OVER (PARTITION BY frame ORDER BY sky, reg) = 1""")
 def _(s, d):
-    return I.sky_noise(px(s, d), ["frame"], SIDE)
+    return FS.sky_noise(V.tiles(s, d), ["frame"], SIDE)
 
 
 @query("d36_tone_match", "i:parent,candidate,y,x d:mapped", f"""
@@ -298,7 +298,7 @@ g AS (SELECT session, img, {', '.join(f"greatest(median({c}) FILTER (WHERE l <=
 h AS (SELECT *, cbrt(t_r / s_r * (t_g / s_g) * (t_b / s_b)) AS gm FROM g)
 SELECT session, img, signal_ratio, {', '.join(f"least(greatest(t_{c} / s_{c} / gm, 0.5), 2) AS gain_{c}" for c in 'rgb')} FROM h""")
 def _(s, d):
-    return I.match_gains(V.rgb2(s, d), K)
+    return FS.match_gains(V.rgb2_planes(s, d), K)
 
 
 # the sketched percentiles may be any value whose rank is near enough: stated as three truths next to the exact columns

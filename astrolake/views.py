@@ -58,18 +58,32 @@ def px2(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def rgb(spark: SparkSession, d: str) -> DataFrame:
-    """Colour pixels: frames 3k, 3k+1, 3k+2 of a session are the R, G, B planes of image ``img``,
-    lifted by one half into the display range.
-
-    The planes meet as three arrays in one row, so no pixel is shuffled.
+def rgb_planes(spark: SparkSession, d: str) -> DataFrame:
+    """Colour images (session, img, r, g, b) with one array a plane: frames 3k, 3k+1, 3k+2 of a session are the
+    R, G, B planes of image ``img``, lifted by one half into the display range.
     """
     r = ranked_tiles(spark, d).withColumn("img", F.floor(F.col("rk") / 3)).withColumn("ch", F.col("rk") % 3)
     planes = r.groupBy("session", "img").agg(
         *[F.first(F.when(F.col("ch") == i, F.col("tile")), True).alias(c) for i, c in enumerate("rgb")]
     ).where(F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull())
-    z = planes.select("session", "img", F.posexplode(F.arrays_zip("r", "g", "b")).alias("pos", "z"))
-    return z.select("session", "img", *_yx(), *[(F.col(f"z.{c}").cast("double") + 0.5).alias(c) for c in "rgb"])
+    return planes.select("session", "img", *[F.transform(c, lambda v: v.cast("double") + 0.5).alias(c) for c in "rgb"])
+
+
+def rgb2_planes(spark: SparkSession, d: str) -> DataFrame:
+    """Planes of image k beside those of image k+1 of the session (cr, cg, cb)."""
+    a = rgb_planes(spark, d)
+    b = a.select("session", (F.col("img") - 1).alias("img"), *[F.col(c).alias(f"c{c}") for c in "rgb"])
+    return a.join(b, ["session", "img"])
+
+
+def _plane_pixels(planes: DataFrame, names: list[str]) -> DataFrame:
+    z = planes.select("session", "img", F.posexplode(F.arrays_zip(*names)).alias("pos", "z"))
+    return z.select("session", "img", *_yx(), *[F.col(f"z.{c}").alias(c) for c in names])
+
+
+def rgb(spark: SparkSession, d: str) -> DataFrame:
+    """Colour pixels (session, img, y, x, r, g, b); the planes meet as arrays, so no pixel is shuffled."""
+    return _plane_pixels(rgb_planes(spark, d), ["r", "g", "b"])
 
 
 def rgb_long(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +94,7 @@ def rgb_long(spark: SparkSession, d: str) -> DataFrame:
 
 def rgb2(spark: SparkSession, d: str) -> DataFrame:
     """Colour pixels of image k beside those of image k+1 of the session (candidate)."""
-    a = rgb(spark, d)
-    b = a.select(
-        "session", (F.col("img") - 1).alias("img"), "y", "x",
-        *[F.col(c).alias(f"c{c}") for c in "rgb"],
-    )
-    return a.join(b, ["session", "img", "y", "x"])
+    return _plane_pixels(rgb2_planes(spark, d), ["r", "g", "b", "cr", "cg", "cb"])
 
 
 def meas(spark: SparkSession, d: str) -> DataFrame:

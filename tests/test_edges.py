@@ -101,6 +101,27 @@ def test_frame_statistics_against_numpy(spark):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_colour_statistics_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    planes = {i: rng.uniform(0.1, 0.9, size=(6, 60)) for i in range(2)}
+    rows = [(i, *[p.tolist() for p in x]) for i, x in planes.items()] + [(9, *[[0.5] * 4] * 6), (10, *[[]] * 6), (11, *[None] * 6)]
+    d = spark.createDataFrame(rows, "img int, " + ", ".join(f"{c} array<double>" for c in ("r", "g", "b", "cr", "cg", "cb")))
+    color, gains, fid = FS.color_stats(d, ["img"]), FS.match_gains(d, ["img"]), FS.fidelity_metrics(d, ["img"])
+    got = {r["img"]: r for r in color.collect()}
+    kept = {r["img"]: r for r in fid.collect()}
+    for i, (r, g, b, cr, cg, cb) in planes.items():
+        l = 0.2126 * r + 0.7152 * g + 0.0722 * b
+        assert got[i]["bg_g"] == pytest.approx(np.median(g[l <= np.percentile(l, 30)])) and got[i]["p99_b"] == pytest.approx(np.percentile(b, 99))
+        assert got[i]["corr_rb"] == pytest.approx(np.corrcoef(r, b)[0, 1])
+        dark = l <= np.median(l)
+        chroma = lambda *x: np.std((np.max(x, 0) - np.min(x, 0))[dark])
+        assert kept[i]["n_bg"] == dark.sum() and kept[i]["chroma_noise_gain"] == pytest.approx(chroma(cr, cg, cb) / chroma(r, g, b))
+    assert got[9]["corr_rg"] is None and got[9]["bg_r"] == 0.5 and got[10]["bg_r"] is None and got[11]["p99_r"] is None
+    assert {r["img"]: r["gain_r"] for r in gains.collect()}[9] == pytest.approx(1) and kept[9]["n_bg"] == 4 and kept[10]["n_bg"] is None
+    for df in (color, gains, fid):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_array_median_even_odd_empty(spark):
     d = spark.createDataFrame([([3.0, 1.0, 2.0],), ([4.0, 1.0, 2.0, 3.0],), ([],)], "t array<double>")
     rows = d.select(A.median_of(F.col("t")).alias("m"), A.mad_of(F.col("t")).alias("d"), A.quantile_of(F.col("t"), 0.25).alias("q")).collect()
