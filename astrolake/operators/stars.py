@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
@@ -255,22 +258,42 @@ def thin(stars: DataFrame, r: float) -> DataFrame:
             return one.join(kept, "id", "left_semi")
 
 
-def farthest(pts: DataFrame, n: int) -> DataFrame:
-    """Farthest-point selection from the first point in (y, x, id) order; each step is one aggregate.
+def farthest(pts: DataFrame, n: int, batch: int = 64) -> DataFrame:
+    """Farthest-point selection from the first point in (y, x, id) order; ties go to the smallest y, x, id.
 
-    Only the chosen points (n <= 256) ever reach the driver; ties go to the smallest y, x, id.
+    Every point keeps its distance to the nearest chosen one.  A round takes the ``batch`` points of largest distance
+    to the driver and chooses among them as long as none outside can be farther, as distances only fall; then
+    the table takes up what was chosen.  The driver holds the chosen points and one batch.  Points without
+    coordinates take no part; it ends early once every point coincides with a chosen one.
     """
-    if not 1 <= n <= 256:
-        raise ValueError("n must be 1..256")
-    chosen: list[tuple] = []
+    if n < 1 or batch < 1:
+        raise ValueError("n and batch must be at least 1")
+    left = cut(pts.where("x is not null and y is not null").select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(float("inf")).alias("d")))
+    order = lambda p: (-p["d"], p["y"], p["x"], p["id"])
+    chosen: list[dict] = []
     while len(chosen) < n:
-        dists = [F.hypot(F.col("x") - c[2], F.col("y") - c[3]) for c in chosen]
-        d = F.least(*dists) if len(dists) > 1 else (dists[0] if dists else F.lit(1.0))
-        best = pts.agg(F.min(F.struct((-F.round(d, 9)).alias("d"), F.col("y"), F.col("x"), F.col("id"))).alias("m")).first()["m"]
-        if best is None or best["d"] >= 0:
+        near = [r.asDict() for r in left.orderBy(F.desc("d"), "y", "x", "id").limit(batch).collect()]
+        bound = order(near[-1]) if len(near) == batch else None
+        new: list[dict] = []
+        while near and len(chosen) + len(new) < n:
+            best = min(near, key=order)
+            if best["d"] <= 0 or (bound is not None and order(best) > bound):
+                break
+            near.remove(best)
+            new.append(best)
+            for p in near:
+                p["d"] = min(p["d"], _rounded(math.hypot(p["x"] - best["x"], p["y"] - best["y"])))
+        if not new:
             break
-        chosen.append((len(chosen) + 1, best["id"], float(best["x"]), float(best["y"])))
-    return pts.sparkSession.createDataFrame(chosen, "step int, id long, x double, y double")
+        chosen += new
+        if len(chosen) < n:
+            left = cut(left.withColumn("d", F.least("d", *[F.round(F.hypot(F.col("x") - p["x"], F.col("y") - p["y"]), 9) for p in new])))
+    return pts.sparkSession.createDataFrame([(k, p["id"], p["x"], p["y"]) for k, p in enumerate(chosen, 1)], "step int, id long, x double, y double")
+
+
+def _rounded(v: float) -> float:
+    """To nine places as ``F.round`` does it."""
+    return float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP))
 
 
 def best_per_cell(pts: DataFrame, size: float) -> DataFrame:

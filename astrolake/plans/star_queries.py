@@ -136,7 +136,16 @@ def _(s, d):
     return S.thin(V.stars_a(s, d).withColumn("flux", F.col("fwhm")), 1.5)
 
 
-@query("f12_farthest_points", "i:step,id d:x,y")
+def _farthest_sql(n: int) -> str:
+    """Step by step: the farthest point, then each point's distance to the nearest chosen one."""
+    parts = ["d0 AS (SELECT id, x, y, 'inf'::DOUBLE AS d FROM stars_a)"]
+    for k in range(1, n + 1):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT id, x, y FROM d{k - 1} WHERE d > 0 ORDER BY d DESC, y, x, id LIMIT 1)")
+        parts.append(f"d{k} AS MATERIALIZED (SELECT p.id, p.x, p.y, least(p.d, round(sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2)), 9)) AS d FROM d{k - 1} p, s{k} s)")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT {k} AS step, id, x, y FROM s{k}" for k in range(1, n + 1))
+
+
+@query("f12_farthest_points", "i:step,id d:x,y", _farthest_sql(8))
 def _(s, d):
     return S.farthest(V.stars_a(s, d), 8)
 

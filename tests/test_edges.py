@@ -216,6 +216,21 @@ def test_farthest_against_brute_force(spark):
     assert got == sel
 
 
+def test_farthest_with_ties_copies_and_many_steps(spark):
+    p = [(i, float(i % 21), float(i // 21 % 20)) for i in range(440)] + [(900, None, 1.0)]
+    d = spark.createDataFrame(p, "id long, x double, y double")
+    sel, dist = [], {i: math.inf for i, _, _ in p[:440]}
+    at = {i: (y, x) for i, x, y in p[:440]}
+    while len(sel) < 300:
+        best = min(dist, key=lambda i: (-dist[i], *at[i], i))
+        sel.append(best)
+        dist = {i: min(v, round(math.dist(at[i], at[best]), 9)) for i, v in dist.items()}
+    got = S.farthest(d, 300, 40).orderBy("step").collect()
+    assert [r["id"] for r in got] == sel and [r["step"] for r in got] == list(range(1, 301))
+    assert S.farthest(d.where("id < 3 or id = 420"), 9).count() == 3  # 420 is a copy of 0
+    assert S.farthest(d.where("false"), 2).count() == 0
+
+
 def test_shape_field_recovers_a_quadratic_and_drops_outliers(spark):
     rng = np.random.default_rng(4)
     x, y = rng.uniform(0, 100, 500), rng.uniform(0, 80, 500)
