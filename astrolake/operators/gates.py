@@ -344,6 +344,25 @@ def diagnose_log(log: DataFrame, key: str, marker: str = r"(?i)^purchase", width
     return j.select(key, "line", F.col("r.code").alias("code"), sev.alias("severity"))
 
 
+def context_findings(log: DataFrame, key: str, code: str, pattern: str, opener: str, closer: str, marker: str = r"(?i)^purchase", before: int = 5, after: int = 9) -> DataFrame:
+    """Lines of ``pattern`` with their severity: benign between an ``opener`` and a ``closer`` and ahead of a success marker, else a warning.
+
+    The opener must stand in the ``before`` lines before, the closer in the ``after`` lines after; ``line`` counts
+    the lines of a log.  Findings visit the numbers of their neighbours, so logs meet line by line and a long log splits like short ones.
+    """
+    hits = log.where(F.col("text").rlike(pattern)).select(key, "line")
+
+    def beside(text: str, first: int, last: int, name: str) -> DataFrame:
+        near = hits.select(key, "line", F.explode(F.sequence(F.col("line") + first, F.col("line") + last)).alias("_at"))
+        marks = log.where(F.col("text").rlike(text)).select(key, F.col("line").alias("_at"))
+        return near.join(marks, [key, "_at"]).select(key, "line").distinct().withColumn(name, F.lit(True))
+
+    last = log.groupBy(key).agg(F.max(F.when(F.col("text").rlike(marker), F.col("line"))).alias("last_mark"))
+    found = join_on(hits, last, [key]).join(beside(opener, -before, -1, "opened"), [key, "line"], "left").join(beside(closer, 1, after, "closed"), [key, "line"], "left")
+    benign = F.coalesce(F.col("opened") & F.col("closed") & (F.col("last_mark") > F.col("line")), F.lit(False))
+    return found.select(key, "line", F.lit(code).alias("code"), F.when(benign, "benign").otherwise("warning").alias("severity"))
+
+
 def assert_contract(df: DataFrame, key: str, required: list[str], ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Violations: missing values, repeated keys, values out of range."""
     miss = [df.where(F.col(c).isNull()).select(F.lit("missing").alias("rule"), F.lit(c).alias("field"), F.col(key).cast("string").alias("key")) for c in required]

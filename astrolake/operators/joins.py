@@ -171,6 +171,12 @@ def excluded(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return a.join(hit, "id", "left_anti")
 
 
+def unclear_sky(sky: DataFrame, others: DataFrame, size: float) -> DataFrame:
+    """Ids of sky rectangles that overlap another sky rectangle or any of the others; a valid split has none."""
+    own = overlap_pairs(sky, sky, size).where("aid <> bid")
+    return own.select(F.col("aid").alias("id")).unionByName(overlap_pairs(sky, others, size).select(F.col("aid").alias("id"))).distinct()
+
+
 def nearest(subjects: DataFrame, refs: DataFrame, start: float, extent: float) -> DataFrame:
     """Exact nearest reference per subject, ties by id.
 

@@ -192,6 +192,14 @@ def _(s, d):
     return G.diagnose_log(log, "target")
 
 
+@query("k20_log_context", "i:log,line s:code,severity", """WITH m AS (SELECT id // 1000 AS log, id AS line, kind, max(CASE WHEN kind = 'purchase' THEN id END) OVER (PARTITION BY id // 1000) AS lm FROM ev)
+SELECT log, line, 'W_COPY' AS code, CASE WHEN coalesce(lm > line, false) AND EXISTS (SELECT 1 FROM m o WHERE o.log = m.log AND o.kind = 'signup' AND o.line BETWEEN m.line - 5 AND m.line - 1)
+ AND EXISTS (SELECT 1 FROM m o WHERE o.log = m.log AND o.kind = 'view' AND o.line BETWEEN m.line + 1 AND m.line + 9) THEN 'benign' ELSE 'warning' END AS severity FROM m WHERE kind = 'click'""")
+def _(s, d):
+    log = V.ev(s, d).select(F.floor(F.col("id") / 1000).alias("log"), F.col("id").alias("line"), F.concat(F.col("kind"), F.lit(": "), F.col("value").cast("string")).alias("text"))
+    return G.context_findings(log, "log", "W_COPY", r"(?i)^click", r"(?i)^signup", r"(?i)^view")
+
+
 @query("k21_assert_contract", "s:rule,field,key", """WITH z AS (SELECT frame, CASE WHEN frame % 101 = 0 THEN NULL ELSE fwhmx END AS fwhmx, tax FROM meas)
 SELECT 'missing' AS rule, 'fwhmx' AS field, CAST(frame AS VARCHAR) AS key FROM z WHERE fwhmx IS NULL UNION ALL SELECT 'range', 'fwhmx', CAST(frame AS VARCHAR) FROM z WHERE fwhmx NOT BETWEEN 0.2 AND 4.9
 UNION ALL SELECT 'range', 'tax', CAST(frame AS VARCHAR) FROM z WHERE tax NOT BETWEEN 0 AND 0.07 UNION ALL SELECT 'duplicate', 'frame', CAST(frame AS VARCHAR) FROM z GROUP BY frame HAVING count(*) > 1""")

@@ -194,6 +194,12 @@ def _(s, d):
     return J.excluded(*rects(s, d), 16.0)
 
 
+@query("h05_unclear_sky", "i:id", f"""WITH {RECTS} SELECT id FROM ra WHERE EXISTS (SELECT 1 FROM rb WHERE ra.x0 < rb.x1 AND rb.x0 < ra.x1 AND ra.y0 < rb.y1 AND rb.y0 < ra.y1)
+ OR EXISTS (SELECT 1 FROM ra o WHERE o.id <> ra.id AND ra.x0 < o.x1 AND o.x0 < ra.x1 AND ra.y0 < o.y1 AND o.y0 < ra.y1)""")
+def _(s, d):
+    return J.unclear_sky(*rects(s, d), 16.0)
+
+
 @query("c10_nearest", "i:id,ref d:dist", f"""WITH {RECTS}, c AS (SELECT ra.id, rb.id AS ref, round(sqrt(pow(ra.x0 - rb.x0, 2) + pow(ra.y0 - rb.y0, 2)), 9) AS dist FROM ra, rb)
 SELECT id, ref, dist FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, ref) = 1""")
 def _(s, d):

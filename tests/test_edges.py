@@ -216,6 +216,21 @@ def test_farthest_against_brute_force(spark):
     assert got == sel
 
 
+def test_log_context_counts_lines_on_both_sides(spark):
+    def severity(gap, ahead, done=True):
+        lines = ["open"] + ["x"] * gap + ["copy failed"] + ["x"] * ahead + ["close"] + (["done"] if done else [])
+        d = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "log int, line int, text string")
+        return [r["severity"] for r in G.context_findings(d, "log", "W", "^copy", "^open", "^close", "^done").collect()]
+
+    assert severity(4, 8) == ["benign"] and severity(5, 8) == ["warning"] and severity(4, 9) == ["warning"] and severity(0, 0, False) == ["warning"]
+
+
+def test_sky_rectangles_must_not_overlap(spark):
+    d = lambda rows: spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double")
+    sky = d([(1, 0.0, 0.0, 4.0, 4.0), (2, 3.0, 3.0, 9.0, 9.0), (3, 20.0, 0.0, 30.0, 8.0), (4, 30.0, 0.0, 34.0, 8.0)])
+    assert sorted(r[0] for r in J.unclear_sky(sky, d([(1, 33.0, 7.0, 50.0, 50.0)]), 8.0).collect()) == [1, 2, 4]
+
+
 def test_farthest_with_ties_copies_and_many_steps(spark):
     p = [(i, float(i % 21), float(i // 21 % 20)) for i in range(440)] + [(900, None, 1.0)]
     d = spark.createDataFrame(p, "id long, x double, y double")
