@@ -1,5 +1,6 @@
 """Image statistics: robust summaries, clipping, noise, gradients, colour, regions and paired fidelity.
 
+Statistics of single frames and images on whole arrays are in ``frame_stats``; here pixels are rows.
 A frame is bounded by the sensor, so its pixels may meet in one group; anything that spans frames
 (sessions, corpora) goes through the rank-band quantiles of ``functions.scan``.
 """
@@ -75,14 +76,6 @@ def blocks(px: DataFrame, keys: list[str], b: int, agg: Column, name: str) -> Da
     return px.groupBy(*keys, F.floor(F.col("y") / b).alias("by"), F.floor(F.col("x") / b).alias("bx")).agg(agg.alias(name))
 
 
-def neighbourhood(px: DataFrame, keys: list[str], value: str, h: int, name: str) -> DataFrame:
-    """All values in the (2h+1)^2 square around a pixel, gathered along rows and then columns."""
-    along_x = W.partitionBy(*keys, "y").orderBy("x").rangeBetween(-h, h)
-    along_y = W.partitionBy(*keys, "x").orderBy("y").rangeBetween(-h, h)
-    row = px.withColumn("_row", F.collect_list(value).over(along_x))
-    return row.withColumn(name, F.flatten(F.collect_list("_row").over(along_y))).drop("_row")
-
-
 def robust_sigma(df: DataFrame, keys: list[str], value: str, name: str, med: str | None = None) -> DataFrame:
     """1.4826 * MAD of bounded groups."""
     m = df.groupBy(*keys).agg(F.median(value).alias("_m"))
