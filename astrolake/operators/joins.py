@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from astrolake.functions.scan import join_on, rank_by_id
 from astrolake.operators.components import components
-from astrolake.session import cut
+from astrolake.session import cut, shuffled
 
 
 def _neighbours(value: Column, size: float) -> Column:
@@ -84,26 +84,30 @@ def near_edges(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFra
     pa = positions(a, keys).withColumn("cx", F.floor(F.col("x") / r)).withColumn("cy", F.floor(F.col("y") / r))
     pb = positions(b, keys).select(*keys, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("k").alias("bk"), F.col("id").alias("bid"))
     pb = pb.withColumn("cx", _neighbours(F.col("bx"), r)).withColumn("cy", _neighbours(F.col("by"), r))
-    j = pa.join(pb, [*keys, "cx", "cy"])
+    j = pa.join(shuffled(pb), [*keys, "cx", "cy"])
     d = F.round(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")), 9)
     return j.withColumn("dist", d).where(F.col("dist") <= r).drop("cx", "cy")
 
 
-def match_unique(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFrame:
-    """Pairs where each side has exactly one neighbour within r."""
-    e = near_edges(a, b, keys, r)
+def _unique(e: DataFrame, keys: list[str]) -> DataFrame:
     one = F.min(F.struct("bid", "bx", "by", "id", "dist")).alias("_m")
     da = e.groupBy(*keys, "x", "y").agg(F.sum("bk").alias("deg_a"), one).where(F.col("deg_a") == 1).select(*keys, "_m.*")
     db = e.groupBy(*keys, "bx", "by").agg(F.sum("k").alias("deg_b")).where(F.col("deg_b") == 1)
-    return da.join(db, [*keys, "bx", "by"]).select(*keys, F.col("id").alias("id_a"), F.col("bid").alias("id_b"), "dist")
+    return da.join(shuffled(db), [*keys, "bx", "by"]).select(*keys, F.col("id").alias("id_a"), F.col("bid").alias("id_b"), "dist")
+
+
+def match_unique(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFrame:
+    """Pairs where each side has exactly one neighbour within r."""
+    return _unique(cut(near_edges(a, b, keys, r)), keys)
 
 
 def match_summary(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFrame:
     """Counts per key: unique, ambiguous and unmatched parents, saturated and duplicated positions."""
-    deg = near_edges(a, b, keys, r).groupBy(*keys, "x", "y").agg(F.sum("bk").alias("deg"))
-    u = match_unique(a, b, keys, r).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_n"))
+    e = cut(near_edges(a, b, keys, r))
+    deg = e.select(*keys, "x", "y").distinct().withColumn("deg", F.lit(1))
+    u = _unique(e, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_n"))
     pa = a.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("k"), F.count_if("sat").alias("sat_k"))
-    j = pa.join(deg, [*keys, "x", "y"], "left")
+    j = pa.join(shuffled(deg), [*keys, "x", "y"], "left")
     g = j.groupBy(*keys).agg(
         F.sum("k").alias("n"), F.sum(F.when(F.col("deg").isNull(), F.col("k")).otherwise(0)).alias("unmatched"),
         F.sum("sat_k").alias("saturated"), F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("duplicates"))
@@ -114,7 +118,7 @@ def match_summary(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> Data
 def unmatched(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFrame:
     """Rows of a without any neighbour in b."""
     hit = near_edges(a, b, keys, r).select(*keys, "x", "y").distinct()
-    return a.join(hit, [*keys, "x", "y"], "left_anti")
+    return a.join(shuffled(hit), [*keys, "x", "y"], "left_anti")
 
 
 def paired_profiles(before: DataFrame, after: DataFrame) -> DataFrame:

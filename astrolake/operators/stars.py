@@ -16,7 +16,7 @@ from astrolake.operators.components import components
 from astrolake.operators.images import clamp, pct, share
 from astrolake.operators.joins import _neighbours, assign_apertures
 from astrolake.operators.stack import window_max
-from astrolake.session import cut
+from astrolake.session import cut, shuffled
 
 FWHM = 2.35482  # fixed value: Gaussian sigma to FWHM
 
@@ -55,7 +55,7 @@ def star_moments(px: DataFrame, stars: DataFrame, keys: list[str], value: str =
 def spatial_report(stars: DataFrame, matched: DataFrame, width: float, height: float) -> DataFrame:
     """3x3 coverage per cell and layer (and all cells together) with FWHM p05/median/p95."""
     c = lambda v, n: F.least(F.floor(F.col(v) / n * 3), F.lit(2)).cast("string")
-    s = stars.join(matched.select("id", F.lit(True).alias("hit")), "id", "left")
+    s = stars.join(shuffled(matched.select("id", F.lit(True).alias("hit"))), "id", "left")
     s = s.withColumn("cell", F.explode(F.array(F.concat(c("y", height), c("x", width)), F.lit("all"))))
     k = ["cell", "layer"]
     g = s.groupBy(*k).agg(F.count(F.lit(1)).alias("captured"), F.count_if(~F.col("sat")).alias("valid"), F.count_if("sat").alias("saturated"),
@@ -244,18 +244,18 @@ def thin(stars: DataFrame, r: float) -> DataFrame:
     p = one.withColumn("cx", F.floor(F.col("x") / r)).withColumn("cy", F.floor(F.col("y") / r))
     q = one.select(F.col("id").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("flux").alias("bf"), _neighbours(F.col("x"), r).alias("cx"))
     q = q.withColumn("cy", _neighbours(F.col("by"), r))
-    j = p.join(q, ["cx", "cy"])
+    j = p.join(shuffled(q), ["cx", "cy"])
     brighter = (F.col("bf") > F.col("flux")) | ((F.col("bf") == F.col("flux")) & (F.col("bid") < F.col("id")))
     edges = cut(j.where(brighter & (F.round(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")), 9) < r)).select("id", "bid"))
     open_ids, kept = one.select("id"), None
     while True:  # the brightest undecided star is always decided
-        blocked = edges.join(open_ids.select(F.col("id").alias("bid")), "bid").select("id").distinct()
-        new = cut(open_ids.join(blocked, "id", "left_anti"))
+        blocked = edges.join(shuffled(open_ids.select(F.col("id").alias("bid"))), "bid").select("id").distinct()
+        new = cut(open_ids.join(shuffled(blocked), "id", "left_anti"))
         kept = new if kept is None else kept.unionByName(new)
-        gone = edges.join(new.select(F.col("id").alias("bid")), "bid").select("id").unionByName(new).distinct()
-        open_ids = cut(open_ids.join(gone, "id", "left_anti"))
+        gone = edges.join(shuffled(new.select(F.col("id").alias("bid"))), "bid").select("id").unionByName(new).distinct()
+        open_ids = cut(open_ids.join(shuffled(gone), "id", "left_anti"))
         if open_ids.isEmpty():
-            return one.join(kept, "id", "left_semi")
+            return one.join(shuffled(kept), "id", "left_semi")
 
 
 def farthest(pts: DataFrame, n: int, batch: int = 64) -> DataFrame:
