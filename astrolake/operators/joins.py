@@ -6,12 +6,11 @@ are collapsed (with their count) before the join, so a heap of identical rows ca
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astrolake.functions.scan import join_on, rank_by_id
+from astrolake.operators.calibration import match_by_tolerances
 from astrolake.operators.components import components
 from astrolake.session import cut, shuffled
 
@@ -21,36 +20,12 @@ def _neighbours(value: Column, size: float) -> Column:
     return F.explode(F.sequence(c - 1, c + 1))
 
 
-def tolerance_pairs(light: DataFrame, master: DataFrame, exact: list[str], tol: dict[str, float]) -> DataFrame:
-    """Light/master pairs inside every tolerance, with score = sum of deltas over tolerances.
+def match_masters(light: DataFrame, master: DataFrame, exact: list[str], tol: dict[str, float], strict: bool = False) -> DataFrame:
+    """Best master per light: lowest score, then name.  Strict mode reports ties as an error.
 
-    The first tolerance key is bucketed at its width, masters visit the two neighbouring buckets.
+    Distinct settings meet, not frames: a setting shared by very many lights is matched once.
     """
-    first, width = next(iter(tol.items()))
-    l = light.withColumn("_c", F.floor(F.col(first) / width))
-    m = master.select(*exact, *[F.col(k).alias(f"m_{k}") for k in tol], "mid", "mname")
-    m = m.withColumn("_c", _neighbours(F.col(f"m_{first}"), width))
-    j = l.join(m, [*exact, "_c"])
-    deltas = {k: F.abs(F.col(k) - F.col(f"m_{k}")) for k in tol}
-    ok = reduce(lambda a, b: a & b, [d <= tol[k] for k, d in deltas.items()])
-    score = reduce(lambda a, b: a + b, [d / tol[k] for k, d in deltas.items()])
-    return j.where(ok).withColumn("score", F.round(score, 9))
-
-
-def match_masters(light: DataFrame, master: DataFrame, exact: list[str], tol: dict[str, float], strict: bool = False) -> DataFrame:
-    """Best master per light: lowest score, then name.  Strict mode reports ties as an error."""
-    p = tolerance_pairs(light, master, exact, tol)
-    best = p.groupBy("id").agg(
-        F.min(F.struct("score", "mname", "mid")).alias("_m"), F.count(F.lit(1)).alias("candidates"),
-        F.max(F.struct(-F.col("score"), F.col("mname"))).alias("_last"))
-    out = light.select("id").join(best, "id", "left")
-    # the largest name at the best score differs from the smallest only when the best score is shared
-    tie = F.col("_last.mname") != F.col("_m.mname")
-    status = F.when(F.col("_m").isNull(), "missing").when(tie, "tie" if strict else "matched").otherwise("matched")
-    keep = status != "tie"
-    return out.select(
-        "id", status.alias("status"), F.when(keep, F.col("_m.mid")).alias("mid"), F.when(keep, F.col("_m.score")).alias("score"),
-        F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return match_by_tolerances(light, master, exact, tol, strict=strict)
 
 
 def best_by_key(light: DataFrame, master: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -163,7 +138,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     ren = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "x0", "y0", "x1", "y1")])
     ea = ren(a, "a").select(*cells("a")).select("*", rows("a"))
     eb = ren(b, "b").select(*cells("b")).select("*", rows("b"))
-    j = ea.join(eb, ["cx", "cy"])
+    j = ea.join(shuffled(eb), ["cx", "cy"])
     hit = (F.col("ax0") < F.col("bx1")) & (F.col("bx0") < F.col("ax1")) & (F.col("ay0") < F.col("by1")) & (F.col("by0") < F.col("ay1"))
     home = (F.floor(F.greatest("ax0", "bx0") / size) == F.col("cx")) & (F.floor(F.greatest("ay0", "by0") / size) == F.col("cy"))
     return j.where(hit & home).drop("cx", "cy")
@@ -175,10 +150,38 @@ def excluded(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return a.join(hit, "id", "left_anti")
 
 
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _whole_cells(boxes: DataFrame, u: float) -> DataFrame:
+    """A row for every cell of side ``u`` that lies whole inside the rectangle."""
+    def inside(lo: str, hi: str) -> Column:
+        a, b = F.ceil(F.col(lo) / u), F.floor(F.col(hi) / u) - 1
+        return F.when(a <= b, F.sequence(a, b))
+
+    return boxes.withColumn("cx", F.explode(inside("x0", "x1"))).withColumn("cy", F.explode(inside("y0", "y1")))
+
+
 def unclear_sky(sky: DataFrame, others: DataFrame, size: float) -> DataFrame:
-    """Ids of sky rectangles that overlap another sky rectangle or any of the others; a valid split has none."""
-    own = overlap_pairs(sky, sky, size).where("aid <> bid")
-    return own.select(F.col("aid").alias("id")).unionByName(overlap_pairs(sky, others, size).select(F.col("aid").alias("id"))).distinct()
+    """Ids of sky rectangles that overlap another sky rectangle or any of the others; a valid split has none.
+
+    Equal rectangles are taken once, with their smallest and largest id.  Copies overlap each other, and so do all that hold one
+    small cell whole: both are counted, not paired.  What is left open shares no such cell with any rectangle, so few of them are in
+    one place, and only they are paired with the rest.
+    """
+    one = cut(sky.groupBy(*BOX).agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+    rest = cut(others.groupBy(*BOX).agg(F.lit(True).alias("other")))
+    held = _whole_cells(one.unionByName(rest, allowMissingColumns=True), size / 8)
+    full = held.groupBy("cx", "cy").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.max("other").alias("o")).where("o or a < b").select("cx", "cy")
+    crowded = held.where("lo is not null").join(shuffled(full), ["cx", "cy"], "left_semi").select(*BOX)
+    copies = one.where("lo < hi and x0 < x1 and y0 < y1").select(*BOX)
+    known = cut(crowded.unionByName(copies).distinct())
+    ids = F.struct("lo", "hi")
+    left = cut(one.join(shuffled(known), BOX, "left_anti").withColumn("id", ids))
+    own = overlap_pairs(left, one.withColumn("id", ids), size).where("aid.lo <> bid.lo or aid.hi <> bid.hi")
+    met = own.unionByName(overlap_pairs(left, rest.withColumn("id", F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))), size))
+    found = known.unionByName(met.select(*[F.col(f"a{c}").alias(c) for c in BOX])).distinct()
+    return sky.join(shuffled(found), BOX, "left_semi").select("id").distinct()
 
 
 def nearest(subjects: DataFrame, refs: DataFrame, start: float, extent: float) -> DataFrame:

@@ -1,9 +1,12 @@
 """Plans and row counts that decide whether a query grows with its input: nothing exploded is broadcast, nothing squares."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from astrolake import session
+from astrolake.operators import geometry as G
 from astrolake.operators import joins as J
 from astrolake.operators import stars as S
 
@@ -50,3 +53,42 @@ def test_thinning_broadcasts_no_table(spark, kept):
     out = S.thin(stars(spark), 1.5)
     assert out.count() > 0 and kept
     assert all("BroadcastHashJoin" not in p for p in [*kept, plan(out)])
+
+
+def test_a_heap_of_rectangles_is_not_paired(spark, monkeypatch):
+    paired = []
+    real = J.overlap_pairs
+    monkeypatch.setattr(J, "overlap_pairs", lambda a, b, size: paired.append(a.count()) or real(a, b, size))
+    box = lambda rows: spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    heap = box([(i, i * 0.001, 0.0, 10.0 + i * 0.001, 10.0) for i in range(500)] + [(900, 50.0, 50.0, 60.0, 60.0)])
+    got = {r[0] for r in J.unclear_sky(heap, box([(1, 200.0, 200.0, 210.0, 210.0)]), 16.0).collect()}
+    assert got == set(range(500)) and max(paired) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unclear_sky_against_all_pairs(spark, seed):
+    r = random.Random(seed)
+    rect = lambda i: (lambda x, y: (i, x, y, x + r.choice([0.0, 0.5, 1.0, 4.0, 9.5]), y + r.choice([0.0, 0.5, 2.0, 7.0])))(r.randint(-160, 160) / 2, r.randint(-160, 160) / 2)
+    sky, others = [rect(r.randint(1, 60)) for _ in range(90)], [rect(i) for i in range(12)]
+    sky += [(200 + i, *sky[i][1:]) for i in range(4)] + [(300, None, 1.0, 2.0, 2.0)]
+    hit = lambda a, b: None not in a and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4]
+    want = {a[0] for a in sky if any(hit(a, b) for b in others) or any(a[0] != b[0] and None not in b and hit(a, b) for b in sky)}
+    schema = "id long, x0 double, y0 double, x1 double, y1 double"
+    assert {x[0] for x in J.unclear_sky(spark.createDataFrame(sky, schema), spark.createDataFrame(others, schema), 16.0).collect()} == want
+
+
+def test_projection_refines_a_pair_once(spark):
+    f = spark.createDataFrame([(1, 10.0, 5.0, 600.0, 500.0, -0.01, 0.0, 0.0, 0.01)], "id long, ra0 double, dec0 double, crpix1 double, crpix2 double, cd11 double, cd12 double, cd21 double, cd22 double")
+    term = F.array(F.struct(F.lit(2).alias("p"), F.lit(0).alias("q"), F.lit(1e-6).alias("c")))
+    cat = spark.createDataFrame([(7, 11.0, 6.0), (8, 190.0, 6.0)], "obj long, ra double, dec double")
+    out = G.project_catalog(f.withColumn("a_sip", term).withColumn("b_sip", term), cat, 1200.0, 1000.0, 8.0)
+    assert [r["obj"] for r in out.collect()] == [7]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(sequence") <= 1
+
+
+def test_masters_meet_distinct_settings(spark):
+    l = spark.createDataFrame([(i, 1, float(i % 3)) for i in range(300)], "id long, gain int, temp double")
+    m = spark.createDataFrame([(i, f"m{i}", 1, 0.5) for i in range(40)], "mid long, mname string, gain int, temp double")
+    out = J.match_masters(l, m, ["gain"], {"temp": 1.0})
+    assert out.where("status = 'matched' and mid = 0 and candidates = 40").count() == 200 and out.count() == 300
+    assert "keys=[id" not in plan(out)
