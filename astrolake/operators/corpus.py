@@ -161,6 +161,27 @@ def idf(post: DataFrame, key: str, docs: DataFrame) -> DataFrame:
     return df.select("term", "df", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def document_frequencies(fields: DataFrame, key: str, names: list[str], docs: DataFrame) -> DataFrame:
+    """``idf`` straight from the texts: a document gives each of its terms once, so only counts are shuffled.
+
+    Where ids repeat, rows of one id count as one document, and its terms have to meet first.
+    """
+    if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return idf(postings(fields, key, names), key, docs)
+    tokens = F.flatten(F.array(*[F.coalesce(script_tokens(F.col(c), stops=False), F.array().cast("array<string>")) for c in names]))
+    terms = fields.select(F.explode(F.array_distinct(tokens)).alias("term")).where(~F.col("term").isin(*STOP))
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("term", "df", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def known_terms(fields: DataFrame, names: list[str], asked: DataFrame) -> DataFrame:
+    """Distinct ``asked`` terms that some document holds; a text gives each term once and keeps only asked ones before anything moves."""
+    tokens = F.flatten(F.array(*[F.coalesce(script_tokens(F.col(c), stops=False), F.array().cast("array<string>")) for c in names]))
+    terms = fields.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    return terms.join(small_or_plain(asked.select("term").distinct()), "term", "left_semi").distinct()
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct raw terms of a query (weight 1.0; tokens with letters and digits count as models, 0.8)."""
     t = queries.select("query", F.explode(F.array_distinct(script_tokens(F.col("text")))).alias("term"))
@@ -215,13 +236,30 @@ def field_impacts(post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
     return per.join(small_or_plain(idfs.select("term", "idf")), "term").select("term", key, (F.col("s") * F.col("idf") * length_weight(F.col("term"))).alias("impact"), "strong")
 
 
+PAIRS = 1_000_000  # sums of query and document a task holds at once
+BLOCK = 1_000  # queries summed at once
+
+
 def score_fielded(terms: DataFrame, post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
     """Every document that matches, with the sum of its impacts times the query weights: one row per (query, document).
 
     The impacts of a document are brought together once; with few query terms (broadcast) its scores are then summed where it lies, and
-    no pair of query and document moves.  For queries of few words ``ranking`` sums only documents that may be among the best.
+    no pair of query and document moves.  Documents are dealt so that a task holds at most some PAIRS sums, and more than BLOCK queries are
+    taken in blocks, so the memory of a task does not grow with either table.  For queries of few words ``ranking`` sums only documents that may be among the best.
     """
-    return field_impacts(post, key, idfs).repartition(key).join(small_or_plain(terms), "term").groupBy("query", key).agg(
+    docs, asked = post.agg(F.approx_count_distinct(key)).first()[0], terms.agg(F.count_distinct("query")).first()[0]
+    parts = max(post.sparkSession.sparkContext.defaultParallelism, -(-docs * min(asked, BLOCK) // PAIRS))
+    placed = field_impacts(post, key, idfs).repartition(parts, key)
+    blocks = -(-asked // BLOCK)
+    if blocks <= 1:
+        return _sums(terms, placed, key)
+    placed = cut(placed)
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_sums(terms.where(block == i), placed, key) for i in range(blocks)])
+
+
+def _sums(terms: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    return placed.join(small_or_plain(terms), "term").groupBy("query", key).agg(
         F.sum(F.col("impact") * F.col("weight")).alias("score"), F.max("strong").alias("strong"), F.count(F.lit(1)).alias("matched"))
 
 
@@ -233,7 +271,8 @@ def with_bonus(scored: DataFrame, queries: DataFrame, docs: DataFrame, key: str)
     q = queries.select("query", normalise(F.col("text")).alias("_q"))
     q = hold(q, "_w", F.split("_q", " "))
     t = docs.select(key, normalise(F.col("title")).alias("_t"), "category")
-    j = scored.join(q, "query").join(t, key)
+    # pairs stay where they are and are not sorted: queries are broadcast, titles hashed beside them
+    j = scored.join(small_or_plain(q), "query").join(t.hint("shuffle_hash"), key)
     title = F.when((F.length("_t") > 0) & F.contains("_q", "_t"), 45.0).otherwise(0.0)
     hint = F.when(F.array_contains("_w", F.col("category")), 5.0).otherwise(0.0)
     return j.withColumn("score", F.col("score") + title + hint).drop("_q", "_w", "_t", "category")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from astrolake import session
+from astrolake.operators import corpus as C
 from astrolake.operators import geometry as G
 from astrolake.operators import joins as J
 from astrolake.operators import stars as S
@@ -92,3 +93,43 @@ def test_masters_meet_distinct_settings(spark):
     out = J.match_masters(l, m, ["gain"], {"temp": 1.0})
     assert out.where("status = 'matched' and mid = 0 and candidates = 40").count() == 200 and out.count() == 300
     assert "keys=[id" not in plan(out)
+
+
+def corpus(spark):
+    docs = spark.createDataFrame([(i, "en", "src", f"alpha w{i % 5} beta\nword{i % 3} alpha 图像 again again") for i in range(40)], "doc_id long, lang string, source string, text string")
+    q = spark.createDataFrame([(i, f"alpha w{i % 5} word{i % 3}") for i in range(7)], "query long, text string")
+    return q, docs, C.document_fields(docs)
+
+
+def test_scores_in_blocks_and_without_sorting_pairs(spark, monkeypatch):
+    q, docs, f = corpus(spark)
+    terms, post = session.cut(C.query_terms(q)), session.cut(C.postings(f, "doc", list(C.WEIGHTS)))
+    ids = session.cut(C.idf(post, "doc", docs))
+    run = lambda: C.with_bonus(C.score_fielded(terms, post, "doc", ids), q, f, "doc")
+    rows = lambda df: sorted((r["query"], r["doc"], round(r["score"], 9), r["matched"]) for r in df.collect())
+    whole = rows(run())
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(run())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    monkeypatch.setattr(C, "BLOCK", 2)
+    assert rows(run()) == whole and len(whole) == 280
+
+
+def test_document_frequencies_move_only_counts(spark):
+    q, docs, f = corpus(spark)
+    f = f.withColumnRenamed("doc", "doc_id")
+    twice = docs.unionByName(docs.where("doc_id < 3"))
+    for d in (docs, twice):
+        fields = C.document_fields(d).withColumnRenamed("doc", "doc_id")
+        want = {(r["term"], r["df"], round(r["idf"], 9)) for r in C.idf(C.postings(fields, "doc_id", list(C.WEIGHTS)), "doc_id", d).collect()}
+        assert {(r["term"], r["df"], round(r["idf"], 9)) for r in C.document_frequencies(fields, "doc_id", ["tags", "body"], d).collect()} == want
+    assert "doc_id" not in "".join(line for line in plan(C.document_frequencies(f, "doc_id", ["tags", "body"], docs)).splitlines() if "Exchange hash" in line)
+
+
+def test_only_asked_terms_of_texts_move(spark):
+    q, docs, f = corpus(spark)
+    asked = spark.createDataFrame([(1, "alpha"), (1, "nowhere"), (2, "图像")], "query long, term string")
+    assert {r[0] for r in C.known_terms(f, ["tags", "body"], asked).collect()} == {"alpha", "图像"}
