@@ -5,10 +5,11 @@ All take long text rows (file, line, text); ``read_lines`` makes them from files
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from astrolake.functions.scan import join_on, rank_by_id
+from astrolake.session import hold
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +40,9 @@ STAR_COLUMNS = ("star", "layer", "A", "beta", "X", "Y", "FWHMx", "FWHMy", "Angle
 
 
 def _cells(lines: DataFrame) -> DataFrame:
-    return lines.where(~F.col("text").startswith("#") & (F.trim("text") != "")).withColumn("c", F.split("text", "\t"))
+    """Rows with their cells; text and cells stand behind generators, so that no later expression builds or splits them again."""
+    d = hold(lines.withColumnRenamed("text", "_t"), "text", F.col("_t")).drop("_t")
+    return hold(d.where(~F.col("text").startswith("#") & (F.trim("text") != "")), "c", F.split("text", "\t"))
 
 
 def _cell(name: str) -> Column:
@@ -49,10 +52,12 @@ def _cell(name: str) -> Column:
 def read_stars(lines: DataFrame, header_limit: int = 15) -> DataFrame:
     """Tolerant form: the header must be among the first lines; widths within 0.1..50, roundness within 0..1."""
     head = lines.where((F.col("line") < header_limit) & F.lower("text").contains("fwhmx")).groupBy("file").agg(F.min("line").alias("_h"))
-    d = _cells(lines).join(head, "file").where(F.col("line") > F.col("_h"))
     fx, fy = _cell("FWHMx").try_cast("double"), _cell("FWHMy").try_cast("double")
-    d = d.select("file", "line", fx.alias("fwhmx"), fy.alias("fwhmy"), (F.least(fx, fy) / F.greatest(fx, fy)).alias("roundness"))
-    return d.where((F.col("fwhmx") > 0.1) & (F.col("fwhmx") < 50) & F.col("roundness").between(0, 1))
+    d = hold(_cells(lines), "w", F.struct(fx.alias("x"), fy.alias("y"))).select("file", "line", F.col("w.x").alias("fwhmx"), F.col("w.y").alias("fwhmy"))
+    d = d.withColumn("roundness", F.least("fwhmx", "fwhmy") / F.greatest("fwhmx", "fwhmy"))
+    # rows meet their header as numbers, without their text
+    d = d.where((F.col("fwhmx") > 0.1) & (F.col("fwhmx") < 50) & F.col("roundness").between(0, 1))
+    return d.join(head, "file").where(F.col("line") > F.col("_h")).drop("_h")
 
 
 def read_stars_strict(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +67,10 @@ def read_stars_strict(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = (
         F.when(F.size("c") != len(STAR_COLUMNS), "column_count").when(_cell("star").try_cast("long").isNull(), "bad_id")
         .when(n("X").isNull() | n("Y").isNull(), "bad_position").when(F.coalesce(n("FWHMx") <= 0, F.lit(True)) | F.coalesce(n("FWHMy") <= 0, F.lit(True)), "bad_width"))
-    d = d.withColumn("reason", reason)
+    d = hold(d, "reason", reason)
     bad = d.where(F.col("reason").isNotNull()).select("file", "line", "reason")
     ok = d.where(F.col("reason").isNull()).select(
         "file", "line", _cell("star").cast("long").alias("star"), _cell("layer").alias("layer"), n("X").alias("x"), n("Y").alias("y"), n("FWHMx").alias("fwhmx"), n("FWHMy").alias("fwhmy"), _cell("Profile").alias("profile"))
-    by_id = ok.groupBy("file", "star").agg(F.count(F.lit(1)).alias("n_id"))
-    by_pos = ok.groupBy("file", "layer", "x", "y").agg(F.count(F.lit(1)).alias("n_pos"))
-    ok = ok.join(by_id, ["file", "star"]).join(by_pos, ["file", "layer", "x", "y"])
+    # counted over windows: the lines are parsed once and move once a key
+    ok = ok.withColumn("n_id", F.count(F.lit(1)).over(W.partitionBy("file", "star"))).withColumn("n_pos", F.count(F.lit(1)).over(W.partitionBy("file", "layer", "x", "y")))
     return ok.withColumn("duplicate", (F.col("n_id") > 1) | (F.col("n_pos") > 1)).drop("n_id", "n_pos"), bad

@@ -10,6 +10,7 @@ from astrolake.operators import corpus as C
 from astrolake.operators import geometry as G
 from astrolake.operators import joins as J
 from astrolake.operators import stars as S
+from astrolake.sources import tables as TB
 
 STARS = "id long, layer string, x double, y double, flux double, fwhm double, sat boolean"
 
@@ -133,3 +134,15 @@ def test_only_asked_terms_of_texts_move(spark):
     q, docs, f = corpus(spark)
     asked = spark.createDataFrame([(1, "alpha"), (1, "nowhere"), (2, "图像")], "query long, term string")
     assert {r[0] for r in C.known_terms(f, ["tags", "body"], asked).collect()} == {"alpha", "图像"}
+
+
+def test_star_lines_are_split_once_and_move_as_numbers(spark):
+    head = "\t".join(TB.STAR_COLUMNS)
+    row = lambda i, n=11: "\t".join([str(i), "A", "0.1", "2", "5", "6", "2.5", "2.0", "10", "0", "G"][:n])
+    lines = spark.createDataFrame([(1, 0, "# x"), (1, 1, head), (1, 2, row(7)), (1, 3, row(7)), (1, 4, row(8, 5))], "file long, line int, text string")
+    good, bad = TB.read_stars_strict(lines)
+    assert sorted((r["line"], r["duplicate"]) for r in good.collect()) == [(2, True), (3, True)] and [r["reason"] for r in bad.collect()] == ["column_count"]
+    out = TB.read_stars(lines)
+    assert sorted(r["line"] for r in out.collect()) == [2, 3]
+    for df in (out, good):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
