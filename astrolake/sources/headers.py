@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from astrolake.session import hold
+
 CARD = 80  # fixed value: bytes per card
 
 
@@ -19,10 +21,10 @@ def read_headers(df: DataFrame, frame: str = "frame", content: str = "content")
     All CONTINUE cards in a row are appended to the string card they follow when it ends with an ampersand.
     HIERARCH cards take the words before their equals sign as key.
     """
-    text = F.col(content).cast("string")
+    df, text = hold(df.select(frame, content), "_x", F.col(content).cast("string")), F.col("_x")
     n = F.floor(F.length(text) / CARD).cast("int")
     cards = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(text, i * CARD + 1, F.lit(CARD)))
-    d = df.select(frame, cards.alias("cards"))
+    d = hold(df, "cards", cards).select(frame, "cards")
     end = F.array_position(F.transform("cards", lambda c: F.rtrim(c)), "END").cast("int")
     d = d.withColumn("cards", F.when(end > 0, F.slice("cards", 1, end - 1)).otherwise(F.col("cards")))
     z = d.select(frame, "cards", F.posexplode("cards").alias("card", "c"))

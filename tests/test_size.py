@@ -10,6 +10,7 @@ from astrolake.operators import corpus as C
 from astrolake.operators import geometry as G
 from astrolake.operators import joins as J
 from astrolake.operators import stars as S
+from astrolake.sources import headers as HD
 from astrolake.sources import tables as TB
 
 STARS = "id long, layer string, x double, y double, flux double, fwhm double, sat boolean"
@@ -146,3 +147,10 @@ def test_star_lines_are_split_once_and_move_as_numbers(spark):
     assert sorted(r["line"] for r in out.collect()) == [2, 3]
     for df in (out, good):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_header_text_is_built_once(spark):
+    d = spark.range(3).select(F.col("id").alias("frame"), F.concat(F.rpad(F.concat(F.lit("GAIN    = "), F.col("id").cast("string")), 80, " "), F.rpad(F.lit("END"), 80, " ")).alias("content"))
+    out = HD.read_headers(d)
+    assert sorted((r["frame"], r["key"], r["value"]) for r in out.collect()) == [(i, "GAIN", float(i)) for i in range(3)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("rpad(concat(GAIN") == 1
