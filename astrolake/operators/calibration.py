@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from astrolake.functions.scan import join_on
-from astrolake.session import cut
+from astrolake.session import cut, shuffled
 
 
 def present(c: Column) -> Column:
@@ -47,6 +47,12 @@ def best_for_settings(light: DataFrame, master: DataFrame, exact: list[str], tol
     masters = with_settings(master, tol, optional).where("_mask is not null").groupBy(*exact, *keys, "_mask").agg(
         F.min(F.struct("mname", "mid")).alias("m"), F.max("mname").alias("last"), F.count(F.lit(1)).alias("k"))
     masters = masters.select(*exact, *[F.col(k).alias(f"m_{k}") for k in keys], "_mask", "m", "last", "k")
+    if len(keys) == 1 and tol[keys[0]] > 0 and keys[0] not in optional:
+        lights, masters = cut(lights), cut(masters)
+        span = lights.agg(F.max(F.abs(keys[0]))).first()[0] or 0.0
+        slack = max(tol[keys[0]] * 2e-9, span * 1e-13)
+        if CELL * slack <= tol[keys[0]] / CHUNKS:
+            return _best_on_line(lights, masters, exact, keys[0], tol[keys[0]], slack)
     for k, width in tol.items():
         lights = lights.withColumn(f"_c_{k}", _cell(F.col(k), width))
         c = _cell(F.col(f"m_{k}"), width)
@@ -61,6 +67,47 @@ def best_for_settings(light: DataFrame, master: DataFrame, exact: list[str], tol
     return g.select(*exact, *keys, "best", (F.col("_last.last") != F.col("best.mname")).alias("tied"), "candidates")
 
 
+#: runs of values a tolerance is cut into, and the width of a fine cell in units of the slack
+CHUNKS, CELL = 16, 500
+
+
+def _best_on_line(lights: DataFrame, masters: DataFrame, exact: list[str], key: str, tol: float, slack: float) -> DataFrame:
+    """``best_for_settings`` for one tolerance: masters are counted and the nearest found along the line, so pairs do not grow with both tables.
+
+    Candidates are a difference of running counts between the two ends of the tolerance, drawn in by ``slack`` (far above what doubles round
+    off, and above half a unit of the rounded score).  Only masters within the slack of an end, or of the lowest score on either side, are paired and compared exactly.
+    """
+    lights, masters = lights.dropna(subset=[*exact, key]), masters.dropna(subset=exact)
+    x, m, ends = F.col(key), F.col(f"m_{key}"), {"at": F.col(key), "lo": F.col(key) - tol + slack, "hi": F.col(key) + tol - slack}
+    probes = lights.select(*exact, key, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), v.alias("v")) for i, v in enumerate(ends.values(), 1)])).alias("p"))
+    line = masters.select(*exact, m.alias("v"), F.lit(0).alias("kind"), "k", m.alias("here")).unionByName(probes.select(*exact, key, "p.kind", "p.v"), allowMissingColumns=True)
+    line = line.withColumn("chunk", F.floor(F.col("v") / (tol / CHUNKS)))
+    group, run = W.partitionBy(*exact), W.partitionBy(*exact, "chunk")
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    sums = line.groupBy(*exact, "chunk").agg(F.sum("k").alias("k"), F.min("here").alias("first"), F.max("here").alias("last"))
+    sums = sums.select(*exact, "chunk", F.sum("k").over(before(group.orderBy("chunk"))).alias("off"), F.last("last", True).over(before(group.orderBy("chunk"))).alias("left"),
+                       F.last("first", True).over(before(group.orderBy(F.desc("chunk")))).alias("right"))
+    # masters come before probes of the same value in both directions
+    up, down = upto(run.orderBy("v", "kind")), upto(run.orderBy(F.desc("v"), "kind"))
+    line = line.select("*", F.sum("k").over(up).alias("n"), F.last("here", True).over(up).alias("l"), F.last("here", True).over(down).alias("r")).where("kind > 0").join(shuffled(sums), [*exact, "chunk"])
+    count = lambda i: F.max(F.when(F.col("kind") == i, F.coalesce("n", F.lit(0)) + F.coalesce("off", F.lit(0))))
+    side = lambda here, carried: F.max(F.when(F.col("kind") == 1, F.coalesce(here, carried)))
+    found = line.groupBy(*exact, key).agg(side("l", "left").alias("l"), side("r", "right").alias("r"), (count(3) - count(2)).alias("inner"))
+    gap = lambda c: F.abs(x - c)
+    score = lambda c: F.round(gap(c) / tol, 9)
+    lowest = F.least(*[F.when(gap(F.col(c)) <= tol, score(F.col(c))) for c in "lr"])
+    found = cut(found.withColumn("score", lowest).where("score is not null"))
+    cell = lambda c: F.floor(c / (CELL * slack))
+    seats = [x - tol, x + tol, x - tol * F.col("score"), x + tol * F.col("score")]
+    met = found.select("*", F.explode(F.array_distinct(F.array(*[cell(p + d) for p in seats for d in (-2 * slack, 2 * slack)]))).alias("cell"))
+    j = met.join(shuffled(masters.withColumn("cell", cell(m))), [*exact, "cell"]).where(gap(m) <= tol)
+    lead, rim = score(m) == F.col("score"), (m > ends["hi"]) | (m <= ends["lo"])
+    j = j.select(*exact, key, "score", "inner", F.when(lead, F.col("m")).alias("m"), F.when(lead, F.col("last")).alias("last"), F.when(rim, F.col("k")).otherwise(0).alias("k"))
+    g = j.groupBy(*exact, key, "score", "inner").agg(F.min("m").alias("m"), F.max("last").alias("last"), F.sum("k").alias("rim"))
+    return g.select(*exact, key, F.struct("score", "m.mname", "m.mid").alias("best"), (F.col("last") != F.col("m.mname")).alias("tied"), (F.col("inner") + F.col("rim")).alias("candidates"))
+
+
 def match_by_tolerances(light: DataFrame, master: DataFrame, exact: list[str], tol: dict[str, float], optional: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """id, status, mid, score, candidates of every light; in strict form a tie is an error and names no master.
 
@@ -68,7 +115,7 @@ def match_by_tolerances(light: DataFrame, master: DataFrame, exact: list[str], t
     """
     best = best_for_settings(light, master, exact, tol, optional)
     l = light.select("id", *exact, *[present(F.col(k)).alias(k) for k in tol])
-    j = join_on(l, best, [*exact, *tol], "left") if exact or tol else l
+    j = join_on(l, shuffled(best), [*exact, *tol], "left") if exact or tol else l
     tie = F.coalesce(F.col("tied"), F.lit(False)) & strict
     status = F.when(F.col("best").isNull(), "missing").when(tie, "tie").otherwise("matched")
     return j.select("id", status.alias("status"), F.when(~tie, F.col("best.mid")).alias("mid"), F.when(~tie, F.col("best.score")).alias("score"), F.coalesce("candidates", F.lit(0)).alias("candidates"))

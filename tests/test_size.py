@@ -154,3 +154,31 @@ def test_header_text_is_built_once(spark):
     out = HD.read_headers(d)
     assert sorted((r["frame"], r["key"], r["value"]) for r in out.collect()) == [(i, "GAIN", float(i)) for i in range(3)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("rpad(concat(GAIN") == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_masters_are_counted_along_the_line(spark, seed):
+    r = random.Random(seed)
+    temps = lambda n: [r.choice([None, float("nan"), round(r.uniform(-9, 9), 1), r.randint(-4, 4) + r.choice([0.0, 1e-12])]) for _ in range(n)]
+    lights = [(i, r.choice([1, 2, None]), t) for i, t in enumerate(temps(150))]
+    masters = [(i, f"m{i % 7}", r.choice([1, 2, None]), t) for i, t in enumerate(temps(90))]
+    for strict in (False, True):
+        want = set()
+        for i, g, t in lights:
+            near = [(round(abs(t - u) / 2, 9), name, mid) for mid, name, h, u in masters if None not in (g, h, t, u) and g == h and abs(t - u) <= 2]
+            best = min(near, default=None)
+            tie = strict and best is not None and len({n for s, n, _ in near if s == best[0]}) > 1
+            want.add((i, "missing" if not near else "tie" if tie else "matched", None if tie or not near else best[2], None if tie or not near else best[0], len(near)))
+        l, m = spark.createDataFrame(lights, "id long, gain int, temp double"), spark.createDataFrame(masters, "mid long, mname string, gain int, temp double")
+        assert {tuple(x) for x in J.match_masters(l, m, ["gain"], {"temp": 2.0}, strict).collect()} == want
+
+
+def test_masters_within_a_tolerance_are_not_all_paired(spark, monkeypatch):
+    from astrolake.operators import calibration as K
+    l = spark.range(300).select("id", F.lit(1).alias("gain"), (F.col("id") * 0.01).alias("temp"))
+    m = spark.range(200).select(F.col("id").alias("mid"), F.concat(F.lit("m"), F.col("id")).alias("mname"), F.lit(1).alias("gain"), (F.col("id") * 0.011).alias("temp"))
+    plans = []
+    monkeypatch.setattr(K, "cut", lambda df: plans.append(df) or session.cut(df))
+    out = J.match_masters(l, m, ["gain"], {"temp": 50.0})
+    assert out.where("candidates = 200").count() == 300
+    assert "m_temp) <= 50" not in "".join(plan(df) for df in plans) and "cell" in plan(out)
