@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.functions.scan import attach, exact_quantiles, join_on
-from astrolake.session import cut
+from astrolake.session import cut, hold
 
 # fixed values: accepted colour filter array patterns
 BAYER = ("RGGB", "BGGR", "GRBG", "GBRG")
@@ -123,13 +123,17 @@ def with_filter_class(df: DataFrame, raw: str, device: str) -> DataFrame:
     Named lines come first, then products, labels of the device, dual-band words, luminance, colour channels and
     broadband words.  Only array expressions over the label's own phrases: nothing is joined or shuffled.
     """
-    words = words_of(F.col(raw))
-    label, said = F.array_join(words, ""), phrases_of(words)
-    says = lambda vocabulary: F.arrays_overlap(said, F.array(*map(F.lit, vocabulary)))
-    known = F.arrays_overlap(phrases_of(words_of(F.col(device))), F.array(*map(F.lit, DEVICE_WORDS)))
-    lines = F.array_compact(F.array(*[F.when(says(spelled), F.lit(line)) for line, spelled in FILTER_LINES]))
+    # words, phrases and lines are read by many rules, so each is worked out once a row
+    held = hold(df, "_words", words_of(F.col(raw)))
+    held = hold(held, "_label", F.array_join("_words", ""))
+    held = hold(hold(held, "_said", phrases_of(F.col("_words"))), "_device", words_of(F.col(device)))
+    label = F.col("_label")
+    says = lambda vocabulary: F.arrays_overlap("_said", F.array(*map(F.lit, vocabulary)))
+    known = F.arrays_overlap(phrases_of(F.col("_device")), F.array(*map(F.lit, DEVICE_WORDS)))
+    held = hold(held, "_lines", F.array_compact(F.array(*[F.when(says(spelled), F.lit(line)) for line, spelled in FILTER_LINES])))
+    held = hold(held, "_two", says(DUAL_PRODUCTS) | (label.isin(*DEVICE_LABELS) & known))
+    lines, two_lines = F.col("_lines"), F.col("_two")
     count = F.size(lines)
-    two_lines = says(DUAL_PRODUCTS) | (label.isin(*DEVICE_LABELS) & known)
     rules = (
         (count > 0, F.element_at(F.array(F.lit("narrowband"), F.lit("dual_band"), F.lit("multi_band")), F.greatest(count, F.lit(1)))),
         (two_lines | says(DUAL_WORDS), F.lit("dual_band")),
@@ -144,7 +148,7 @@ def with_filter_class(df: DataFrame, raw: str, device: str) -> DataFrame:
     )
     first = lambda table, other: F.coalesce(*[F.when(when, then) for when, then in table], other)
     found = F.when(count > 0, F.array_join(lines, ",")).when(two_lines, "H-alpha,OIII").otherwise("")
-    return df.withColumn("filter_class", first(rules, F.lit("unknown"))).withColumn("lines", found).withColumn("normalized", first(short, F.trim(raw)))
+    return held.select(*[F.col(c) for c in df.columns if c not in ("filter_class", "lines", "normalized")], first(rules, F.lit("unknown")).alias("filter_class"), found.alias("lines"), first(short, F.trim(raw)).alias("normalized"))
 
 
 # fixed values: catalogue of named targets (id, type)

@@ -108,7 +108,7 @@ SELECT id, CASE p WHEN 0 THEN 'narrowband' WHEN 1 THEN 'narrowband' WHEN 2 THEN
  CASE p WHEN 0 THEN 'H-alpha' WHEN 1 THEN 'OIII' WHEN 2 THEN 'SII' WHEN 5 THEN 'L' WHEN 6 THEN 'R' WHEN 7 THEN 'B' ELSE raw END AS normalized
 FROM (SELECT *, id % {len(LABELS)} AS p FROM z)""")
 def _(s, d):
-    p = V.table(s, d, "part")
+    p = V.spread(V.table(s, d, "part"), "p_partkey")
     raw = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("p_partkey") % len(LABELS) + 1).cast("int"))
     z = p.select(F.col("p_partkey").alias("id"), raw.alias("raw"), F.when(F.col("p_size") % 2 == 0, "Seestar S50").otherwise("Canon").alias("device"))
     return R.with_filter_class(z, "raw", "device")

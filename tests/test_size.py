@@ -182,3 +182,12 @@ def test_masters_within_a_tolerance_are_not_all_paired(spark, monkeypatch):
     out = J.match_masters(l, m, ["gain"], {"temp": 50.0})
     assert out.where("candidates = 200").count() == 300
     assert "m_temp) <= 50" not in "".join(plan(df) for df in plans) and "cell" in plan(out)
+
+
+def test_filter_words_are_split_once_a_row(spark):
+    from astrolake.operators import frames as R
+    df = spark.createDataFrame([(1, "Ha_OIII", "Canon"), (2, "LP", "Seestar S50"), (3, " none ", None), (4, None, "Canon"), (5, "UV/IR cut", "x")], "id long, raw string, device string")
+    out = R.with_filter_class(df, "raw", "device")
+    assert sorted((r["id"], r["filter_class"], r["lines"], r["normalized"]) for r in out.collect()) == [
+        (1, "dual_band", "H-alpha,OIII", "Ha_OIII"), (2, "dual_band", "H-alpha,OIII", "LP"), (3, "unknown", "", "none"), (4, "unknown", "", None), (5, "broadband", "", "UV/IR cut")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
