@@ -233,9 +233,31 @@ def field_impacts(post: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
     fw = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     per = post.groupBy("term", key).agg(
         F.sum(fw[F.col("field")] * (1 + F.ln(F.least("tf", F.lit(8))))).alias("s"), F.max(F.col("field").isin(*STRONG)).alias("strong"))
+    return _impacts(per, key, idfs)
+
+
+def _impacts(per: DataFrame, key: str, idfs: DataFrame) -> DataFrame:
     return per.join(small_or_plain(idfs.select("term", "idf")), "term").select("term", key, (F.col("s") * F.col("idf") * length_weight(F.col("term"))).alias("impact"), "strong")
 
 
+def weighted_terms(fields: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """(term, document, s, strong) of every asked term: the field sums of ``field_impacts`` in one aggregate, so postings by field never move."""
+    long = fields.unpivot([key], list(WEIGHTS), "field", "content")
+    found = long.select(key, "field", F.explode(script_tokens(F.col("content"), stops=False)).alias("term")).where(~F.col("term").isin(*STOP))
+    asked = small_or_plain(cut(terms.select("term").distinct()))
+    tf = {f: F.count_if(F.col("field") == f) for f in WEIGHTS}
+    per = found.join(asked, "term", "left_semi").groupBy("term", key).agg(*[n.alias(f"tf_{f}") for f, n in tf.items()])
+    part = lambda f: F.when(F.col(f"tf_{f}") > 0, WEIGHTS[f] * (1 + F.ln(F.least(F.col(f"tf_{f}"), F.lit(8))))).otherwise(0.0)
+    strong = reduce(lambda a, b: a | b, [F.col(f"tf_{f}") > 0 for f in STRONG])
+    return per.select("term", key, reduce(lambda a, b: a + b, map(part, WEIGHTS)).alias("s"), strong.alias("strong"))
+
+
+def term_idf(per: DataFrame, docs: DataFrame) -> DataFrame:
+    """``idf`` of a table that holds each term of a document once."""
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
 PAIRS = 1_000_000  # sums of query and document a task holds at once
 BLOCK = 1_000  # queries summed at once
 
@@ -247,9 +269,18 @@ def score_fielded(terms: DataFrame, post: DataFrame, key: str, idfs: DataFrame)
     no pair of query and document moves.  Documents are dealt so that a task holds at most some PAIRS sums, and more than BLOCK queries are
     taken in blocks, so the memory of a task does not grow with either table.  For queries of few words ``ranking`` sums only documents that may be among the best.
     """
-    docs, asked = post.agg(F.approx_count_distinct(key)).first()[0], terms.agg(F.count_distinct("query")).first()[0]
-    parts = max(post.sparkSession.sparkContext.defaultParallelism, -(-docs * min(asked, BLOCK) // PAIRS))
-    placed = field_impacts(post, key, idfs).repartition(parts, key)
+    return _blocks(terms, field_impacts(post, key, idfs), key, post.agg(F.approx_count_distinct(key)).first()[0])
+
+
+def score_weighted(terms: DataFrame, per: DataFrame, key: str, idfs: DataFrame, docs: int) -> DataFrame:
+    """``score_fielded`` of ``weighted_terms`` over some ``docs`` documents."""
+    return _blocks(terms, _impacts(per, key, idfs), key, docs)
+
+
+def _blocks(terms: DataFrame, impacts: DataFrame, key: str, docs: int) -> DataFrame:
+    asked = terms.agg(F.count_distinct("query")).first()[0]
+    parts = max(impacts.sparkSession.sparkContext.defaultParallelism, -(-docs * min(asked, BLOCK) // PAIRS))
+    placed = impacts.repartition(parts, key)
     blocks = -(-asked // BLOCK)
     if blocks <= 1:
         return _sums(terms, placed, key)
@@ -293,10 +324,14 @@ def rank_required_first(hits: DataFrame, key: str, k: int) -> DataFrame:
 
     ``hits``: (query, term, doc, score); a document leads when it is the best of any of its terms.
     """
+    return lead_first(hits, hits.groupBy("query", key).agg(F.max("score").alias("score")), key, k)
+
+
+def lead_first(hits: DataFrame, scored: DataFrame, key: str, k: int) -> DataFrame:
+    """``rank_required_first`` with the scores (query, doc, score) of all documents of ``hits`` at hand, so that hits are read once."""
     best = hits.groupBy("query", "term").agg(F.min_by(key, F.struct((-F.round("score", 6)).alias("s"), F.col(key))).alias(key))
-    lead = best.select("query", key).distinct().withColumn("lead", F.lit(True))
-    d = hits.groupBy("query", key).agg(F.max("score").alias("score")).join(lead, ["query", key], "left")
-    d = d.withColumn("lead", F.coalesce("lead", F.lit(False)))
+    lead = cut(best.select("query", key).distinct().withColumn("lead", F.lit(True)))
+    d = scored.join(small_or_plain(lead), ["query", key], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
     w = W.partitionBy("query").orderBy(F.desc("lead"), F.desc(F.round("score", 6)), key)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -53,12 +53,15 @@ def shuffled(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core when the input arrives in fewer splits than there are cores.
+    """Use every core when the rows of the input arrive in fewer tasks than there are cores.
 
-    Large inputs already have many splits and pass unchanged; only a small file is hashed by its id.
+    Splits are cut by bytes, but the rows of a row group all go to one of them, so splits that hold rows are counted (no column is
+    read for that).  Inputs that fill many splits pass unchanged; others are hashed by their id.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > want else df.repartition(want, key)
+    if df.rdd.getNumPartitions() * 2 > want and df.select(F.spark_partition_id().alias("p")).distinct().count() * 2 > want:
+        return df
+    return df.repartition(want, key)
 
 
 def hold(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -191,3 +191,30 @@ def test_filter_words_are_split_once_a_row(spark):
     assert sorted((r["id"], r["filter_class"], r["lines"], r["normalized"]) for r in out.collect()) == [
         (1, "dual_band", "H-alpha,OIII", "Ha_OIII"), (2, "dual_band", "H-alpha,OIII", "LP"), (3, "unknown", "", "none"), (4, "unknown", "", None), (5, "broadband", "", "UV/IR cut")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
+def test_one_row_group_is_spread(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    pq.write_table(pa.table({"doc_id": list(range(4000)), "text": [f"{i * 7919 % 4001:x}" * 40 for i in range(4000)]}), tmp_path / "t.parquet", compression="none")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        t = spark.read.parquet(str(tmp_path / "t.parquet"))
+        assert t.rdd.getNumPartitions() > 8 and t.select(F.spark_partition_id()).distinct().count() == 1
+        out = session.spread(t, "doc_id")
+        assert out.select(F.spark_partition_id()).distinct().count() == 8 and out.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_weighted_terms_equal_postings(spark):
+    q, docs, f = corpus(spark)
+    terms = session.cut(C.query_terms(q))
+    post = session.cut(C.postings_of(C.postings(f, "doc", list(C.WEIGHTS)), terms, "doc"))
+    per = session.cut(C.weighted_terms(f, "doc", terms))
+    ids = lambda df: {(r["term"], r["df"], round(r["idf"], 9)) for r in df.collect()}
+    assert ids(C.term_idf(per, docs)) == ids(C.idf(post, "doc", docs))
+    i = session.cut(C.term_idf(per, docs))
+    rows = lambda df: sorted((r["query"], r["doc"], round(r["score"], 9), r["strong"], r["matched"]) for r in df.collect())
+    assert rows(C.score_weighted(terms, per, "doc", i, 40)) == rows(C.score_fielded(terms, post, "doc", i))
