@@ -100,3 +100,15 @@ def test_answers_hold_when_the_group_table_is_too_large_to_broadcast(skewed, mon
     w["want"] = w.groupby("k").cumcount() + 1
     m = r.merge(w[["id", "want"]], on="id")
     assert len(m) == len(pdf) and (m.rk == m.want).all()
+
+
+def test_rank_cuts_are_compared_once_a_row(spark):
+    df = spark.createDataFrame([(i % 2, None if i % 13 == 0 else float(i * 37 % 101), i) for i in range(600)], "g long, v double, id long")
+    out = S.ranked(df, ["g"], "v", "id", total="n")
+    rows = out.collect()
+    for g in (0, 1):
+        mine = sorted((r for r in rows if r["g"] == g), key=lambda r: r["rk"])
+        assert [r["rk"] for r in mine] == list(range(1, 301)) and {r["n"] for r in mine} == {300}
+        known = [(r["v"], r["id"]) for r in mine if r["v"] is not None]
+        assert known == sorted(known)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("_cv#") < 62
