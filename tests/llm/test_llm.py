@@ -189,6 +189,47 @@ def test_long_lines_meet_by_words_and_by_characters(spark):
     assert got == want and len(want) > 60
 
 
+def test_repeated_words_give_few_keys_and_lose_no_link(spark):
+    """Lines that repeat a word or a few words, with edits before, inside and behind the repetition."""
+    rng = np.random.default_rng(7)
+    texts = ["the " * 2000, "of and " * 900 + "in"]
+    for unit, n in (("the ", 40), ("of and ", 25), ("a be con ", 22)):
+        for head in ("", "some other words stand here first "):
+            line = head + unit * n
+            for _ in range(8):
+                x = list(line)
+                for _ in range(int(rng.integers(0, len(line) // 50 + 2))):
+                    q = int(rng.integers(0, len(x)))
+                    x[q : q + 1] = [[], ["z"], [x[q], "q"]][int(rng.integers(0, 3))]
+                texts.append("".join(x))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = line_dedup.lines(df, "doc_id", "text")
+    assert max(r.n for r in line_dedup._sides(every, 1).select(F.size("sides").alias("n")).collect()) < 100
+    names = {(r.h1, r.h2): r.line for r in every.collect()}
+    got = {frozenset((names[(r.a1, r.a2)], names[(r.b1, r.b2)])) for r in line_dedup.edit_links(df).collect()}
+    edits = {p: min(map(len, p)) // 50 for p in itertools.combinations(texts, 2)}
+    want = {frozenset(p) for p, k in edits.items() if abs(len(p[0]) - len(p[1])) <= k and _distance(*p) <= k}
+    assert got == want and len(want) > 20
+
+
+def test_letter_counts_never_part_near_lines(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(60):
+        a = list(rng.choice(list("abcdeß \U0001f600thn"), int(rng.integers(20, 400))))
+        b, k = list(a), int(rng.integers(0, 12))
+        for _ in range(k):
+            q = int(rng.integers(0, len(b)))
+            b[q : q + 1] = [[], ["z"], [b[q], "e"]][int(rng.integers(0, 3))]
+        rows.append(("".join(a), "".join(b), k))
+    df = spark.createDataFrame(rows, "a string, b string, k int")
+    both = df.select("k", *[x for s in "ab" for x in (F.length(s).alias(f"c{s}"), *[F.expr(e.replace("line", s).replace("chars", f"length({s})")).alias(f"n{i}{s}") for i, e in enumerate(line_dedup._letter_counts())])])
+    bits = " + ".join(f"bit_count(n{i}a ^ n{i}b)" for i in range(len(line_dedup._letter_counts())))
+    assert both.where(f"{bits} > 2 * k - abs(ca - cb)").count() == 0
+    assert df.select(F.lit("e" * 30).alias("line"), F.lit(30).alias("chars")).selectExpr(*line_dedup._letter_counts()).distinct().count() == 1
+
+
 def test_one_id_with_two_texts_keeps_lines_of_both(spark):
     common, only, other = "a line that both of the texts hold", "a sentence of the second text alone", "what nobody else has said before now"
     rows = [(7, f"{common}\n{only}"), (7, f"{other}\n{common}"), (7, f"{other}\n{common}"), (None, common)]
