@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from astrolake.llm.shared import Codes, ascii_words, components, id_filter, kept, maybe_in
+from astrolake.llm.shared import Codes, ascii_words, components, dropped, id_filter, kept, maybe_in
 
 #: Minwise tokens kept of each set, independent trees, and the node size from which a node branches again.
 COORDS, TREES, LEAF = 128, 12, 64
@@ -120,11 +120,15 @@ def near_dups(docs: DataFrame, similarity: int = 80, width: int = 5, id_col: str
     sets = kept(
         prof.where("n > 0 and doc_id is not null").groupBy("uid").agg(F.min("sig").alias("sig"), F.min("brief").alias("brief"), F.max("n").alias("n"), F.min("doc_id").alias("first_id")), "sets"
     )
+    # signatures are in ``sets`` now; two copies of them would be the largest tables
+    ids = kept(prof.select("doc_id", "n", "uid"), "ids")
+    dropped(prof)
     labels = _labels(rows, sets, similarity, width)
     of_set = sets.join(labels.withColumnRenamed("id", "uid"), "uid", "left").select("uid", "first_id", F.coalesce("label", "uid").alias("label"))
     least = of_set.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = kept(of_set.join(least, "label").select("uid", "component_id"), "components")
-    out = prof.join(named, "uid", "left").select(
+    dropped(sets)
+    out = ids.join(named, "uid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -146,7 +150,9 @@ def _labels(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> Da
     members = sets.select("uid", F.explode(roots).alias("node"))
     first_level = True
     while True:
-        nodes = members.groupBy("node").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("uid", "node", F.lit(p)).alias("h"), "uid")).alias(f"p{p}") for p in range(PIVOTS)])
+        # the first star does not depend on the node: sets that meet in several trees have it in common, so they make one pair
+        ranks = [F.xxhash64("uid"), *[F.xxhash64("uid", "node", F.lit(p)) for p in range(1, PIVOTS)]]
+        nodes = members.groupBy("node").agg(F.count("*").alias("size"), *[F.min(F.struct(h.alias("h"), "uid")).alias(f"p{p}") for p, h in enumerate(ranks)])
         nodes = nodes.where("size > 1").select("node", "size", F.when(F.col("size") > LEAF, F.array_distinct(F.array(*[F.col(f"p{p}.uid") for p in range(PIVOTS)]))).otherwise(F.array("p0.uid")).alias("stars"))
         members = kept(members.join(nodes, "node"), "members")
         big = _consensus(members.where(F.col("size") > LEAF).select("node", "size", "uid"), sets)
@@ -168,6 +174,7 @@ def _labels(rows: DataFrame, sets: DataFrame, similarity: int, width: int) -> Da
             near = near.unionByName(_straggler_pairs(odd, sets, _sketches(odd, rows, sets, width), similarity, TREES if first_level else 0))
             first_level = False
         found = _confirmed(near, rows, sets, similarity, width)
+        dropped(members, still)
         if not found.isEmpty():
             labels = _grown(labels, found)
         if large is None or large.isEmpty():
@@ -330,4 +337,6 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, sets: DataFrame, similarity: i
     full = kept(full.join(uids, "uid", "left_semi").groupBy("uid").agg(F.min("tokens").alias("tokens")), "full")
     both = near.join(full.withColumnRenamed("uid", "a").withColumnRenamed("tokens", "t_a"), "a").join(full.withColumnRenamed("uid", "b").withColumnRenamed("tokens", "t_b"), "b")
     common = both.select("a", "b", "n_a", "n_b", overlap("t_a", "t_b").alias("both"))
-    return kept(common.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "links")
+    links = kept(common.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "links")
+    dropped(near, full)
+    return links

@@ -86,6 +86,20 @@ def test_near_dups_in_one_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == _components(_sets(rows, 4))
 
 
+def test_sets_that_meet_in_many_trees_make_few_pairs(spark, monkeypatch):
+    """Forty sets that share nearly all tokens meet in every tree, mostly behind the same star."""
+    rows = [(i, " ".join(f"b{j}" if j != i else f"r{i}" for j in range(400))) for i in range(40)]
+    seen, confirmed = [], near_dup._confirmed
+
+    def counted(pairs, *rest):
+        seen.append(pairs.distinct().count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(near_dup, "_confirmed", counted)
+    got = near_dup.near_dups(spark.createDataFrame(rows, "doc_id long, text string"), 80, 4).collect()
+    assert {r.component_id for r in got} == {0} and seen[0] <= 4 * 39
+
+
 def test_sketches_never_reject_a_close_pair():
     rng = np.random.default_rng(11)
     sketch = lambda x: (x[: near_dup.SKETCH] >> np.uint64(32)).astype(np.uint32)
