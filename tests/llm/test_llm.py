@@ -227,6 +227,43 @@ def test_repeated_words_give_few_keys_and_lose_no_link(spark):
     assert got == want and len(want) > 20
 
 
+def test_lines_meet_on_runs_and_across_bands_of_length(spark):
+    """Lines of few different words around the edges of the bands, with edits spread evenly; one gram between other words meets nothing."""
+    rng = np.random.default_rng(17)
+    vocabulary, texts = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8)))) for _ in range(40)], []
+    for chars in [round(line_dedup.BAND**i) + d for i in (26, 28, 30) for d in (0, 1)]:
+        for _ in range(4):
+            line = " ".join(rng.choice(vocabulary, chars))[:chars]
+            for lost in range(chars // 50 + 2):
+                x = list(line)
+                for i in range(lost):  # from the right end, so that places stay
+                    p = len(line) * (lost - i) // (lost + 1)
+                    x[p : p + 1] = [[], ["z"]][int(rng.integers(0, 2))]
+                texts.append("".join(x))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {(r.h1, r.h2): r.line for r in line_dedup.lines(df, "doc_id", "text").collect()}
+    got = {frozenset((names[(r.a1, r.a2)], names[(r.b1, r.b2)])) for r in line_dedup.edit_links(df).collect()}
+    edits = {p: min(map(len, p)) // 50 for p in itertools.combinations(texts, 2)}
+    want = {frozenset(p) for p, k in edits.items() if abs(len(p[0]) - len(p[1])) <= k and _distance(*p) <= k}
+    assert got == want and any(len({int(math.log(len(x), line_dedup.BAND)) for x in p}) == 2 for p in want)
+    gram = [" ".join([*(f"{side}word{i}" for i in range(4)), "one two three", *(f"more{side}{i}" for i in range(8))]) for side in ("left", "west")]
+    near = [" ".join(f"{i}words{i}" for i in range(20)), " ".join(f"{i}words{i}" for i in range(19)) + " 19word19"]
+    df = spark.createDataFrame(list(enumerate(gram + near)), "doc_id long, text string")
+    keyed = line_dedup._sides(line_dedup.lines(df, "doc_id", "text"), 1)
+    met = {(r.a1, r.b1) for turn in range(line_dedup.TURNS) for r in line_dedup._met(keyed, turn, 1).collect()}
+    h1 = {r.line: r.h1 for r in line_dedup.lines(df, "doc_id", "text").collect()}
+    assert met == {tuple(sorted(h1[x] for x in near))}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    out = shared.kept(spark.range(50_000).repartition(7, "id").groupBy((F.col("id") % 999).alias("k")).count(), "counts")
+    assert files() <= before and out.agg(F.sum("count")).first()[0] == 50_000
+    assert spark.conf.get(shared.CLEANUP) == "false"
+
+
 def test_letter_counts_never_part_near_lines(spark):
     rng = np.random.default_rng(9)
     rows = []
